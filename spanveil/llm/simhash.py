@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import packed, unpacked
 from .common import U64, by_key, cut, mix, spread, star_forest, texts, words
 from .components import components
 
@@ -54,8 +55,12 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     n = sizes[full]
     parts = -(-n // 255)
     first = np.repeat(np.cumsum(n) - n, parts) + 255 * spread(parts)
-    counts = np.add.reduceat(SPREAD[hashes.view(np.uint8).reshape(-1, 8)], first, axis=0).view(np.uint8).reshape(-1, 64)
-    counts = np.add.reduceat(counts.astype(np.int32), np.cumsum(parts) - parts, axis=0)
+    octets, edges = hashes.view(np.uint8).reshape(-1, 8), np.r_[first, len(hashes)]
+    counts = np.empty((len(first), 64), np.int32)
+    for i in range(0, len(first), 1024):  # a quarter million hashes at a time
+        here, end = first[i : i + 1024], edges[min(i + 1024, len(first))]
+        counts[i : i + 1024] = np.add.reduceat(SPREAD[octets[here[0] : end]], here - here[0], axis=0).view(np.uint8).reshape(-1, 64)
+    counts = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0)
     out[full] = np.packbits(counts * 2 > n[:, None], axis=1, bitorder="little").view(U64).ravel()
     return out
 
@@ -115,7 +120,7 @@ class Plan:
         self.folds, self.radius, self.cell_rows = folds, radius, cell_rows
         self.widths = [64 // per_word + (i < 64 % per_word) for i in range(per_word)]
         self.bits: list[list[list[int]]] = []
-        self.cells = np.zeros((folds * per_word, CELLS), np.int64)
+        self.cells = np.zeros((folds * per_word, CELLS), np.int32)
 
     @property
     def parts(self) -> int:
@@ -196,9 +201,18 @@ def plan_for(reps: DataFrame, folds: int, radius: int, per_word: int | None, cel
             cells, counts = np.unique(v + np.arange(parts) * CELLS, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(counts.ravel())], names=["cell", "n"])
 
-    cells = reps.mapInArrow(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    plan.cells.ravel()[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
-    plan.counted()
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cell, n = batch.column("cell").to_numpy(), batch.column("n").to_numpy()
+            for part in np.unique(cell >> 16).tolist():
+                mine = cell >> 16 == part
+                found.setdefault(part, np.zeros(CELLS, np.int64))[cell[mine] & 0xFFFF] = n[mine]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([packed(v) for v in found.values()], pa.binary())], names=["part", "counts"])
+
+    sums = reps.mapInArrow(cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for row in sums.repartitionById(parts, F.shiftright("cell", 16).cast("int")).mapInArrow(dense, "part long, counts binary").collect():
+        plan.cells[row["part"]] = unpacked(bytes(row["counts"]))
     return plan
 
 
@@ -220,6 +234,7 @@ def links(reps: DataFrame, folds: int, radius: int, verify: int | None = None, p
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Plan.__new__(Plan)
         vars(plan).update(shared.value)
+        plan.counted()
         for batch in batches:
             rep, raw = batch.column("rep").to_numpy(), np.array(batch.column("fp").to_pylist(), object)
             values = plan.values(as_words(batch.column("fp"), folds))
