@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, texts
+from .common import U64, cut, fold, mix, ngram_hashes, texts, word_hashes, words
 
 WORD = re.compile(r"\w+")
 STEMS = (3, 4, 5, 6)
@@ -132,7 +132,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, parts: int, held: int, mos
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     share = min(1.0, most / max(1, kept.count()))
     picked = kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_of_copies(cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")))
+
+
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """A bounded sample without copies and near copies, which would make their own words look telling.
+
+    Of rows that share one of three minima of hashed word pairs, the one with the smallest id stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = []
+            for text in texts(batch):
+                h = word_hashes(words(text))
+                pairs = ngram_hashes(h, 2) if len(h) > 1 else h
+                minima.append([int(mix(pairs ^ U64(salt)).min() >> U64(1)) if len(pairs) else 0 for salt in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(minima, pa.list_(pa.int64()))], names=["doc_id", "minima"])
+
+    seen: list[set[int]] = [set(), set(), set()]
+    kept = []
+    for row in sample.select("doc_id", "text").mapInArrow(run, "doc_id long, minima array<long>").orderBy("doc_id").collect():
+        if not any(m in s for m, s in zip(row["minima"], seen, strict=True)):
+            kept.append((row["doc_id"],))
+        for m, s in zip(row["minima"], seen, strict=True):
+            s.add(m)
+    return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts: int = 5, held: int = 0, features: int = 1500, voters: int = 60) -> Model:
