@@ -99,7 +99,7 @@ class Filter:
         return out
 
 
-def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64 << 20, bits_each: int = 10, block_bytes: int = 12 << 20) -> DataFrame:
+def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64 << 20, bits_each: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Learns from rows whose crc32(doc_id) mod parts isn't `held`. Null and empty texts have one token, their end. A null id counts
