@@ -1,4 +1,6 @@
 """Queries and their SQL by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import detecting
+
+QUERIES: dict = {**detecting.QUERIES}
+ORACLES: dict = {**detecting.ORACLES}
