@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -13,9 +11,13 @@ BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 36: BASE36, 62: "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"}
 
 
-@lru_cache
+_KNOWN: dict = {}
+
+
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """The AES substitution box and doubling in its field, from their definitions."""
+    if "box" in _KNOWN:
+        return _KNOWN["box"]
     double = np.array([(x << 1) ^ (0x11B if x & 0x80 else 0) for x in range(256)], np.uint16).astype(np.uint8)
     times = lambda a, b: 0 if not b else (times(int(double[a]), b >> 1) ^ (a if b & 1 else 0))
     inverse = [0] * 256
@@ -27,11 +29,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
             inverse[a], inverse[b] = b, a
     turn = lambda x, k: ((x << k) | (x >> (8 - k))) & 255
     box = np.array([x ^ turn(x, 1) ^ turn(x, 2) ^ turn(x, 3) ^ turn(x, 4) ^ 0x63 for x in inverse], np.uint8)
+    _KNOWN["box"] = box, double
     return box, double
 
 
-@lru_cache
 def _round_keys(key: bytes) -> np.ndarray:
+    if key in _KNOWN:
+        return _KNOWN[key]
     box, double = _tables()
     words = len(key) // 4
     w = [np.frombuffer(key[4 * i : 4 * i + 4], np.uint8) for i in range(words)]
@@ -45,7 +49,8 @@ def _round_keys(key: bytes) -> np.ndarray:
         elif words > 6 and i % words == 4:
             t = box[t]
         w.append(w[i - words] ^ t)
-    return np.concatenate(w).reshape(-1, 16)
+    _KNOWN[key] = np.concatenate(w).reshape(-1, 16)
+    return _KNOWN[key]
 
 
 SHIFT = np.array([(i + 4 * (i % 4)) % 16 for i in range(16)])
@@ -109,21 +114,28 @@ def ff1(values: list[str], tweaks: list[bytes], radix: int, key: bytes, decrypt:
     return out
 
 
-def ff1_column(value: Column, tweak: Column, radix: Column, key: bytes, decrypt: bool = False) -> Column:
-    """FF1 of a column whose characters are all in the radix' alphabet; null where they aren't, or where the value is too short."""
+def ff1_column(text: Column, tweak: Column, radix: Column, least: Column, key: bytes, decrypt: bool = False) -> Column:
+    """FF1 of the characters of the radix' alphabet in a text; all others keep their places. Null where fewer than `least` are."""
 
     @F.pandas_udf("string")
-    def run(values: pd.Series, tweaks: pd.Series, radixes: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(values), dtype=object)
+    def run(texts: pd.Series, tweaks: pd.Series, radixes: pd.Series, leasts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype=object)
         for radix in radixes.dropna().unique():
-            chars = set(ALPHABETS[int(radix)])
-            mine = [i for i in range(len(values)) if radixes.iloc[i] == radix and values.iloc[i] and len(values.iloc[i]) >= 2 and int(radix) ** len(values.iloc[i]) >= 100 and chars.issuperset(values.iloc[i])]
-            if mine:
-                done = ff1([values.iloc[i] for i in mine], [bytes(tweaks.iloc[i]) for i in mine], int(radix), key, decrypt)
-                out.iloc[mine] = done
+            if radix < 2:
+                continue
+            chars, rows, bare = set(ALPHABETS[int(radix)]), [], []
+            for i in np.flatnonzero((radixes == radix).to_numpy()):
+                own = "".join(c for c in texts.iloc[i] or "" if c in chars)
+                if len(own) >= max(2, leasts.iloc[i]):
+                    rows.append(i)
+                    bare.append(own)
+            done = ff1(bare, [bytes(tweaks.iloc[i]) for i in rows], int(radix), key, decrypt)
+            for i, new in zip(rows, done, strict=True):
+                left = iter(new)
+                out.iloc[i] = "".join(next(left) if c in chars else c for c in texts.iloc[i])
         return out
 
-    return run(value, tweak, radix)
+    return run(text, tweak, radix, least)
 
 
 def tweak(request_id: Column, place: Column) -> Column:

@@ -58,11 +58,12 @@ def with_warning(kind: Column, body: Column, label: Column) -> Column:
 
     The first text's JSON string is found as written, so keys, numbers and spacing elsewhere stay as they are.
     """
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(label, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), "\n", r"\\\\n")
+    quoted = F.to_json(F.struct(label.alias("x")))  # {"x":"..."}
+    escaped = F.substring(quoted, F.lit(7), F.length(quoted) - 8)
     key = F.when(kind == "anthropic", "text").when(kind == "openai", "content").when(kind == "gemini", "text").when(kind == "cohere", "text").when(kind == "ollama", F.when(F.get_json_object(body, "$.message.content").isNotNull(), "content").otherwise("response"))
     mark = F.concat(F.lit('"'), key, F.lit('"'))
-    opening = F.regexp_extract(body, F.concat(F.lit("^([\\s\\S]*?"), mark, F.lit('\\s*:\\s*")')), F.lit(1))
-    return F.when(kind == "plain_text", F.concat(label, body)).when(key.isNotNull() & (opening != ""), F.concat(opening, F.replace(escaped, F.lit("\\\\"), F.lit("\\")), F.substring(body, F.length(opening) + 1, F.length(body))))
+    opening = F.call_function("regexp_extract", body, F.concat(F.lit("^([\\s\\S]*?"), mark, F.lit('\\s*:\\s*")')), F.lit(1))
+    return F.when(kind == "plain_text", F.concat(label, body)).when(key.isNotNull() & (opening != ""), F.concat(opening, escaped, F.substring(body, F.length(opening) + 1, F.length(body))))
 
 
 def stream_delta(data: Column) -> tuple[Column, Column]:

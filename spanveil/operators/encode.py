@@ -35,23 +35,10 @@ def bare(text: Column, kind: Column) -> Column:
     )
 
 
-def rewoven(text: Column, digits: Column, kind: Column) -> Column:
-    """The text with its alphabet characters replaced, in order, by those of `digits`."""
-    radix = of_type(kind, 0)
-    own = F.when(radix == 10, "[0-9]").when(radix == 16, "[0-9a-f]").when(radix == 36, "[0-9a-z]").otherwise("[0-9A-Za-z]")
-    step = lambda acc, c: F.when(
-        F.regexp_like(c, own), F.struct((acc["at"] + 1).alias("at"), F.concat(acc["out"], F.substring(digits, acc["at"] + 1, F.lit(1))).alias("out"))
-    ).otherwise(F.struct(acc["at"].alias("at"), F.concat(acc["out"], c).alias("out")))
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: acc["out"])
-
-
 def sealed(value: Column, kind: Column, tweak: Column, key: bytes, decrypt: bool = False) -> Column:
     """Ciphertext (or plaintext) in the value's own format; null where the type has none or the value is too short."""
     before, middle, after = parts(value, kind)
-    text = bare(middle, kind)
-    allowed = (of_type(kind, 0) > 0) & (F.length(text) >= of_type(kind, 1))
-    done = crypto.ff1_column(F.when(allowed, text), tweak, of_type(kind, 0), key, decrypt)
-    return F.when(done.isNotNull(), F.concat(before, rewoven(middle, done, kind), after))
+    return F.concat(before, crypto.ff1_column(middle, tweak, of_type(kind, 0), of_type(kind, 1), key, decrypt), after)
 
 
 def encoded(spans: DataFrame, key: bytes, fail_open: bool = True) -> DataFrame:
@@ -97,7 +84,7 @@ def restored(texts: DataFrame, mapping: DataFrame, key: str = "doc_id", fuzzy: b
     row = F.struct((-F.length("ciphertext")).alias("k"), "ciphertext", "plaintext", "type")
     per = mapping.groupBy(key).agg(F.array_sort(F.collect_set(row)).alias("maps"))
     joined = texts.join(per, key, "left").withColumn("clean", plain_dashes(unescaped(F.col("text"))))
-    quoted = lambda p: F.regexp_replace(F.regexp_replace(p, r"\\", r"\\\\\\\\"), r"\$", r"\\\\\$")
+    quoted = lambda p: F.replace(F.replace(p, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
     def step(acc: Column, m: Column) -> Column:
         exact = F.replace(acc, m["ciphertext"], m["plaintext"])

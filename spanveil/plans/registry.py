@@ -1,6 +1,6 @@
 """Queries and their SQL by name."""
 
-from . import detecting
+from . import detecting, serving
 
-QUERIES: dict = {**detecting.QUERIES}
-ORACLES: dict = {**detecting.ORACLES}
+QUERIES: dict = {**detecting.QUERIES, **serving.QUERIES}
+ORACLES: dict = {**detecting.ORACLES, **serving.ORACLES}
