@@ -46,7 +46,7 @@ def unit_rows(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1))[:, None]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, sample: int = 16_384, reach: float = 0.5, chunk: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, sample: int = 16_384, reach: float = 0.4, chunk: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row.
 
     Null and zero vectors and those with null or non-finite components link with nothing; vectors of different lengths don't
