@@ -1,6 +1,6 @@
 """Queries and their SQL by name."""
 
-from . import detecting, serving
+from . import detecting, extra, serving
 
-QUERIES: dict = {**detecting.QUERIES, **serving.QUERIES}
-ORACLES: dict = {**detecting.ORACLES, **serving.ORACLES}
+QUERIES: dict = {**detecting.QUERIES, **serving.QUERIES, **extra.QUERIES}
+ORACLES: dict = {**detecting.ORACLES, **serving.ORACLES, **extra.ORACLES}
