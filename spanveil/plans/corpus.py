@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.io import spread
+
 KEY = "c_custkey"
 
 
@@ -61,7 +63,11 @@ NUMBERS = {n: num(n, 7 * n, "o_orderkey") for n in (8, 9, 10, 11, 12, 13, 14, 15
 
 
 def corpus(spark: SparkSession, sf_dir: str, text: str = TEXT) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(f"CAST({KEY} AS BIGINT) AS doc_id", f"{text} AS text")
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).selectExpr(f"CAST({KEY} AS BIGINT) AS doc_id", f"{text} AS text")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def corpus_sql(text: str = TEXT) -> str:

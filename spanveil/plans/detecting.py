@@ -105,7 +105,7 @@ for _p in dims.BASE:
         _source = cp.corpus_sql(_text) if _text else "SELECT doc_id, text FROM documents"
         add(
             f"{_p.key}_{_p.type}{_where}",
-            lambda s, d, p=_p, t=_text: spans.scan(cp.corpus(s, d, t) if t else s.read.parquet(f"{d}/documents.parquet"), [p]).drop("pattern"),
+            lambda s, d, p=_p, t=_text: spans.scan(cp.corpus(s, d, t) if t else cp.documents(s, d), [p]).drop("pattern"),
             f"SELECT doc_id, \"start\", \"end\", value, '{_p.type}' AS type, CAST(1.0 AS DOUBLE) AS confidence, 'regex' AS source FROM {spans_sql(_source, _p.regex)} WHERE {rule_sql(_p.validator)}",
         )
 for _p in dims.LANGUAGE:
@@ -149,11 +149,11 @@ add(
     lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), [dims.LANGUAGE[27]]).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
     f"SELECT 'phone' AS type, count(*) AS n FROM {spans_sql(cp.corpus_sql(cp.FOREIGN), dims.LANGUAGE[27].regex)} WHERE {GUARD}",
 )
-add("d38_language_detect", lambda s, d: s.read.parquet(f"{d}/documents.parquet").groupBy("lang", tx.language(F.col("text")).alias("guess")).agg(F.count(F.lit(1)).alias("n")))
+add("d38_language_detect", lambda s, d: cp.documents(s, d).groupBy("lang", tx.language(F.col("text")).alias("guess")).agg(F.count(F.lit(1)).alias("n")))
 RELATED_SQL = "VALUES " + ", ".join(f"('{k}', '{x}')" for k, own in dims.RELATED.items() for x in own)
 add(
     "d39_related_languages",
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(F.element_at(F.create_map(*(x for k, v in dims.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("lang"))).alias("scanned")),
+    lambda s, d: cp.documents(s, d).select("doc_id", F.explode(F.element_at(F.create_map(*(x for k, v in dims.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("lang"))).alias("scanned")),
     f"SELECT d.doc_id, r.s AS scanned FROM documents d JOIN ({RELATED_SQL}) r(l, s) ON d.lang = r.l",
 )
 add(
@@ -241,7 +241,7 @@ add("r6_ordered_spans", lambda s, d: spans.greedy(engines(s, d)).groupBy("doc_id
 add("d54_hybrid_scan", lambda s, d: spans.vote(engines(s, d)), f"SELECT * FROM ({VOTE_SQL}) WHERE confidence >= 0.5")
 add("a1_type_counts", lambda s, d: spans.vote(engines(s, d)).groupBy("type").agg(F.count_distinct("value").alias("n")), f"SELECT type, count(DISTINCT value) AS n FROM ({VOTE_SQL}) WHERE confidence >= 0.5 GROUP BY type")
 add("a2_categories", lambda s, d: spans.vote(engines(s, d)).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")), f"SELECT doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({VOTE_SQL}) WHERE confidence >= 0.5 GROUP BY doc_id")
-add("d54_hybrid_scan_counts", lambda s, d: spans.vote(spans.scan(s.read.parquet(f"{d}/documents.parquet"), dims.BASE)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")))
+add("d54_hybrid_scan_counts", lambda s, d: spans.vote(spans.scan(cp.documents(s, d), dims.BASE)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")))
 add("p15_label_redaction", lambda s, d: spans.spliced(cp.corpus(s, d), spans.greedy(spans.scan(cp.corpus(s, d), [dims.BASE[3]]).drop("pattern")).withColumn("replacement", F.lit("[EMAIL]"))),
     f"SELECT doc_id, regexp_replace(text, '{dims.BASE[3].regex}', '[EMAIL]', 'g') AS text FROM ({cp.corpus_sql()})")
 add("t5_code_fences", lambda s, d: cp.corpus(s, d, cp.SAID).select("doc_id", tx.fences_masked(F.col("text")).alias("text")),

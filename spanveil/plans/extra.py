@@ -23,7 +23,7 @@ def add(name: str, query, oracle: str | None = None) -> None:
 customers = lambda s, d: s.read.parquet(f"{d}/customer.parquet")
 VOCABULARY = ["[UNK]", "un", "##aff", "##able", "hello", "!"]
 add("t12_wordpiece", lambda s, d: customers(s, d).select("c_custkey", F.array_join(pieces.pieces(F.concat(F.lit("Hello unaffable! zz"), F.lit("")), VOCABULARY), ",").alias("ids")), "SELECT c_custkey, '4,1,2,3,5,0' AS ids FROM customer")
-add("t13_chunks", lambda s, d: pieces.chunked(s.read.parquet(f"{d}/documents.parquet")).groupBy("doc_id").agg((F.max(F.octet_length("chunk")) <= 800).alias("fits"), F.max(F.col("at") + F.length("chunk")).cast("long").alias("reach")), "SELECT doc_id, true AS fits, CAST(length(text) AS BIGINT) AS reach FROM documents WHERE text <> ''")
+add("t13_chunks", lambda s, d: pieces.chunked(cp.documents(s, d)).groupBy("doc_id").agg((F.max(F.octet_length("chunk")) <= 800).alias("fits"), F.max(F.col("at") + F.length("chunk")).cast("long").alias("reach")), "SELECT doc_id, true AS fits, CAST(length(text) AS BIGINT) AS reach FROM documents WHERE text <> ''")
 add("d46_crf_features", lambda s, d: customers(s, d).select("c_custkey", F.lit(",".join(crf.features(["Anna", "Smith"], 0))).alias("features")), "SELECT c_custkey, 'bias,w=anna,shape=Xxx,p1=a,p2=an,p3=ann,s1=a,s2=na,s3=nna,is_title,BOS,w+1=smith' AS features FROM customer")
 touching = lambda s, d: customers(s, d).select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(v).alias("value"), F.lit(t).alias("type")) for a, b, v, t in ((0, 4, "a", "person"), (4, 9, "b", "person"), (2, 6, "c", "location"), (12, 15, "d", "person"))))).alias("x")).select("doc_id", "x.*")
 add("d51_chunk_merge", lambda s, d: pieces.merged_chunks(touching(s, d)).select("doc_id", "value"), "SELECT c_custkey AS doc_id, unnest(['a', 'c', 'd']) AS value FROM customer")

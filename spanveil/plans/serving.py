@@ -194,7 +194,7 @@ DELTAS = ['{"delta":{"text":"x"}}', '{"choices":[{"delta":{"content":"x"}}]}', '
 deltas = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.element_at(F.array(*map(F.lit, DELTAS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("data"))
 add("z2_delta_extraction", lambda s, d: deltas(s, d).select("c_custkey", formats.stream_delta(F.col("data"))[0].alias("format"), formats.stream_delta(F.col("data"))[1].alias("text")), "SELECT c_custkey, ['anthropic', 'openai', 'gemini', 'generic', 'generic'][c_custkey % 5 + 1] AS format, 'x' AS text FROM customer")
 add("z6_delta_events", lambda s, d: deltas(s, d).select("c_custkey", formats.stream_delta(F.regexp_extract(formats.delta_event(formats.stream_delta(F.col("data"))[0], F.lit("y")), "^data: (.*)", 1))[1].alias("text")), "SELECT c_custkey, 'y' AS text FROM customer")
-add("z5_buffer_cap", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.octet_length(sse.buffered(F.col("text"), 1000)).between(F.least(F.lit(997), F.octet_length("text")), F.lit(1000)).alias("fits")), "SELECT doc_id, true AS fits FROM documents")
+add("z5_buffer_cap", lambda s, d: cp.documents(s, d).select("doc_id", F.octet_length(sse.buffered(F.col("text"), 1000)).between(F.least(F.lit(997), F.octet_length("text")), F.lit(1000)).alias("fits")), "SELECT doc_id, true AS fits FROM documents")
 
 # --- monitoring
 samples, SAMPLES = made(["event_type AS metric", "CAST(abs(floor(value * 1000)) AS BIGINT) AS us"], "events")
@@ -214,10 +214,10 @@ add("o2_timing_headers", lambda s, d: samples(s, d).limit(0).unionByName(samples
 
 # --- datasets
 add("e1_label_normalisation", lambda s, d: dataset.normalised_labels(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_mktsegment").alias("label")), s.createDataFrame([("BUILDING", "construction")], "synonym string, label string")), "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' ELSE replace(lower(c_mktsegment), ' ', '_') END AS label FROM customer")
-add("e2_exact_dedup", lambda s, d: dataset.first_of_each(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text", "doc_id").select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))")
+add("e2_exact_dedup", lambda s, d: dataset.first_of_each(cp.documents(s, d).select("doc_id", "text"), "text", "doc_id").select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))")
 near, NEAR = made(["c_custkey AS id", "c_mktsegment AS label", "substr(c_name, 1, 17) || CAST(c_custkey % 10 AS STRING) AS text", "CAST(c_custkey % 50 AS INT) AS grp"])
 add("e3_similar_pairs", lambda s, d: dataset.similar_pairs(near(s, d), "id", "text", ["label", "grp"], least=0.9), f"SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text)), 4) AS ratio FROM ({NEAR}) x JOIN ({NEAR}) y ON x.label = y.label AND x.grp = y.grp AND x.id < y.id WHERE abs(length(x.text) - length(y.text)) <= 0.3 * greatest(length(x.text), length(y.text)) AND round(1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text)), 4) >= 0.9")
-add("e5_entry_types", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", dataset.entry_type(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "fear")).alias("kind")), "SELECT doc_id, CASE WHEN len(string_split_regex(regexp_replace(text, '^ +| +$', '', 'g'), '\\s+')) <= 8 THEN 'phrase' ELSE 'para' END || '_' || CASE WHEN doc_id % 2 = 0 THEN 'manip' ELSE 'benign' END AS kind FROM documents")
+add("e5_entry_types", lambda s, d: cp.documents(s, d).select("doc_id", dataset.entry_type(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "fear")).alias("kind")), "SELECT doc_id, CASE WHEN len(string_split_regex(regexp_replace(text, '^ +| +$', '', 'g'), '\\s+')) <= 8 THEN 'phrase' ELSE 'para' END || '_' || CASE WHEN doc_id % 2 = 0 THEN 'manip' ELSE 'benign' END AS kind FROM documents")
 add("e6_multi_hot", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(dataset.multi_hot(F.array("c_mktsegment"), ["BUILDING", "MACHINERY"]), "").alias("hot")), "SELECT c_custkey, CAST(CAST(c_mktsegment = 'BUILDING' AS INT) AS VARCHAR) || CAST(CAST(c_mktsegment = 'MACHINERY' AS INT) AS VARCHAR) AS hot FROM customer")
 add("e7_stratified_split", lambda s, d: dataset.split(s.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id", F.col("toxic")),
     "WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || '/42'), doc_id) - 1 AS i, count(*) OVER (PARTITION BY toxic) AS n FROM labels) SELECT doc_id, toxic, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS part FROM r")
@@ -232,8 +232,8 @@ PRF = lambda n, t, g: f"SELECT '{n}' AS label, count(*) FILTER ({t} AND {g}) AS
 add("e10_label_scores", lambda s, d: dataset.label_scores(judged(s, d), ["a", "b"]), f"SELECT *, tp + fn AS support, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM ({PRF('a', '(c_custkey % 2 = 1)', '(c_custkey % 4 = 1)')} UNION ALL {PRF('b', '(c_custkey % 3 = 0)', '(c_custkey % 5 = 0)')})")
 add("e11_detection_recall", lambda s, d: spans.scan(cp.corpus(s, d), [dims.BASE[3]]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(cp.corpus(s, d), "doc_id", "right").agg(F.round(F.avg((F.col("n") >= 1).cast("double")), 6).alias("recall")), "SELECT CAST(1.0 AS DOUBLE) AS recall")
 PARA = "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS t FROM documents) SELECT count(*) FILTER (length(t) >= 30) AS n FROM p"
-add("t14_paragraphs", lambda s, d: dataset.paragraphs(s.read.parquet(f"{d}/documents.parquet")).agg(F.count(F.lit(1)).alias("n")), PARA)
-add("r9_labelled_paragraphs", lambda s, d: dataset.labelled_paragraphs(dataset.paragraphs(s.read.parquet(f"{d}/documents.parquet")), s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(0).alias("first"), F.lit(20).alias("last"), F.lit("x").alias("label"))).select("doc_id", "i", F.array_join("labels", ",").alias("labels")))
+add("t14_paragraphs", lambda s, d: dataset.paragraphs(cp.documents(s, d)).agg(F.count(F.lit(1)).alias("n")), PARA)
+add("r9_labelled_paragraphs", lambda s, d: dataset.labelled_paragraphs(dataset.paragraphs(cp.documents(s, d)), cp.documents(s, d).select("doc_id", F.lit(0).alias("first"), F.lit(20).alias("last"), F.lit("x").alias("label"))).select("doc_id", "i", F.array_join("labels", ",").alias("labels")))
 add("e13_expectations", lambda s, d: dataset.expectations(spans.scan(cp.corpus(s, d), dims.BASE).select(F.col("doc_id").alias("file"), "type"), cp.corpus(s, d).select(F.col("doc_id").alias("file"), F.lit(1).alias("least"), F.array(F.lit("email"), F.lit("mac_address")).alias("types"))).select("file", "least", "verdict"), f"SELECT doc_id AS file, 1 AS least, 'pass' AS verdict FROM ({cp.corpus_sql()})")
 
 # --- media decisions
@@ -266,4 +266,4 @@ add("o7_anchors", lambda s, d: media.anchors(s).groupBy("layer").agg(F.count(F.l
 CRF = (["O", "B-PER", "I-PER"], {"bias": [0.2, 0.0, 0.0], "w=anna": [0.0, 2.0, 0.0], "w=smith": [0.0, 0.0, 2.0]}, [[0.5, 0.0, -5.0], [0.0, -1.0, 1.0], [0.0, -1.0, -0.5]])
 add("d47_crf", lambda s, d: crf.scan(cp.corpus(s, d, cp.SAID), *CRF).select("doc_id", "value", "type"), "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Anna Smith' AS value, 'person' AS type FROM customer WHERE c_custkey % 4 <> 0".replace("'person'", "'per'"))
 # --- reports over the events, beyond the inventory
-add("x_rollup_report", lambda s, d: s.read.parquet(f"{d}/documents.parquet").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n")), "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")
+add("x_rollup_report", lambda s, d: cp.documents(s, d).rollup("lang", "source").agg(F.count(F.lit(1)).alias("n")), "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")

@@ -42,6 +42,12 @@ def media(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.hex(F.substring("content", 1, 16)).alias("head"), "length", "content")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make less than half as many partitions; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 def append(df: DataFrame, path: str) -> None:
     """Snapshots, journals and mappings are appended, never rewritten."""
     df.write.mode("append").parquet(path)
