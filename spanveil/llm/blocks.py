@@ -119,11 +119,13 @@ def group_bounds(blocks: DataFrame, group_bytes: int = 24 << 20) -> np.ndarray:
     return np.unique(((cell + np.clip(inside, 0, 1 - 1e-9)) * 2.0**32).astype(U64) << U64(16))
 
 
-def ask_all(blocks: DataFrame, bounds: np.ndarray, ask: Callable[[pa.RecordBatch, int], Iterator[tuple[np.ndarray, list[bytes]]]], answer: Callable, schema: str) -> DataFrame:
-    """answer(group, rows) for each group, where rows are (block, kind, keys, extras...) as asked.
+Ask = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, Callable[[int, int], bytes]]]]
 
-    ask(rows, block) gives for each kind sorted distinct keys with functions of a slice of them: what else to send for it.
-    answer(group, [(block, kind, keys, extra)]) gives batches of `schema`.
+
+def questions(blocks: DataFrame, bounds: np.ndarray, ask: Ask) -> DataFrame:
+    """(grp, block, kind, keys, extra): what each block asks of each group.
+
+    ask(rows) gives for each kind sorted distinct keys with functions of a slice of them: what else to send for it.
     """
     shared = blocks.sparkSession.sparkContext.broadcast(bounds)
 
@@ -132,12 +134,23 @@ def ask_all(blocks: DataFrame, bounds: np.ndarray, ask: Callable[[pa.RecordBatch
         for batch in batches:
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
                 for kind, (keys, extra) in enumerate(ask(opened(raw.as_py()))):
-                    edges = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                    rows = [(g, block, kind, packed_sorted(keys[a:b]), extra(a, b)) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                    rows = [(g, block, kind, packed_sorted(keys[a:b]), extra(a, b)) for g, a, b in by_group(keys, bounds)]
                     if rows:
                         g, b, k, keys_, extras = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(b, pa.int64()), pa.array(k, pa.int8()), pa.array(keys_, pa.binary()), pa.array(extras, pa.binary())], names=["grp", "block", "kind", "keys", "extra"])
 
+    return blocks.select("block", "rows").mapInArrow(asked, "grp int, block long, kind byte, keys binary, extra binary")
+
+
+def by_group(keys: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, start, end) of the slices of sorted keys that groups hold, empty ones left out."""
+    edges = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    return [(g, a, b) for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+
+
+def ask_all(blocks: DataFrame, bounds: np.ndarray, ask: Ask, answer: Callable, schema: str) -> DataFrame:
+    """answer(group, [(block, kind, keys, extra)]) for each group, as batches of `schema`; ask as in `questions`."""
+
     def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict[int, list] = {}
         for batch in batches:
@@ -146,8 +159,7 @@ def ask_all(blocks: DataFrame, bounds: np.ndarray, ask: Callable[[pa.RecordBatch
         for g, own in rows.items():
             yield from answer(g, own)
 
-    sent = blocks.select("block", "rows").mapInArrow(asked, "grp int, block long, kind byte, keys binary, extra binary")
-    return sent.repartitionById(len(bounds) + 1, F.col("grp")).mapInArrow(answered, schema)
+    return questions(blocks, bounds, ask).repartitionById(len(bounds) + 1, F.col("grp")).mapInArrow(answered, schema)
 
 
 def told(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.RecordBatch, dict], Iterator[pa.RecordBatch]], schema) -> DataFrame:

@@ -11,9 +11,10 @@ where P(w) is the smoothed word probability, and s(h) the share of what follows
 summed over the histories whose hash begins with the same 16 bits as h's. For each such class of histories
 the probabilities add up to one.
 
-Scale: the filter is the only thing broadcast. Its size follows the number of pairs, up to `most_bytes`; if
-they need more, pairs of the lowest levels stay out (their mass goes to the words), which `least_level`
-reports. Pairs are counted on the executors, where each group builds its own segment.
+Scale: the filter holds every pair that occurs twice or more, so its size follows the corpus. Pairs are
+counted on the executors, where each group builds its own segment. Up to `most_bytes` the segments are
+broadcast; a larger filter stays where it is, and blocks send their distinct pairs to the segments instead,
+which are probed there. The levels, and so the scores, are the same either way.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PREFIXES, ask_all, group_bounds, make_blocks, packed, packed_sorted, told, unpacked, unpacked_sorted
+from .blocks import PREFIXES, ask_all, by_group, group_bounds, make_blocks, packed, packed_sorted, questions, told, unpacked, unpacked_sorted
 from .common import LOWER, U64, fold, mix, ngram_hashes, word_hashes, written
 
 #: the hash of a text's end, which is also what stands before its first word; no word holds a space
@@ -145,19 +146,29 @@ def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64
     blocks = make_blocks(rows, census, block_bytes)
     bounds = group_bounds(blocks)
     answers = written(ask_all(blocks, bounds, ask, answer, "block long, grp int, kind byte, answer binary"))
-    model = fitted(answers, bounds, most_bytes, bits_each)
+    model, segments = fitted(answers, bounds, most_bytes, bits_each)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    deepest = model["deepest"]
+
+    def ask_pairs(batch: pa.RecordBatch):
+        yield np.unique(Tokens(batch, parts, held).pairs()), lambda a, b: b""
+
+    def probe(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        own = Filter(np.empty(0, U64), [np.frombuffer(segment.column("bits")[0].as_py(), np.uint8) if segment.num_rows else np.empty(0, np.uint8)], deepest)
+        found = [packed(own.level(unpacked_sorted(raw.as_py()))) for raw in asked.column("keys")]
+        return pa.Table.from_arrays([asked.column("block"), asked.column("grp"), pa.array(np.ones(len(found), np.int8)), pa.array(found, pa.binary())], names=["block", "grp", "kind", "answer"])
+
+    replies = answers.where("kind = 0")
+    if model["segments"] is None:
+        sent = questions(blocks, bounds, ask_pairs).select("grp", "block", "keys").groupBy("grp")
+        replies = replies.unionByName(sent.cogroup(segments.groupBy("grp")).applyInArrow(probe, answers.schema))
     smooth = np.log10(model["tokens"] + 0.1 * (model["kinds"] + 1)) if model["tokens"] else np.log10(0.1)
 
     def finish(batch: pa.RecordBatch, told_: dict) -> pa.RecordBatch:
         model = shared.value
         own = Tokens(batch, parts, held)
         keys, at = np.unique(own.words(), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        edges = [0, *np.searchsorted(keys, model["bounds"]).tolist(), len(keys)]
-        for g, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if b > a:
-                counts[a:b] = unpacked(told_[g, 0]).astype(np.int64)
+        counts = replied(keys, model["bounds"], told_, 0)
         c = counts[at]
         n = len(own.sizes)
         word = np.log10(c + 0.1)
@@ -165,8 +176,11 @@ def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64
         end = np.searchsorted(keys, mix(np.array([END], U64)))
         history = np.r_[counts[end], c[:-1]] if len(c) else c
         pairs = own.pairs()
-        filter_ = Filter(model["bounds"], model["segments"], model["deepest"])
-        level = filter_.level(pairs)
+        if model["segments"] is None:
+            distinct, back = np.unique(pairs, return_inverse=True)
+            level = replied(distinct, model["bounds"], told_, 1)[back]
+        else:
+            level = Filter(model["bounds"], model["segments"], model["deepest"]).level(pairs)
         ratio = np.where((level > 0) & (history > 0), np.minimum(1.0, 2.0**level / np.maximum(history, 1)), 0.0)
         share = np.where(history > 0, model["share"][(pairs >> U64(48)).astype(np.int64)], 0.0)
         p = A * ratio + (1 - A * share) * 10 ** (word - smooth)
@@ -177,11 +191,23 @@ def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return told(blocks, answers.where("kind = 0"), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return told(blocks, replies, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
 
+def replied(keys: np.ndarray, bounds: np.ndarray, told_: dict, kind: int) -> np.ndarray:
+    """What the groups replied for a block's sorted distinct keys."""
+    out = np.zeros(len(keys), np.int64)
+    for g, a, b in by_group(keys, bounds):
+        out[a:b] = unpacked(told_[g, kind]).astype(np.int64)
+    return out
+
+
+def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: int) -> tuple[dict, DataFrame]:
+    """The totals with the filter's segments, or None for those if they need over most_bytes; and the segments' table (grp, bits).
+
+    The driver gets at most most_bytes and sums for 65,536 classes.
+    """
 
-def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: int) -> dict:
-    """The filter's segments and the totals, from the groups' answers: bounded by most_bytes and 65,536 classes."""
     def sums(kind: int, read) -> dict[int, int]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,16 +227,11 @@ def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: i
         return np.arange(len(values)), values
 
     totals, by_level = sums(3, vector), sums(5, vector)
-    # inserts if pairs below a level stay out; the least level that fits
-    least = 1
-    while least < 64 and bits_each * sum(q * n for q, n in by_level.items() if q >= least) > 8 * most_bytes:
-        least += 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for grp, keys, level in zip(*(batch.column(c).to_pylist() for c in ("grp", "keys", "level")), strict=True):
                 keys, level = unpacked_sorted(keys), unpacked(level).astype(np.int64)
-                keys, level = keys[level >= least], level[level >= least]
                 size = -(-int(level.sum()) * bits_each // 64) * 8
                 bits = np.zeros(8 * size, bool)
                 for q in range(1, int(level.max(initial=0)) + 1):
@@ -222,9 +243,11 @@ def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: i
 
     keys = answers.where("kind = 1").select("grp", F.col("answer").alias("keys"))
     built = written(keys.join(answers.where("kind = 4").select("grp", F.col("answer").alias("level")), "grp").mapInArrow(build, "grp int, bits binary, mass binary"))
-    segments = [np.empty(0, np.uint8)] * (len(bounds) + 1)
-    for row in built.select("grp", "bits").toLocalIterator():
-        segments[row["grp"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    segments = None
+    if (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= most_bytes:
+        segments = [np.empty(0, np.uint8)] * (len(bounds) + 1)
+        for row in built.select("grp", "bits").toLocalIterator():
+            segments[row["grp"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
     seen = np.zeros(PREFIXES)
     for at, n in sums(2, cells).items():
         seen[at] = n
@@ -239,9 +262,9 @@ def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: i
     for row in built.select("mass").mapInArrow(masses, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         held[row["at"]] = row["n"]
     return {
-        "bounds": bounds, "segments": segments, "deepest": max([0, *(q for q, n in by_level.items() if n)]), "least_level": least,
+        "bounds": bounds, "segments": segments, "deepest": max([0, *(q for q, n in by_level.items() if n)]),
         "share": np.minimum(1.0, held / np.maximum(seen, 1)), "tokens": int(totals.get(0, 0)), "kinds": int(totals.get(1, 0)),
-    }
+    }, built.select("grp", "bits")
 
 
 def unpacked_two(raw: bytes) -> tuple[np.ndarray, np.ndarray]:

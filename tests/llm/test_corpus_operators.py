@@ -331,7 +331,11 @@ def test_lm(docs, odd, none):
             r = by_id[i]
             assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["train_tokens"] == n and r["n_tokens"] == len(w) + 1
             assert r["n_known"] == sum(counts[x] > 0 for x in [*w, b" end"]) and r["score"] < 0
+        # a filter that is too large to broadcast is probed where it lies, with the same scores
+        kept = lm.scores(table, block_bytes=100_000, most_bytes=0).collect()
+        assert sorted(map(str, kept)) == sorted(map(str, got))
     assert lm.scores(none).count() == 0
+    assert lm.scores(none, most_bytes=-1).count() == 0
 
 
 def test_bloom_filter_is_never_too_low():
