@@ -45,6 +45,20 @@ def multi_hot(categories: Column, known: list[str]) -> Column:
     return F.array(*(F.array_contains(categories, k).cast("int") for k in known))
 
 
+def vocabulary_errors(rows: DataFrame, key: str, allowed: dict[str, list[str]]) -> DataFrame:
+    """(key, field, value) of values that their field's list doesn't hold. A null is missing, not wrong."""
+    checks = [F.when(~F.col(c).cast("string").isin(known), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c, known in allowed.items()]
+    return rows.select(key, F.explode(F.filter(F.array(*checks), lambda e: e.isNotNull())).alias("e")).select(key, "e.field", "e.value")
+
+
+def paragraph_rows(paras: DataFrame, labelled: DataFrame, most_benign: int = 500) -> DataFrame:
+    """(doc_id, i, text, labels): all labelled paragraphs, and as many of the others as asked for, by hash of their place."""
+    rows = paras.select("doc_id", "i", "text").join(labelled, ["doc_id", "i"], "left")
+    benign = rows.where("labels IS NULL").withColumn("labels", F.expr("CAST(array() AS array<string>)"))
+    picked = benign.orderBy(F.md5(F.concat_ws(":", "doc_id", "i")), "doc_id", "i").limit(most_benign)
+    return rows.where("labels IS NOT NULL").unionByName(picked)
+
+
 def split(rows: DataFrame, key: str, by: Column, train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with part: train, validation or test, in these shares (rounded down) of each stratum, by hash of key and seed."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")))

@@ -118,12 +118,21 @@ def loose(cipher: Column, kind: Column) -> Column:
     )
 
 
-def lite(docs: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
-    """The small redactor: five patterns, first match wins, labels in place of values."""
+def lite(docs: DataFrame, labels: dict[str, str] | None = None, semantic: DataFrame | None = None) -> DataFrame:
+    """The small redactor: five patterns, first match wins, labels in place of values.
+
+    semantic: spans (doc_id, start, end, value, type) of another engine, which come first: a pattern's match that overlaps one goes.
+    Types without a label get their name in brackets. All offsets are of the text as it was.
+    """
     from .dims import BASE
     from .spans import greedy, scan
 
     labels = labels or {"ssn": "[SSN]", "credit_card": "[CREDIT_CARD]", "phone": "[PHONE]", "email": "[EMAIL]", "api_key": "[API_KEY]"}
-    found = greedy(scan(docs, [p for p in BASE if p.type in labels], validate=False).drop("pattern"))
-    label = F.element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.col("type"))
+    found = scan(docs, [p for p in BASE if p.type in labels], validate=False).select("doc_id", "start", "end", "value", "type")
+    if semantic is not None:
+        first = semantic.select("doc_id", "start", "end", "value", "type")
+        meets = (F.col("f.doc_id") == F.col("s.doc_id")) & (F.col("f.start") < F.col("s.end")) & (F.col("s.start") < F.col("f.end"))
+        found = found.alias("f").join(first.alias("s"), meets, "left_anti").unionByName(first)
+    found = greedy(found)
+    label = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in labels.items() for x in pair)), F.col("type")), F.concat(F.lit("["), F.upper("type"), F.lit("]")))
     return spliced(docs, found.withColumn("replacement", label))

@@ -93,6 +93,32 @@ def rewritten(body: Column, changes: Column) -> Column:
     return run(body, changes)
 
 
+def url_images(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, path, segments, url) of image addresses to fetch, both shapes of content block; inline images have none."""
+    last = lambda i: F.try_element_at("segments", F.lit(-i))
+    holds = (last(1) == "url") & last(2).isin("image_url", "source")
+    return leaves(df, key, body, nested=0).where(holds & F.regexp_like("value", F.lit("(?i)^https?://"))).select(key, "path", "segments", F.col("value").alias("url"))
+
+
+def sanitized(requests: DataFrame, patterns: list, key: bytes, fail_open: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(requests (request_id, body) with entities in all string leaves replaced, mapping as in encode.sanitized; its doc_id is the leaf's).
+
+    Strings that hold JSON are scanned as they are, so that they can be written back. Bodies that aren't JSON, or hold no
+    entity, stay as they are. request_id is unique.
+    """
+    from .encode import sanitized as encode_spans
+    from .spans import greedy, scan
+
+    found = leaves(requests, "request_id", "body", nested=0).withColumn("doc_id", F.concat_ws("#", "request_id", "path"))
+    texts = found.select("request_id", "doc_id", "segments", F.col("value").alias("text"))
+    hits = greedy(scan(texts, patterns).drop("pattern")).join(texts.select("doc_id", "request_id"), "doc_id")
+    safe, mapping = encode_spans(texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), hits, key, fail_open)
+    changes = safe.groupBy("request_id").agg(F.collect_list(F.struct("segments", F.col("text").alias("value"))).alias("changes"))
+    out = requests.join(changes, "request_id", "left")
+    body = F.when(F.col("changes").isNotNull(), rewritten(F.col("body"), F.col("changes"))).otherwise(F.col("body"))
+    return out.withColumn("body", body).drop("changes"), mapping
+
+
 def media_blocks(df: DataFrame, key: str, messages: Column) -> DataFrame:
     """(key, at, kind, media_type, has_data, url) of image and audio blocks among message content (array<string> of JSON objects)."""
     got = lambda p: F.get_json_object("block", p)

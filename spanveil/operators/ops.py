@@ -17,6 +17,11 @@ def body_limit(tier: Column) -> Column:
     return F.when(tier == "lite", LIMITS["lite"]).when(tier == "standard", LIMITS["standard"]).otherwise(LIMITS["full"])
 
 
+def within_endpoint(text: Column, most_bytes: int = 64 * 1024) -> Column:
+    """Whether the detection endpoint takes a text: it refuses larger ones whole."""
+    return F.coalesce(F.octet_length(text) <= most_bytes, F.lit(False))
+
+
 def scanned_type(content_type: Column) -> Column:
     """Bodies without a content type, and JSON, are scanned."""
     ct = F.lower(content_type)

@@ -51,6 +51,12 @@ def scan(docs: DataFrame, patterns: list[Pattern], text: str = "text", validate:
     return out.select("doc_id", "start", "end", "value", "type", F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), "pattern")
 
 
+def resliced(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Spans found in masked texts, with their values as they are in the documents."""
+    whole = docs.select("doc_id", F.col(text).alias("whole"))
+    return found.join(whole, "doc_id").withColumn("value", F.substring("whole", F.col("start") + 1, F.col("end") - F.col("start"))).drop("whole")
+
+
 def tokens(text: Column, lower: bool = True) -> Column:
     """array<struct<start,end,value>> of words: letters and digits, with hyphens and apostrophes inside."""
     return matches(F.lower(text) if lower else text, r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?")

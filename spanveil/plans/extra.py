@@ -43,7 +43,5 @@ add("j6_audio_notice", lambda s, d: customers(s, d).select("c_custkey", F.get_js
 add("j5_image_replace", lambda s, d: customers(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.lit('{"source":{"type":"base64","data":"AA"}}'), notice(["source", "data"], "BB")), "$.source.data").alias("data")), "SELECT c_custkey, 'BB' AS data FROM customer")
 add("j4_url_to_base64", lambda s, d: customers(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.lit('{"image_url":{"url":"https://x.example/a"}}'), notice(["image_url", "url"], "data:image/png;base64,AA")), "$.image_url.url").alias("url")), "SELECT c_custkey, 'data:image/png;base64,AA' AS url FROM customer")
 add("m11_audio_strip", lambda s, d: spans.phrase_scan(cp.corpus(s, d, cp.SAID), listed(s, {"spoken": ["social security", "date of birth"]})).select("doc_id").distinct().withColumn("text", F.lit("[AUDIO REMOVED]")), "SELECT CAST(c_custkey AS BIGINT) AS doc_id, '[AUDIO REMOVED]' AS text FROM customer WHERE c_custkey % 5 IN (0, 1)")
-add("v18_vocabulary_checks", lambda s, d: customers(s, d).where(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY c_mktsegment")
 add("p18_transcript_counts", lambda s, d: spans.scan(cp.corpus(s, d), dims.BASE[:4]).groupBy("type").agg(F.count(F.lit(1)).alias("n")))
 add("s9_health_report", lambda s, d: ops.latency(s.read.parquet(f"{d}/events.parquet").selectExpr("'all' AS metric", "CAST(abs(floor(value * 1000)) AS BIGINT) AS us")).select("metric", "n"), "SELECT 'all' AS metric, count(*) AS n FROM events")
-add("z7_warning_before_done", lambda s, d: sse.events(customers(s, d).select(F.col("c_custkey").cast("string").alias("stream_id"), F.lit(0).cast("long").alias("seq"), F.lit('data: {"text":"x"}\n\ndata: [DONE]\n').alias("chunk"))).groupBy("stream_id").agg(F.max_by("data", "i").alias("last")), "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, '[DONE]' AS last FROM customer")

@@ -1,6 +1,6 @@
 """Queries and their SQL by name."""
 
-from . import detecting, extra, serving
+from . import detecting, extra, flows, serving
 
-QUERIES: dict = {**detecting.QUERIES, **serving.QUERIES, **extra.QUERIES}
-ORACLES: dict = {**detecting.ORACLES, **serving.ORACLES, **extra.ORACLES}
+QUERIES: dict = {**detecting.QUERIES, **serving.QUERIES, **extra.QUERIES, **flows.QUERIES}
+ORACLES: dict = {**detecting.ORACLES, **serving.ORACLES, **extra.ORACLES, **flows.ORACLES}

@@ -49,7 +49,7 @@ _host = lambda c: F.regexp_extract(c, r"^[a-z]+://([^/:]*)", 1)
 from ..functions.validators import private_ip  # noqa: E402
 
 add("s7_fetch_guard", lambda s, d: urls(s, d).select("id", ops.fetchable(F.col("url"), private_ip(_host(F.col("url")))).alias("fetchable")), f"SELECT id, id % 6 IN (0, 1) AS fetchable FROM ({URLS})")
-add("s8_detect_endpoint", lambda s, d: spans.scan(cp.corpus(s, d), dims.BASE).where(F.col("doc_id") <= 50).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT doc_id, count(*) AS n FROM ({BASE_SQL}) WHERE doc_id <= 50 GROUP BY doc_id")
+add("s8_detect_endpoint", lambda s, d: spans.scan(cp.corpus(s, d).where(ops.within_endpoint(F.col("text"))), dims.BASE).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT doc_id, count(*) AS n FROM ({BASE_SQL}) GROUP BY doc_id")
 msgs, MSGS = made(["conv_id", "turn", "role", "text"], "conversations")
 add("s17_message_texts", lambda s, d: msgs(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " | ").alias("texts")),
     f"SELECT conv_id, string_agg(text, ' | ' ORDER BY turn) AS texts FROM ({MSGS}) GROUP BY conv_id")
@@ -118,8 +118,8 @@ HASH = "('0x' || substr(sha256(unhex('00112233445566778899aabbccddeeff') || enco
 TOKEN = f"'PER_' || substr('{crypto.BASE36}', CAST(h // 46656 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h // 1296 % 36 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h // 36 % 36 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h % 36 AS INT) + 1, 1)"
 add("p8_hash_tokens", lambda s, d: named(s, d).select("c_custkey", crypto.token(F.lit("PER"), F.col("request_id"), F.col("value")).alias("token")), f"SELECT c_custkey, {TOKEN} AS token FROM (SELECT c_custkey, {HASH} AS h FROM customer)")
 crowded = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.lit("r").alias("request_id"), F.concat(F.lit("PER_"), (F.col("c_custkey") % 100).cast("string")).alias("base"), F.col("c_name").alias("value"), F.col("c_custkey").alias("seen"))
-add("p9_token_collisions", lambda s, d: encode.collisions_resolved(crowded(s, d)).select("base", "value", "token").where("length(token) <= length(base) + 1"),
-    "SELECT base, value, CASE WHEN k = 1 THEN base ELSE base || chr(CAST(k + 96 AS INT)) END AS token FROM (SELECT 'PER_' || (c_custkey % 100) AS base, c_name AS value, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey, c_name) AS k FROM customer) WHERE k <= 26")
+add("p9_token_collisions", lambda s, d: encode.collisions_resolved(crowded(s, d)).select("base", "value", "token"),
+    f"SELECT base, value, CASE WHEN k = 1 THEN base WHEN k <= 26 THEN base || chr(CAST(k + 96 AS INT)) ELSE base || '_' || {TOKEN.removeprefix("'PER_' || ")} END AS token FROM (SELECT *, ('0x' || substr(sha256(base || value), 1, 8))::BIGINT % 1679616 AS h FROM (SELECT 'PER_' || (c_custkey % 100) AS base, c_name AS value, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey, c_name) AS k FROM customer))")
 add("p10_token_dedup", lambda s, d: named(s, d).unionByName(named(s, d)).select("request_id", "value", crypto.token(F.lit("PER"), F.col("request_id"), F.col("value")).alias("token")).distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT {REQUEST} AS request_id, count(DISTINCT c_name) AS n FROM customer")
 add("p11_routing", lambda s, d: encode.encoded(base_spans(s, d), SAMPLE_KEY).groupBy("type", "route").agg(F.count(F.lit(1)).alias("n")), f"SELECT type, 'cipher' AS route, count(*) AS n FROM {GREEDY} GROUP BY type")
 short = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("ab@x.example").alias("value"), F.lit("email").alias("type"), F.expr(REQUEST).alias("request_id"))

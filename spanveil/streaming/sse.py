@@ -6,10 +6,10 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.formats import stream_delta
+from ..functions.formats import delta_event, stream_delta
 
 
 def events(chunks: DataFrame) -> DataFrame:
@@ -28,6 +28,43 @@ def contents(chunks: DataFrame) -> DataFrame:
     return per.select("stream_id", F.get("parts", F.lit(0))["format"].alias("format"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "done")
 
 
+def replayed(chunks: DataFrame, texts: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """(stream_id, at, event): what goes out of finished streams, numbered from 1.
+
+    Data lines without content pass as they are. The content goes out as one event in the stream's format, its text from texts
+    (stream_id, text), right before [DONE], or last where that never came; a warning (stream_id, warning) goes before it.
+    Streams without content get no content event; streams without a text keep none of theirs.
+    """
+    kind, _ = stream_delta(F.col("data"))
+    rows = events(chunks).withColumn("format", F.when(F.col("data") != "[DONE]", kind))
+    ends = rows.groupBy("stream_id").agg(
+        F.coalesce(F.min(F.when(F.col("data") == "[DONE]", F.col("i"))), F.max("i") + 1).alias("i"),
+        F.min(F.when(F.col("format").isNotNull(), F.struct("i", "format")))["format"].alias("format"),
+    )
+    out = rows.where("format IS NULL").select("stream_id", "i", F.lit(2).alias("k"), F.concat(F.lit("data: "), "data", F.lit("\n\n")).alias("event"))
+    said = ends.where("format IS NOT NULL").join(texts.where("text IS NOT NULL"), "stream_id")
+    out = out.unionByName(said.select("stream_id", "i", F.lit(1).alias("k"), delta_event(F.col("format"), F.col("text")).alias("event")))
+    if warnings is not None:
+        warned = ends.join(warnings.where("warning IS NOT NULL"), "stream_id")
+        out = out.unionByName(warned.select("stream_id", "i", F.lit(0).alias("k"), delta_event(F.coalesce("format", F.lit("generic")), F.col("warning")).alias("event")))
+    return out.select("stream_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("i", "k")).alias("at"), "event")
+
+
+def released(chunks: DataFrame, hold: int) -> DataFrame:
+    """(stream_id, seq, text): what each chunk lets go while the last `hold` characters are held back; a stream's last chunk lets all go."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("chunk"))))
+    per = chunks.groupBy("stream_id").agg(rows.alias("rows"))
+    empty = F.struct(F.lit("").alias("held"), F.expr("CAST(array() AS array<struct<seq:bigint,text:string>>)").alias("out"), F.lit(0).alias("n"))
+
+    def step(acc, row):
+        text = F.concat(acc["held"], row["chunk"])
+        go = F.when(acc["n"] + 1 == F.size("rows"), F.length(text)).otherwise(F.greatest(F.length(text) - hold, F.lit(0)))
+        sent = F.struct(row["seq"].cast("long").alias("seq"), F.substring(text, F.lit(1), go).alias("text"))
+        return F.struct(F.substring(text, go + 1, F.length(text)).alias("held"), F.concat(acc["out"], F.array(sent)).alias("out"), (acc["n"] + 1).alias("n"))
+
+    return per.select("stream_id", F.explode(F.aggregate("rows", empty, step, lambda acc: acc["out"])).alias("r")).select("stream_id", "r.seq", "r.text")
+
+
 def collapsed(bodies: DataFrame) -> DataFrame:
     """(id, text, lines) of bodies (id, body) of two or more JSON lines with message.content: contents joined in order."""
     lines = bodies.select("id", F.posexplode(F.split("body", "\n")).alias("i", "line")).where(F.trim("line") != "")
@@ -39,10 +76,16 @@ def collapsed(bodies: DataFrame) -> DataFrame:
 STATE, OUT = "held string, waiting string, next long", "stream_id string, format string, text string"
 
 
-def contents_streaming(chunks: DataFrame) -> DataFrame:
-    """The same of a stream of chunks: one row for each stream, when its [DONE] has come. Chunks may come out of order, also across batches."""
+def contents_streaming(chunks: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """The same of a stream of chunks: one row for each stream, when its [DONE] has come. Chunks may come out of order, also across batches.
+
+    Events that aren't JSON have no content. With ttl_ms, a stream that has been silent for so long is forgotten; nothing of it goes out.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, waiting, at = state.get if state.exists else ("", "{}", 0)
         early = {int(k): v for k, v in json.loads(waiting).items()}
         for batch in batches:
@@ -53,18 +96,24 @@ def contents_streaming(chunks: DataFrame) -> DataFrame:
         lines = held.split("\n")
         data = [line[5:].strip() for line in lines[:-1] if line.startswith("data:")]
         if "[DONE]" in data:
-            found = [pick(json.loads(d)) for d in data[: data.index("[DONE]")]]
-            found = [f for f in found if f]
-            state.remove()
+            found = [f for f in map(pick, data[: data.index("[DONE]")]) if f]
+            if state.exists:
+                state.remove()
             yield pd.DataFrame([(key[0], found[0][0] if found else None, "".join(t for _, t in found))], columns=["stream_id", "format", "text"])
         else:
             state.update((held, json.dumps(early), at))
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout")
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", "NoTimeout" if ttl_ms is None else "ProcessingTimeTimeout")
 
 
-def pick(event: dict) -> tuple[str, str] | None:
-    """(format, text) of one event."""
+def pick(data: str) -> tuple[str, str] | None:
+    """(format, text) of one event; None where it has no text or isn't JSON."""
+    try:
+        event = json.loads(data)
+    except ValueError:
+        return None
 
     def at(*keys):
         node = event

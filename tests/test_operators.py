@@ -73,6 +73,31 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert [tuple(r) for r in spark.table("streamed").collect()] == [tuple(r) for r in done] == [("s", "openai", "hello")]
 
 
+def test_stream_with_time_to_live_and_broken_events(spark, tmp_path):
+    rows = [("s", 0, 'data: {"text":"a"}\ndata: {broken\n'), ("s", 1, 'data: [1]\ndata: {"text":"b"}\ndata: [DONE]\n'), ("t", 0, 'data: {"text":"x"}\n'), ("u", 0, "data: [DONE]\n")]
+    df = spark.createDataFrame(rows, "stream_id string, seq long, chunk string")
+    df.repartition(2).write.parquet(f"{tmp_path}/in")
+    out = sse.contents_streaming(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), ttl_ms=60_000)
+    query = out.writeStream.format("memory").queryName("streamed_ttl").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("streamed_ttl").collect()) == [("s", "generic", "ab"), ("u", None, "")]
+
+
+def test_replay_without_done_text_or_content(spark):
+    chunks = spark.createDataFrame([("a", 0, 'data: {"text":"x"}\ndata: {"id":1}\n'), ("b", 0, "data: {\"id\":2}\ndata: [DONE]\n"), ("c", 0, 'data: {"text":"y"}\ndata: [DONE]\n')], "stream_id string, seq long, chunk string")
+    texts = spark.createDataFrame([("a", "new"), ("b", "unused"), ("c", None)], "stream_id string, text string")
+    got = {(r["stream_id"], r["at"]): r["event"].strip() for r in sse.replayed(chunks, texts).collect()}
+    assert got == {("a", 1): 'data: {"id":1}', ("a", 2): 'data: {"text":"new"}', ("b", 1): 'data: {"id":2}', ("b", 2): "data: [DONE]", ("c", 1): "data: [DONE]"}
+
+
+def test_bodies_that_hold_nothing_stay(spark):
+    rows = [("0" * 32, "no json"), ("1" * 32, '{"a": 1}'), ("2" * 32, None), ("3" * 32, '{"b":"mail a.b@example.com"}')]
+    safe, mapping = jsonwalk.sanitized(spark.createDataFrame(rows, "request_id string, body string"), [dims.BASE[3]], bytes(range(32)))
+    got = {r["request_id"]: r["body"] for r in safe.collect()}
+    assert [got[i] for i, _ in rows[:3]] == [b for _, b in rows[:3]] and got["3" * 32] != rows[3][1]
+    assert [r["plaintext"] for r in mapping.collect()] == ["a.b@example.com"]
+
+
 def test_formats_of_odd_bodies(spark):
     df = spark.createDataFrame([(None, None), ("text/plain", "x"), ("image/png", "x"), ("application/json", "{"), (None, "x"), (None, "[1]")], "ct string, b string")
     got = [r[0] for r in df.select(formats.response_format(F.col("ct"), F.col("b"))).collect()]
