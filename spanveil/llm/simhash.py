@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .blocks import packed, unpacked
 from .common import U64, by_key, cut, mix, spread, star_forest, texts, words
 from .components import components
@@ -319,16 +320,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     return found.select("doc_id", F.lower(F.concat(*(F.substring(F.hex("fp"), i, 2) for i in range(15, 0, -2)))).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: of 384 bits; at a resemblance of 0.8 two texts' bits differ with probability acos(2 * 0.8 / 1.8) / pi = 0.15
-STAGE_BITS = 60
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, folds: int = 6, verify: int = STAGE_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs`, one (smallest doc_id) of each group of near copies: resemblance of 0.8 or more on 5-word shingles.
 
-    The resemblance is read off 384 bits (six SimHash words); 24 partitions of 16 bits guarantee all pairs within 23 bits and
-    find nearly all within `verify`. Rows with a null doc_id stay. Repeated ids stay together.
+    Links are exact (see resemblance.py). Wordless texts are copies of each other. Rows with a null doc_id stay. Repeated ids
+    stay together.
     """
-    found = classes(fingerprints(docs, shingle, folds), folds, 4 * folds - 1, verify=verify, per_word=4)
-    gone = found.where(F.col("component") != F.col("doc_id")).select("doc_id").distinct()
+    gone = resemblance.near_copies(docs, shingle).where(F.col("component") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanveil.llm import components, decontaminate, embeddings, langid, lm, packing, sharding, simhash, substring, toxicity, urlfilter
+from spanveil.llm import components, decontaminate, embeddings, langid, lm, packing, resemblance, sharding, simhash, substring, toxicity, urlfilter
 from spanveil.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
 from spanveil.llm.common import LOWER
 
@@ -123,6 +123,26 @@ def test_one_of_each(spark, odd, none):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [0, 2]
 
 
+def test_one_of_each_around_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    texts, rows = [], []
+    for _ in range(40):  # bases share a passage; copies differ in places, so that resemblances lie on both sides of 0.8
+        base = [f"t{i}" for i in range(40)] + [f"w{x}" for x in rng.integers(0, 10**9, int(rng.integers(60, 300)))]
+        texts.append(base)
+        for share in rng.uniform(0.005, 0.04, 6):
+            texts.append([w if rng.random() > share else f"x{rng.integers(0, 10**9)}" for w in base])
+    big = [f"v{i}" for i in range(200)]
+    texts += [[w if rng.random() > 0.015 else f"y{rng.integers(0, 10**9)}" for w in big] for _ in range(150)]
+    rows = [(i, " ".join(texts[j])) for i, j in enumerate(rng.permutation(len(texts)).tolist())]
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    like = {(i, j): len(own[i] & own[j]) / len(own[i] | own[j]) for i in range(len(rows)) for j in range(i)}
+    assert sum(0.75 <= x < 0.8 for x in like.values()) > 100 and sum(0.8 <= x < 0.85 for x in like.values()) > 100
+    want = roots([p for p, x in like.items() if x >= 0.8], range(len(rows)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component"] for r in resemblance.near_copies(df).collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(want.values()))
+
+
 def test_toxicity(spark, odd, none, labels):
     bad, fine = ["scum loser", "you moron idiot", "utter trash clown"], ["kind words here", "a plain report", "nothing to see"]
     rng = np.random.default_rng(2)
