@@ -223,12 +223,8 @@ def flips(width: int, threshold: int) -> np.ndarray:
     return np.array([*near, *((1 << a) | (1 << b) for a, b in itertools.combinations(range(width), 2))] if threshold > 1 else near, np.int64)
 
 
-def links(reps: DataFrame, folds: int, radius: int, verify: int | None = None, per_word: int | None = None, cell_rows: int = 1024) -> DataFrame:
-    """A spanning forest (a, b) of the links between representatives (rep, fp) whose fingerprints differ in `verify` bits or fewer.
-
-    verify (default: radius) may be over the radius that the thresholds guarantee: links beyond it are found if they meet in a partition.
-    """
-    verify = radius if verify is None else verify
+def links(reps: DataFrame, folds: int, radius: int, per_word: int | None = None, cell_rows: int = 1024) -> DataFrame:
+    """A spanning forest (a, b) of the links between representatives (rep, fp) whose fingerprints differ in `radius` bits or fewer."""
     plan = plan_for(reps, folds, radius, per_word, cell_rows)
     shared = reps.sparkSession.sparkContext.broadcast(vars(plan))
 
@@ -278,7 +274,7 @@ def links(reps: DataFrame, folds: int, radius: int, verify: int | None = None, p
                 to = at + step
                 near = (((role[at] & 1) & (role[to] >> 1)) | ((role[at] >> 1) & (role[to] & 1))) > 0
                 x, y = at[near], to[near]
-                hit = (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= verify) & (rep[x] != rep[y])
+                hit = (np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= radius) & (rep[x] != rep[y])
                 a.append(rep[x[hit]])
                 b.append(rep[y[hit]])
                 step += 1
@@ -288,7 +284,7 @@ def links(reps: DataFrame, folds: int, radius: int, verify: int | None = None, p
                 for i in range(0, len(probe), 256):
                     mine = probe[i : i + 256]
                     apart = sum(np.bitwise_count(fp[mine, k][:, None] ^ fp[index, k]).astype(np.int16) for k in range(folds))
-                    x, y = np.nonzero(apart <= verify)
+                    x, y = np.nonzero(apart <= radius)
                     hung = star_forest(rep[mine[x]], rep[index[y]])
                     a.append(hung[0])
                     b.append(hung[1])

@@ -104,6 +104,12 @@ def test_simhash_hot_cells_and_wide_radius(spark):
         assert {n: r for n, r in roots([(r["a"], r["b"]) for r in found], range(len(values))).items() if n != r} == want
 
 
+def test_simhash_links_only_within_the_planned_radius():
+    import inspect
+
+    assert "verify" not in inspect.signature(simhash.links).parameters
+
+
 def test_simhash_odd(odd, none):
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.near_duplicates(odd).collect()}
     zero = "0" * 16
