@@ -1,17 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Words are counted exactly by asking all blocks of the corpus (see blocks.py): each block learns the counts
-of its own words, so no vocabulary is collected. Counts of word pairs that occur twice or more are
-quantised to powers of two, and a pair of level q is filed in the filter under (pair, 1) to (pair, q); a
+of its own words, so no vocabulary is collected. Counts of all word pairs are quantised
+to powers of two, level 1 for a pair seen once, and a pair of level q is filed in the filter under (pair, 1) to (pair, q); a
 reader probes level after level until one is missing. With the pair's count from the filter,
 
-    P(w | h) = a * 2^q / c(h) + (1 - a * s(h)) * P(w),      a = 0.999
+    P(w | h) = a * 2^(q-1) / c(h) + (1 - a * s(h)) * P(w),      a = 0.999
 
 where P(w) is the smoothed word probability, and s(h) the share of what follows h that the filter holds,
 summed over the histories whose hash begins with the same 16 bits as h's. For each such class of histories
 the probabilities add up to one.
 
-Scale: the filter holds every pair that occurs twice or more, so its size follows the corpus. Pairs are
+Scale: the filter holds every pair, so its size follows the corpus. Pairs are
 counted on the executors, where each group builds its own segment. Up to `most_bytes` the segments are
 broadcast; a larger filter stays where it is, and blocks send their distinct pairs to the segments instead,
 which are probed there. The levels, and so the scores, are the same either way.
@@ -62,8 +62,8 @@ class Tokens:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """1 for 2 and 3, 2 for 4 to 7, and so on."""
-    return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
+    """1 for 1, 2 for 2 and 3, 3 for 4 to 7, and so on; 0 for 0."""
+    return np.where(counts > 0, 1 + np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64), 0)
 
 
 def slots(keys: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> list[np.ndarray]:
@@ -181,7 +181,7 @@ def scores(docs: DataFrame, parts: int = 10, held: int = 0, most_bytes: int = 64
             level = replied(distinct, model["bounds"], told_, 1)[back]
         else:
             level = Filter(model["bounds"], model["segments"], model["deepest"]).level(pairs)
-        ratio = np.where((level > 0) & (history > 0), np.minimum(1.0, 2.0**level / np.maximum(history, 1)), 0.0)
+        ratio = np.where((level > 0) & (history > 0), np.minimum(1.0, 2.0 ** (level - 1) / np.maximum(history, 1)), 0.0)
         share = np.where(history > 0, model["share"][(pairs >> U64(48)).astype(np.int64)], 0.0)
         p = A * ratio + (1 - A * share) * 10 ** (word - smooth)
         score = np.bincount(own.row, np.log10(p), n)
@@ -237,7 +237,7 @@ def fitted(answers: DataFrame, bounds: np.ndarray, most_bytes: int, bits_each: i
                 for q in range(1, int(level.max(initial=0)) + 1):
                     for bit in slots(keys[level >= q], q, 8 * size):
                         bits[bit.astype(np.int64)] = True
-                mass = np.bincount((keys >> U64(48)).astype(np.int64), 2.0**level, PREFIXES).astype(np.int64)
+                mass = np.bincount((keys >> U64(48)).astype(np.int64), 2.0 ** (level - 1), PREFIXES).astype(np.int64)
                 at = np.flatnonzero(mass)
                 yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([packed(at) + packed(mass[at])], pa.binary())], names=["grp", "bits", "mass"])
 

@@ -364,6 +364,16 @@ def test_lm(docs, odd, none):
     assert lm.scores(none, most_bytes=-1).count() == 0
 
 
+def test_lm_holds_pairs_seen_once(spark):
+    assert lm.levels(np.array([0, 1, 2, 3, 4, 7, 8])).tolist() == [0, 1, 2, 2, 3, 3, 4]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(ids[j], f"p{j} q{j}") for j in range(40)]  # every pair once
+    free = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    df = spark.createDataFrame([*rows, (free[0], "p3 q3"), (free[1], "p3 q4")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in lm.scores(df).collect()}
+    assert score[free[0]] - score[free[1]] > 1
+
+
 def test_bloom_filter_is_never_too_low():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 2**63, 5000, np.uint64))
