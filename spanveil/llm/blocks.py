@@ -4,8 +4,11 @@ Rows are put into blocks of some megabytes, whose rows stay together as one comp
 about its distinct keys, sorted, so that a key costs some five bytes; groups hold ranges of the key space
 and answer each block key by key, in the order asked; the block then sees its rows and its answers. A key
 that a third of all rows have is asked once for each block, so no group gets more for it than there are
-blocks. Bounds of the groups come from a census of the keys' first 16 bits over all rows: a prefix that
-would outgrow a group's memory is split by longer ones.
+blocks. Bounds of the groups are quantiles of keys that every block samples from all over its texts, so a
+prefix of any length that would outgrow a group's memory is split.
+
+Rows sent are blocks x groups, that is size^2 / (block_bytes * group_bytes): both grow with the executors'
+memory on a larger cluster, which keeps a row at some kilobytes.
 """
 
 from __future__ import annotations
@@ -21,9 +24,6 @@ from pyspark.sql import functions as F
 
 from .common import U64, sliced, written
 
-PREFIXES = 1 << 16
-
-
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers, byte planes apart, compressed."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
@@ -39,6 +39,20 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U64, copy=False)
 
 
+def joined(*arrays: np.ndarray) -> bytes:
+    """Packed arrays, each behind its length."""
+    return b"".join(len(raw).to_bytes(4, "little") + raw for raw in map(packed, arrays))
+
+
+def parted(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at : at + 4], "little")
+        out.append(unpacked(raw[at + 4 : at + 4 + size]).astype(np.int64))
+        at += 4 + size
+    return out
+
+
 def packed_sorted(keys: np.ndarray) -> bytes:
     return packed(np.diff(keys, prepend=U64(0)))
 
@@ -61,7 +75,7 @@ def opened(raw: bytes) -> pa.RecordBatch:
 
 
 def make_blocks(docs: DataFrame, census: Callable[[pa.RecordBatch], np.ndarray], block_bytes: int = 12 << 20, text: str = "text") -> DataFrame:
-    """(block, bytes, census, rows): a table of blocks; census(rows of a block) gives the first 16 bits of each of its keys."""
+    """(block, bytes, census, rows): a table of blocks; census(rows of a block) gives keys that its own are spread like."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -69,10 +83,8 @@ def make_blocks(docs: DataFrame, census: Callable[[pa.RecordBatch], np.ndarray],
         def block() -> pa.RecordBatch:
             nonlocal n, held, size
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            counts = np.bincount(census(rows), minlength=PREFIXES).astype(U64)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) | n], pa.int64()), pa.array([size], pa.int64()), pa.array([packed(counts)], pa.binary()), pa.array([enclosed(rows)], pa.binary())], names=["block", "bytes", "census", "rows"]
-            )
+            keys = pa.array([census(rows).astype(np.float64)], pa.list_(pa.float64()))
+            out = pa.RecordBatch.from_arrays([pa.array([(part << 32) | n], pa.int64()), pa.array([size], pa.int64()), keys, pa.array([enclosed(rows)], pa.binary())], names=["block", "bytes", "census", "rows"])
             n, held, size = n + 1, [], 0
             return out
 
@@ -89,34 +101,32 @@ def make_blocks(docs: DataFrame, census: Callable[[pa.RecordBatch], np.ndarray],
         if held:
             yield block()
 
-    return written(docs.mapInArrow(run, "block long, bytes long, census binary, rows binary"), compression="none")
+    return written(docs.mapInArrow(run, "block long, bytes long, census array<double>, rows binary"), compression="none")
 
 
-def group_bounds(blocks: DataFrame, group_bytes: int = 24 << 20) -> np.ndarray:
-    """First keys of the groups but the first: the census' quantiles, so that groups hold about `group_bytes` of text each."""
-    spread = 64  # rows that a task sends of its sum
+def windows(rows: pa.RecordBatch, text: str = "text", each: int = 4 << 10, every: int = 64 << 10) -> list[bytes]:
+    """Pieces of the texts, one of `each` bytes in every `every` bytes of them all; only a census reads these."""
+    out, at = [], 0
+    for t in rows.column(text).to_pylist():
+        if not t:
+            continue
+        raw = t.encode("utf-8", "surrogatepass")
+        first = -(-at // every) * every - at  # the next multiple of `every` that falls into this text
+        begin = at % every
+        if begin < each:
+            out.append(raw[: each - begin])
+        out += [raw[i : i + each] for i in range(first, len(raw), every) if i or begin]
+        at += len(raw) + 1
+    return out
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PREFIXES, U64)
-        for batch in batches:
-            for raw in batch.column("census").to_pylist():
-                total += unpacked(raw)
-        parts = total.reshape(spread, -1).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(spread)), pa.array(list(parts), pa.list_(pa.int64()))], names=["at", "n"])
-
-    sums = blocks.select("census").mapInArrow(summed, "at long, n array<long>").select("at", F.posexplode("n").alias("i", "n")).where("n > 0").groupBy("at", "i").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(PREFIXES, np.float64)
-    counts[(sums["at"] * (PREFIXES // spread) + sums["i"]).to_numpy(np.int64)] = sums["n"].to_numpy()
+
+def group_bounds(blocks: DataFrame, group_bytes: int = 24 << 20) -> np.ndarray:
+    """First keys of the groups but the first: quantiles of the census, so that groups hold the keys of about `group_bytes` of text each."""
     size = blocks.agg(F.sum("bytes")).first()[0] or 0
-    shuffles = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(shuffles, -(-size // group_bytes))
-    ends = np.cumsum(counts)
-    if not ends[-1]:
-        return np.empty(0, U64)
-    targets = ends[-1] * np.arange(1, groups) / groups
-    cell = np.searchsorted(ends, targets, side="left")
-    inside = (targets - (ends[cell] - counts[cell])) / np.maximum(counts[cell], 1e-9)
-    return np.unique(((cell + np.clip(inside, 0, 1 - 1e-9)) * 2.0**32).astype(U64) << U64(16))
+    groups = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // group_bytes))
+    shares = F.array(*(F.lit(i / groups) for i in range(1, groups))) if groups > 1 else F.array(F.lit(0.0))
+    found = blocks.select(F.explode("census").alias("key")).agg(F.percentile_approx("key", shares, F.lit(20 * groups)).alias("at")).first()["at"]
+    return np.unique(np.array([min(int(x), (1 << 64) - 1) for x in found or []], U64))
 
 
 Ask = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, Callable[[int, int], bytes]]]]

@@ -22,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ask_all, group_bounds, make_blocks, packed, told, unpacked, unpacked_sorted
+from .blocks import ask_all, group_bounds, make_blocks, packed, told, unpacked, unpacked_sorted, windows
 from .common import U64, ngram_hashes, word_hashes
 
 LAST_ID = np.iinfo(np.int64).max
 
 
+def paths(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window of words its path: 16 bits for the first four words, 48 for all."""
+    whole = ngram_hashes(hashes, window)
+    return (ngram_hashes(hashes, min(4, window))[: len(whole)] & ~U64((1 << 48) - 1)) | (whole >> U64(16))
+
+
 class Block:
     """Words, windows and their paths of a block's rows, in the order of doc_id."""
 
@@ -41,21 +47,14 @@ class Block:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.window = window
 
-    def prefixes(self, hashes: np.ndarray, width: int = 4) -> np.ndarray:
-        return ngram_hashes(hashes, min(width, self.window)) >> U64(48)
-
     def paths(self) -> None:
         """path, start (position among all words of the block) and row of each window."""
-        h = word_hashes([w for words in self.words for w in words])
-        whole = ngram_hashes(h, self.window)
+        every = paths(word_hashes([w for words in self.words for w in words]), self.window)
         ends = np.cumsum(self.sizes)
         n = np.maximum(self.sizes - self.window + 1, 0)
         self.row = np.repeat(np.arange(len(n)), n)
         self.start = np.arange(n.sum()) + np.repeat(ends - self.sizes - (np.cumsum(n) - n), n)
-        if len(whole):
-            self.path = (self.prefixes(h)[self.start] << U64(48)) | (whole[self.start] >> U64(16))
-        else:
-            self.path = np.empty(0, U64)
+        self.path = every[self.start] if len(every) else every
         self.keys, self.first, self.at = np.unique(self.path, return_index=True, return_inverse=True)
 
 
@@ -71,9 +70,8 @@ def repeats(docs: DataFrame, window: int = 20, block_bytes: int = 6 << 20, group
     rows = docs.select(*columns).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
 
     def census(rows: pa.RecordBatch) -> np.ndarray:
-        block = Block(rows, window)
-        h = word_hashes([w for words in block.words if len(words) >= window for w in words])
-        return block.prefixes(h).astype(np.int64)
+        some = [word_hashes(piece.split()) for piece in windows(rows)]
+        return np.concatenate([paths(h, window)[::16] for h in some]) if some else np.empty(0, U64)
 
     def ask(rows: pa.RecordBatch):
         block = Block(rows, window)
