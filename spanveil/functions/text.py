@@ -9,7 +9,7 @@ from ..operators.dims import SCRUB
 
 #: dashes that become a plain one
 DASHES = "‐‑‒–—―﹘﹣－"
-# fixed values: commonest short words of a language, for texts in Latin letters
+#: commonest short words of a language, for texts in Latin letters
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "is", "in", "that", "it", "with", "for", "are", "was", "this"],
     "de": ["der", "die", "das", "und", "ist", "nicht", "von", "mit", "den", "ein", "eine", "auf", "zu"],
@@ -44,14 +44,21 @@ def unescaped(text: Column) -> Column:
 
 def language(text: Column, least: float = 0.15, least_bytes: int = 20) -> Column:
     """Language by script (zh, ja, ko, ar) or by the share of words that are stop words; null for short or unclear texts."""
+    from ..operators.spans import bound
+
     letters = F.greatest(F.length(F.regexp_replace(text, r"[^\p{L}]", "")), F.lit(1))
-    share = lambda cls: F.length(F.regexp_replace(text, f"[^{cls}]", "")) / letters
+    classes = {"ja": (r"\x{3040}-\x{30FF}", 0.1), "ko": (r"\x{AC00}-\x{D7AF}", 0.3), "ar": (r"\x{0600}-\x{06FF}", 0.3), "zh": (r"\x{4E00}-\x{9FFF}", 0.3)}
+    over = [(F.length(F.regexp_replace(text, f"[^{chars}]", "")) / letters > least_share, name) for name, (chars, least_share) in classes.items()]
+    script = F.coalesce(*(F.when(hit, F.lit(name)) for hit, name in over))
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    scores = [F.struct(_stops(words, k).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, k in enumerate(STOP_WORDS)]
-    best = F.array_max(F.array(*scores))
-    latin = F.when(best["n"] >= least * F.greatest(F.size(words), F.lit(1)), best["lang"])
-    kana, hangul, arab, han = share(r"\x{3040}-\x{30FF}"), share(r"\x{AC00}-\x{D7AF}"), share(r"\x{0600}-\x{06FF}"), share(r"\x{4E00}-\x{9FFF}")
-    return F.when(F.octet_length(text) < least_bytes, None).when(kana > 0.1, "ja").when(hangul > 0.3, "ko").when(arab > 0.3, "ar").when(han > 0.3, "zh").otherwise(latin)
+
+    def latin(ws: Column) -> Column:
+        scores = F.array(*(F.struct(_stops(ws, k).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("lang")) for i, k in enumerate(STOP_WORDS)))
+        return bound(scores, lambda s: bound(F.array_max(s), lambda best: F.when(best["n"] >= least * F.greatest(F.size(ws), F.lit(1)), best["lang"])))
+
+    # most texts have no letter of the other scripts, and pay for one look
+    other = F.when(F.regexp_like(text, F.lit("[" + "".join(c for c, _ in classes.values()) + "]")), script)
+    return F.when(F.octet_length(text) >= least_bytes, F.coalesce(other, bound(words, latin)))
 
 
 def _stops(words: Column, lang: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -9,36 +10,53 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"\w[\w'-]*", re.UNICODE)
+#: words of letters, digits, apostrophes and hyphens, without the last two at the ends
+TOKEN = re.compile(r"[^\W_](?:(?:[^\W_]|['-])*[^\W_])?", re.UNICODE)
+# fixed values: names of the features that published weights are keyed by, and the bounds of word lengths
+LENGTHS = [(2, "short"), (5, "medium"), (10, "long")]
+NAMES = {"word": "word=", "shape": "shape=", "prefix": "p{}=", "suffix": "s{}=", "before": "-1:", "after": "+1:", "upper": "isupper", "title": "istitle", "digit": "isdigit", "alpha": "isalpha", "length": "len=", "listed": "gaz=", "first": "BOS", "last": "EOS"}
 
 
 def shape(word: str) -> str:
-    """X for upper case, x for lower case, d for digits, others as they are; runs of one kind shortened to two."""
-    out = ""
-    for c in word:
-        k = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
-        if out[-2:] != k * 2:
-            out += k
-    return out
+    """X for upper case, x for lower case, d for digits, others as they are; a run of one kind counts once."""
+    kinds = ("X" if c.isupper() else "x" if c.islower() else "d" if c in "0123456789" else c for c in word)
+    return "".join(k for k, _ in itertools.groupby(kinds))
 
 
-def features(words: list[str], i: int) -> list[str]:
-    """What a word shows: itself, its shape, first and last letters, case, and its neighbours; code points, never bytes."""
-    w, low = words[i], words[i].lower()
-    out = ["bias", f"w={low}", f"shape={shape(w)}"]
-    out += [f"p{n}={low[:n]}" for n in (1, 2, 3) if len(low) >= n] + [f"s{n}={low[-n:]}" for n in (1, 2, 3) if len(low) >= n]
-    out += [name for name, yes in (("is_title", w.istitle()), ("is_upper", w.isupper()), ("is_digit", w.isdigit())) if yes]
-    out += [f"w-1={words[i - 1].lower()}"] if i else ["BOS"]
-    out += [f"w+1={words[i + 1].lower()}"] if i + 1 < len(words) else ["EOS"]
+def features(words: list[str], i: int, lists: dict[str, set[str]] | None = None) -> list[str]:
+    """What a word shows: itself, its shape, first and last letters, case, length and lists that have it, and its neighbours. Code points, never bytes."""
+    w, low, of = words[i], words[i].lower(), NAMES
+    cases = {"upper": all(c.isupper() for c in w), "title": w[:1].isupper() and all(c.islower() for c in w[1:]), "digit": all(c in "0123456789" for c in w), "alpha": w.isalpha()}
+    out = [of["word"] + low, of["shape"] + shape(w)]
+    out += [of[end].format(n) + part for n in (1, 2, 3) if len(low) >= n for end, part in (("prefix", low[:n]), ("suffix", low[-n:]))]
+    out += [of[name] for name, yes in cases.items() if yes]
+    out.append(of["length"] + next((name for most, name in LENGTHS if len(low) <= most), "vlong"))
+    out += [of["listed"] + name for name, own in (lists or {}).items() if low in own or w in own]
+    for at, side, edge in ((i - 1, "before", "first"), (i + 1, "after", "last")):
+        out += [of[side] + of["word"] + words[at].lower(), of[side] + of["shape"] + shape(words[at])] if 0 <= at < len(words) else [of[edge]]
     return out
 
 
-def best_path(words: list[str], state: dict[str, list[float]], moves: list[list[float]]) -> tuple[list[int], list[float]]:
+def shown(docs: DataFrame, lists: dict[str, set[str]] | None = None) -> DataFrame:
+    """(doc_id, i, feature): the features of every word of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                own = TOKEN.findall(text or "")
+                rows += [(doc, i, f) for i in range(len(own)) for f in features(own, i, lists)]
+            yield pd.DataFrame(rows, columns=["doc_id", "i", "feature"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, i int, feature string")
+
+
+def best_path(words: list[str], state: dict[str, list[float]], moves: list[list[float]], lists: dict[str, set[str]] | None = None) -> tuple[list[int], list[float]]:
     """Labels of the best path and its running score at each word."""
     n = len(moves)
     rows, back = [], []
     for i in range(len(words)):
-        own = [sum(x) for x in zip([0.0] * n, *(state[f] for f in features(words, i) if f in state), strict=False)]
+        own = [sum(x) for x in zip([0.0] * n, *(state[f] for f in features(words, i, lists) if f in state), strict=False)]
         if not rows:
             rows.append(own)
             continue
@@ -54,17 +72,17 @@ def best_path(words: list[str], state: dict[str, list[float]], moves: list[list[
     return path, [r[k] for r, k in zip(rows, path, strict=True)]
 
 
-def scan(docs: DataFrame, labels: list[str], state: dict[str, list[float]], moves: list[list[float]], least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, labels: list[str], state: dict[str, list[float]], moves: list[list[float]], least: float = 0.5, lists: dict[str, set[str]] | None = None) -> DataFrame:
     """Spans (doc_id, start, end, value, type, confidence, source) of BIO entities; the confidence is the logistic of the mean running score."""
-    shared = docs.sparkSession.sparkContext.broadcast((labels, state, moves))
+    shared = docs.sparkSession.sparkContext.broadcast((labels, state, moves, lists))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, state, moves = shared.value
+        labels, state, moves, lists = shared.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 found = list(TOKEN.finditer(text or ""))
-                path, scores = best_path([m.group() for m in found], state, moves)
+                path, scores = best_path([m.group() for m in found], state, moves, lists)
                 open_: list[int] = []
                 for i in range(len(found) + 1):
                     tag = labels[path[i]] if i < len(found) else "O"

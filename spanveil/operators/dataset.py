@@ -111,17 +111,24 @@ def labelled_paragraphs(paras: DataFrame, spans: DataFrame, least: float = 0.5)
 
 
 def box_scores(found: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """image_id, tp, found, truth: a box is right if it is the best match of some true box and that box its best one."""
+    """image_id, tp, found, truth, precision, recall, f1. In the order of box_id each found box takes the true box left over that it overlaps most, if by the threshold."""
     from .spans import iou
 
-    a, b = F.struct("x_min", "y_min", "x_max", "y_max"), ["x_min", "y_min", "x_max", "y_max"]
-    left = found.select("image_id", F.col("box_id").alias("f"), a.alias("p"))
-    right = truth.select("image_id", F.col("box_id").alias("t"), F.struct(*b).alias("q"))
-    pairs = left.join(right, "image_id").withColumn("iou", iou(F.col("p"), F.col("q"))).where(F.col("iou") >= threshold)
-    best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("image_id", "f").orderBy(F.desc("iou"), "t"))).withColumn("s", F.row_number().over(Window.partitionBy("image_id", "t").orderBy(F.desc("iou"), "f")))
-    hits = best.where("r = 1 AND s = 1").groupBy("image_id").agg(F.count(F.lit(1)).alias("tp"))
-    counts = found.groupBy("image_id").agg(F.count(F.lit(1)).alias("found")).join(truth.groupBy("image_id").agg(F.count(F.lit(1)).alias("truth")), "image_id", "full")
-    return counts.join(hits, "image_id", "left").na.fill(0)
+    corners = ["x_min", "y_min", "x_max", "y_max"]
+    own = found.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", *corners))).alias("boxes"))
+    real = truth.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("box_id", *corners))).alias("left"))
+    both = own.join(real, "image_id", "full")
+    none = F.expr("CAST(array() AS array<struct<iou:double,first:double,box_id:bigint>>)")
+
+    def step(acc, box):
+        fits = F.filter(F.transform(F.col("left"), lambda t: F.struct(iou(box, t).cast("double").alias("iou"), (-t["box_id"]).cast("double").alias("first"), t["box_id"].cast("long").alias("box_id"))), lambda t: (t["iou"] >= threshold) & (t["iou"] > 0) & ~F.exists(acc, lambda a: a["box_id"] == t["box_id"]))
+        return F.when(F.size(fits) > 0, F.concat(acc, F.array(F.array_max(fits)))).otherwise(acc)
+
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    tp = F.when(F.col("boxes").isNull() | F.col("left").isNull(), 0).otherwise(F.size(F.aggregate("boxes", none, step)))
+    counted = both.select("image_id", tp.cast("long").alias("tp"), n("boxes").cast("long").alias("found"), n("left").cast("long").alias("truth"))
+    share = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
+    return counted.withColumn("precision", share("tp", "found")).withColumn("recall", share("tp", "truth")).withColumn("f1", F.round(F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("found") + F.col("truth"))).otherwise(0.0), 6))
 
 
 def expectations(found: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -102,11 +102,11 @@ PERSUASION = {
 # fixed values: phrases that announce personal data in transcripts
 SPOKEN = ["social security", "tax id", "taxpayer id", "national id", "government id", "social insurance", "credit card", "card number", "debit card", "visa card", "mastercard", "american express", "expiration date", "security code", "cvv number", "pin number", "bank account", "account number", "routing number", "checking account", "savings account", "wire transfer", "passport number", "driver license", "drivers license", "license number", "birth certificate", "date of birth", "maiden name", "place of birth", "home address", "mailing address", "street address", "full name", "legal name", "phone number", "my address", "call me at", "reach me at", "email address", "contact number", "my email is", "my phone is", "insurance number", "medical record", "health insurance", "patient id", "medicare number", "my password", "verification code"]
 
-#: default keys whose values are never scanned
+# fixed values: default keys whose values are never scanned
 SKIPPED_KEYS = ["model", "stream", "temperature", "max_tokens", "top_p", "top_k"]
-#: languages scanned for a detected one
+# fixed values: languages scanned for a detected one
 RELATED = {"es": ["es", "pt"], "pt": ["pt", "es"], "fr": ["fr", "es", "pt"], "de": ["de"], "ja": ["ja"], "ko": ["ko"], "zh": ["zh"], "ar": ["ar"]}
-#: upper bounds of the latency histogram in microseconds
+# fixed values: upper bounds of the latency histogram in microseconds
 LATENCY_BOUNDS = [100, 250, 500, 1_000, 2_500, 5_000, 10_000, 25_000, 50_000, 100_000, 250_000, 500_000, 1_000_000, 2_500_000, 5_000_000, 10_000_000]
-#: usual screen sizes (width, height), desktop, high density and phones
+# fixed values: usual screen sizes (width, height), desktop, high density and phones
 SCREENS = [(1920, 1080), (2560, 1440), (1366, 768), (1440, 900), (1680, 1050), (1280, 720), (1280, 800), (1600, 900), (3840, 2160), (2880, 1800), (3024, 1964), (2560, 1600), (5120, 2880), (3840, 2400), (1170, 2532), (1284, 2778), (1080, 2340), (1080, 2400), (1440, 3200), (1290, 2796)]

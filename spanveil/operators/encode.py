@@ -96,26 +96,19 @@ def restored(texts: DataFrame, mapping: DataFrame, key: str = "doc_id", fuzzy: b
     return joined.withColumn("text", F.when(F.col("maps").isNull(), F.col("clean")).otherwise(F.aggregate("maps", F.col("clean"), step))).select(*texts.columns)
 
 
-def loose(cipher: Column, kind: Column) -> Column:
-    """A pattern of the ciphertext with any separators between its groups; null for types and lengths without one."""
-    d, sep = F.regexp_replace(cipher, "[^0-9]", ""), r"[-.\s]*"
-    cut = lambda *sizes, start=1: [F.substring(d, start + sum(sizes[:i]), n) for i, n in enumerate(sizes)]
-
-    def chain(groups: list[Column], head: str = r"\b") -> Column:
-        return F.concat(F.lit(head), groups[0], *(x for g in groups[1:] for x in (F.lit(sep), g)), F.lit(r"(?:\b|$)"))
+#: types whose values are written in several layouts, and how many characters one must have to be told from other text
+LAID_OUT = {"phone": 10, "ssn": 9, "credit_card": 13, "iban": 15}
 
-    def area(groups: list[Column], head: str = "") -> Column:
-        return F.concat(F.lit(head + r"(?:\("), groups[0], F.lit(r"\)|\b"), groups[0], F.lit(")"), *(x for g in groups[1:] for x in (F.lit(sep), g)), F.lit(r"(?:\b|$)"))
 
-    letters = F.regexp_replace(cipher, "[^0-9A-Za-z]", "")
-    each = F.transform(F.filter(F.split(letters, ""), lambda c: c != ""), lambda c, i: F.concat(F.when((i > 0) & (i % 4 == 0), r"[\s-]?").otherwise(""), F.lit("["), F.lower(c), F.upper(c), F.lit("]")))
-    return (
-        F.when((kind == "phone") & (F.length(d) == 10), area(cut(3, 3, 4)))
-        .when((kind == "phone") & (F.length(d) == 11) & d.startswith("1"), area(cut(3, 3, 4, start=2), rf"(?:\+?1{sep})?"))
-        .when((kind == "ssn") & (F.length(d) == 9), chain(cut(3, 2, 4)))
-        .when((kind == "credit_card") & (F.length(d) == 16), chain(cut(4, 4, 4, 4)))
-        .when((kind == "iban") & (F.length(letters) >= 15), F.concat(F.lit(r"\b"), F.array_join(each, ""), F.lit(r"\b")))
-    )
+def loose(cipher: Column, kind: Column) -> Column:
+    """A pattern of a ciphertext in any layout: its letters and digits in order, in either case, whatever spaces, dots, dashes and
+    brackets stand between; a country's 1 before ten digits may be missing. Null for types of one layout and short values."""
+    least = F.element_at(F.create_map(*(F.lit(x) for pair in LAID_OUT.items() for x in pair)), kind)
+    chars = F.regexp_extract_all(cipher, F.lit("[0-9A-Za-z]"), F.lit(0))
+    optional = (kind == "phone") & (F.size(chars) == 11) & (chars[0] == "1")
+    body = F.array_join(F.when(optional, F.slice(chars, 2, 10)).otherwise(chars), r"[-.\s()]*")
+    head = F.when(optional, F.lit(r"(?:\+?1[-.\s]*)?")).otherwise("")
+    return F.when(F.size(chars) >= least, F.concat(F.lit(r"(?i)(?<![0-9A-Za-z])"), head, F.lit(r"\(?"), body, F.lit("(?![0-9A-Za-z])")))
 
 
 def lite(docs: DataFrame, labels: dict[str, str] | None = None, semantic: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from .dims import LATENCY_BOUNDS
 
 MB = 1024 * 1024
 LIMITS = {"lite": 10 * MB, "standard": 50 * MB, "full": 100 * MB}
-#: headers that belong to one hop
+# fixed values: headers that belong to one hop
 HOP = ["connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailers", "transfer-encoding", "upgrade", "host", "content-length"]
 
 
@@ -79,18 +79,27 @@ def embedded_budget(ram_mb: Column) -> Column:
 
 
 def heartbeat(beats: DataFrame) -> DataFrame:
-    """beats (client, at, ok, passthrough) with state: active, degraded, recovering (the first good one after a bad one) or passthrough."""
-    before = F.lag("ok").over(Window.partitionBy("client").orderBy("at"))
-    state = F.when(F.col("passthrough"), "passthrough").when(~F.col("ok"), "degraded").when(before == F.lit(False), "recovering").otherwise("active")
-    return beats.withColumn("state", state)
-
-
-def key_at(uses: DataFrame, keys: DataFrame, overlap_s: int = 30) -> DataFrame:
-    """uses (use_id, at) with the version in force, and with_old: whether its predecessor is still accepted. keys: (version, since), a short table."""
-    w = Window.orderBy("since")
-    spans = keys.withColumn("until", F.lead("since").over(w)).withColumn("old", F.lag("version").over(w))
-    met = uses.join(F.broadcast(spans), (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))), "left")
-    return met.select(*uses.columns, "version", F.when(F.col("at") < F.col("since") + overlap_s, F.col("old")).alias("with_old"))
+    """beats (client, at, ok, passthrough) with state and passed: where a check leads, and the states it goes through.
+
+    A failed check degrades. A good one leads to active, by way of recovering where the state before was degraded or
+    passthrough. Clients begin active.
+    """
+    state = F.when(~F.col("ok"), "degraded").when(F.col("passthrough"), "passthrough").otherwise("active")
+    before = F.coalesce(F.lag("state").over(Window.partitionBy("client").orderBy("at")), F.lit("active"))
+    by_way = (F.col("state") == "active") & F.col("before").isin("degraded", "passthrough")
+    passed = F.when(F.col("state") == F.col("before"), F.expr("CAST(array() AS array<string>)")).when(by_way, F.array(F.lit("recovering"), F.lit("active"))).otherwise(F.array("state"))
+    return beats.withColumn("state", state).withColumn("before", before).withColumn("passed", passed).drop("before")
+
+
+def key_at(uses: DataFrame, keys: DataFrame, overlap_s: int = 30, most_keys: int = 1000) -> DataFrame:
+    """uses (use_id, at) with the version in force, and with_old: its predecessor's while that is still accepted. keys: (version, since); over `most_keys` is an error."""
+    known = sorted(keys.select("since", "version").limit(most_keys + 1).collect())
+    if len(known) > most_keys:
+        raise ValueError(f"over {most_keys} keys")
+    kind = keys.schema["version"].dataType
+    history = F.array(*(F.struct(F.lit(since).alias("since"), F.lit(v).cast(kind).alias("version"), F.lit(old).cast(kind).alias("old")) for (since, v), old in zip(known, [None, *(v for _, v in known)], strict=False)))
+    met = uses.withColumn("k", F.try_element_at(F.filter(history, lambda k: k["since"] <= F.col("at")), F.lit(-1)))
+    return met.select(*uses.columns, F.col("k.version").alias("version"), F.when(F.col("at") < F.col("k.since") + overlap_s, F.col("k.old")).alias("with_old"))
 
 
 def live(mappings: DataFrame, now: int, ttl_s: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .dims import PERSUASION
 from .spans import phrase_scan
 
+# fixed values: names shown for the classifier's categories
 FRIENDLY = {"Art_5_1_a_Deceptive": "Deceptive Practices", "Art_5_1_b_Age": "Age-Based Targeting", "Art_5_1_b_SocioEcon": "Socioeconomic Targeting", "Art_5_1_c_Social_Scoring": "Social Scoring"}
 
 
@@ -49,12 +50,21 @@ def shown(level: str, severity_: Column) -> Column:
     return {"off": F.lit(False), "low": severity_ != "Notice"}.get(level, F.lit(True))
 
 
+# fixed values: what a label says
+WORDING = {
+    "head": "--- WARNING ---\nDetected: ",
+    "Warning": "This response contains language patterns associated with influence tactics.\n",
+    "Caution": "Recommendation: Pause and verify with objective evidence before acting.\n",
+    "foot": "---\n\n",
+}
+
+
 def label(severity_: Column, first: Column, second: Column) -> Column:
     """The text put before a response."""
     plain = F.transform(second, lambda c: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in FRIENDLY.items() for x in pair)), c), c))
     tactics = F.array_join(F.array_sort(F.array_distinct(F.concat(first, plain))), " • ")
-    more = F.when(severity_ == "Warning", "This response contains language patterns associated with influence tactics.\n").when(severity_ == "Caution", "Recommendation: Pause and verify with objective evidence before acting.\n").otherwise("")
-    return F.concat(F.lit("--- WARNING ---\nDetected: "), tactics, F.lit("\n"), more, F.lit("---\n\n"))
+    more = F.when(severity_ == "Warning", WORDING["Warning"]).when(severity_ == "Caution", WORDING["Caution"]).otherwise("")
+    return F.concat(F.lit(WORDING["head"]), tactics, F.lit("\n"), more, F.lit(WORDING["foot"]))
 
 
 def assessed(responses: DataFrame, level: str = "medium", least_flags: int = 3, second: str | None = None, top: str | None = None) -> DataFrame:

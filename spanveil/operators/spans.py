@@ -14,30 +14,60 @@ from ..functions.validators import VALIDATORS
 from .dims import Pattern
 
 
-def matches(text: Column, regex: str) -> Column:
-    """array<struct<start,end,value>> of all matches, left to right."""
-    found, between = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    step = lambda acc, pair: F.struct(
-        (acc["at"] + F.length(pair["gap"]) + F.length(pair["value"])).alias("at"),
-        F.concat(
-            acc["out"],
-            F.array(F.struct((acc["at"] + F.length(pair["gap"])).alias("start"), (acc["at"] + F.length(pair["gap"]) + F.length(pair["value"])).alias("end"), pair["value"].alias("value"))),
-        ).alias("out"),
-    )
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,end:int,value:string>>)").alias("out"))
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def matches(text: Column, regex: str, around: bool = False) -> Column:
+    """array<struct<start,end,value>> of all matches, left to right; with `around` also the characters before and after.
+
+    Offsets are sums over what lies between the matches, taken in blocks of 64, so that a text's cost grows little faster than
+    its matches. Texts without a match are not taken apart.
+    """
+    some = 64
+
+    def offsets(lengths: Column) -> Column:
+        add = lambda acc, x: acc + x
+        total = lambda xs, first, n: F.aggregate(F.slice(xs, first, n), F.lit(0), add)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / some).cast("int")), lambda k: total(lengths, k * some + 1, F.lit(some)))
+        before = bound(blocks, lambda xs: F.transform(xs, lambda _, i: total(xs, F.lit(1), i)))
+        return bound(before, lambda xs: F.transform(lengths, lambda _, i: xs[F.floor(i / some).cast("int")] + total(lengths, i - i % some + 1, i % some)))
+
+    def spans_of(s: Column) -> Column:
+        value, gap = s["value"], s["gap"]
+        ahead = F.zip_with(F.slice(gap, F.lit(1), F.size(value)), value, lambda g, v: F.length(g) + F.length(v))
+
+        def one(at: Column, v: Column, i: Column) -> Column:
+            start = at[i] + F.length(gap[i])
+            fields = [start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")]
+            if around:
+                fields += [F.right(F.concat(F.when(i > 0, F.get(value, i - 1)).otherwise(""), gap[i]), F.lit(1)).alias("before")]
+                fields += [F.left(F.concat(gap[i + 1], F.when(i + 1 < F.size(value), F.get(value, i + 1)).otherwise("")), F.lit(1)).alias("after")]
+            return F.struct(*fields)
 
+        return bound(bound(ahead, offsets), lambda at: F.transform(value, lambda v, i: one(at, v, i)))
 
-def scan(docs: DataFrame, patterns: list[Pattern], text: str = "text", validate: bool = True, source: str = "regex", confidence: float = 1.0) -> DataFrame:
-    """Spans of all patterns over doc_id and text. Documents that no pattern fits are dropped before anything is taken apart."""
+    taken = lambda found: F.when(F.size(found) > 0, bound(F.struct(found.alias("value"), F.split(text, regex, -1).alias("gap")), spans_of))
+    more = ",before:string,after:string" if around else ""
+    return F.coalesce(bound(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), taken), F.expr(f"CAST(array() AS array<struct<start:int,end:int,value:string{more}>>)"))
+
+
+def scan(docs: DataFrame, patterns: list[Pattern], text: str = "text", validate: bool = True, source: str = "regex", confidence: float = 1.0, only=None) -> DataFrame:
+    """Spans of all patterns over doc_id and text. Documents that no pattern fits are dropped before anything is taken apart.
+
+    only(pattern): a condition on columns of docs under which a row is searched for the pattern. No row carries text past the
+    search: a match brings the characters beside it.
+    """
     union = "|".join(f"(?:{p.regex})" for p in patterns)
-    kept = docs.select("doc_id", F.col(text).alias("text")).where(F.regexp_like("text", F.lit(union)))
-    per = [matches(F.col("text"), p.regex) for p in patterns]
-    arrays = kept.select("doc_id", "text", *(a.alias(p.key) for a, p in zip(per, patterns, strict=True)))
-    tagged = F.array(*(F.struct(F.lit(p.key).alias("pattern"), F.lit(p.type).alias("type"), F.col(p.key).alias("found")) for p in patterns))
-    long = arrays.select("doc_id", "text", F.explode(tagged).alias("p")).where(F.size("p.found") > 0).select("doc_id", "text", "p.pattern", "p.type", F.explode("p.found").alias("m"))
-    out = long.select("doc_id", "text", "pattern", "type", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"))
+    kept = docs.where(F.regexp_like(text, F.lit(union)))
+    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string,before:string,after:string>>)")
+    per = [matches(F.col(text), p.regex, around=True) for p in patterns]
+    if only is not None:
+        per = [F.when(only(p), found).otherwise(empty) for p, found in zip(patterns, per, strict=True)]
+    tagged = F.array(*(F.struct(F.lit(p.key).alias("pattern"), F.lit(p.type).alias("type"), found.alias("found")) for p, found in zip(patterns, per, strict=True)))
+    long = kept.select("doc_id", F.explode(F.filter(tagged, lambda t: F.size(t["found"]) > 0)).alias("p")).select("doc_id", "p.pattern", "p.type", F.explode("p.found").alias("m"))
+    out = long.select("doc_id", "pattern", "type", "m.*")
     if validate:
         verdict = F.lit(True)
         for p in patterns:
@@ -45,8 +75,7 @@ def scan(docs: DataFrame, patterns: list[Pattern], text: str = "text", validate:
                 verdict = F.when(F.col("pattern") == p.key, VALIDATORS[p.validator](F.col("value"))).otherwise(verdict)
         guarded = [p.key for p in patterns if p.guard]
         if guarded:
-            before, after = F.when(F.col("start") > 0, F.expr("substring(text, start, 1)")).otherwise(""), F.expr("substring(text, end + 1, 1)")
-            verdict = verdict & (~F.col("pattern").isin(guarded) | ~(F.regexp_like(before, F.lit("[0-9]")) | F.regexp_like(after, F.lit("[0-9]"))))
+            verdict = verdict & (~F.col("pattern").isin(guarded) | ~F.regexp_like(F.concat("before", "after"), F.lit("[0-9]")))
         out = out.where(verdict)
     return out.select("doc_id", "start", "end", "value", "type", F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), "pattern")
 
@@ -62,18 +91,24 @@ def tokens(text: Column, lower: bool = True) -> Column:
     return matches(F.lower(text) if lower else text, r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?")
 
 
+def beside(df: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows; a larger one is joined by shuffle, where hot keys are split at run time."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def phrase_scan(docs: DataFrame, phrases: DataFrame, text: str = "text", most: int = 3, confidence: float = 0.7, source: str = "keyword") -> DataFrame:
     """Spans of dictionary phrases (phrase, type, rank) of up to `most` words; longer ones first, none overlapping.
 
-    The dictionary is broadcast only while Spark's own estimate of it is small; n-grams join it by equality, so it may be of any size.
-    Of one phrase's types the smallest rank wins.
+    Words that begin no phrase go first, by a semi join; n-grams are only made of those left, and join the dictionary by
+    equality, so it may be of any size (Spark broadcasts it while its own estimate is small). A word's row holds the words
+    that may follow it, never the text. Of one phrase's types the smallest rank wins.
     """
     one = phrases.groupBy(F.lower("phrase").alias("phrase")).agg(F.min_by("type", "rank").alias("type"))
-    words = docs.select("doc_id", F.explode(F.expr(f"sequence(1, {most})")).alias("n"), tokens(F.col(text)).alias("w"))
-    grams = words.where("size(w) >= n").select("doc_id", "n", "w", F.explode(F.sequence(F.lit(1), F.expr("size(w) - n + 1"))).alias("i"))
-    said = grams.select(
-        "doc_id", "n", F.expr("w[i - 1].start").alias("start"), F.expr("w[i + n - 2].end").alias("end"), F.expr("array_join(transform(slice(w, i, n), x -> x.value), ' ')").alias("phrase")
-    )
+    heads = one.select(F.substring_index("phrase", " ", 1).alias("head")).distinct()
+    following = bound(tokens(F.col(text)), lambda w: F.transform(w, lambda x, i: F.slice(w, i + 1, F.lit(most))))
+    begun = docs.select("doc_id", F.explode(following).alias("w")).withColumn("head", F.col("w")[0]["value"]).join(beside(heads), "head", "left_semi")
+    grams = begun.select("doc_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("n"))
+    said = grams.select("doc_id", "n", F.expr("w[0].start").alias("start"), F.expr("w[n - 1].end").alias("end"), F.expr("array_join(transform(slice(w, 1, n), x -> x.value), ' ')").alias("phrase"))
     hits = said.join(one, "phrase").select("doc_id", "n", "start", "end", F.col("phrase").alias("value"), "type")
     return longest_first(hits).select("doc_id", "start", "end", "value", "type", F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))
 
@@ -93,9 +128,11 @@ def longest_first(hits: DataFrame) -> DataFrame:
 def names_scan(docs: DataFrame, first: DataFrame, last: DataFrame, text: str = "text") -> DataFrame:
     """Person spans: a first name before a surname (0.7), else a single known name (0.4). Case matters. first, last: (name)."""
     words = docs.select("doc_id", F.posexplode(tokens(F.col(text), lower=False)).alias("i", "w")).select("doc_id", "i", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("value"))
-    known = words.join(first.select(F.col("name").alias("value"), F.lit(True).alias("is_first")).distinct(), "value", "left").join(last.select(F.col("name").alias("value"), F.lit(True).alias("is_last")).distinct(), "value", "left")
+    listed = first.select(F.col("name").alias("value"), F.lit(True).alias("f"), F.lit(False).alias("l")).unionByName(last.select(F.col("name").alias("value"), F.lit(False).alias("f"), F.lit(True).alias("l")))
+    # one join that only known names pass; what follows sees no other word
+    known = words.join(beside(listed.groupBy("value").agg(F.max("f").alias("is_first"), F.max("l").alias("is_last"))), "value")
     w = Window.partitionBy("doc_id").orderBy("i")
-    near = known.where("is_first OR is_last").withColumn("next_i", F.lead("i").over(w)).withColumn("next_last", F.lead("is_last").over(w)).withColumn("next_end", F.lead("end").over(w)).withColumn("next_value", F.lead("value").over(w))
+    near = known.withColumn("next_i", F.lead("i").over(w)).withColumn("next_last", F.lead("is_last").over(w)).withColumn("next_end", F.lead("end").over(w)).withColumn("next_value", F.lead("value").over(w))
     pair = F.coalesce(F.col("is_first") & (F.col("next_i") == F.col("i") + 1) & F.col("next_last"), F.lit(False))
     marked = near.withColumn("pair", pair).withColumn("taken", F.coalesce(F.lag("pair").over(w), F.lit(False)))
     # in a run of names each pair takes two words, so a word that ends a pair can't begin one
@@ -158,7 +195,7 @@ def vote(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",), bonus: float = 0
         )
     )
     score = F.when((F.col("n") > 1) & (F.col("sources") > 1), F.least(F.lit(1.0), F.col("best.confidence") + bonus)).otherwise(F.col("best.confidence"))
-    ranked = by_type.withColumn("confidence", F.round(score, 2)).withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("confidence"), F.desc("best.length"), "best.start", "type")))
+    ranked = by_type.withColumn("confidence", score).withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("confidence"), F.desc("best.length"), "best.start", "type")))
     return ranked.where((F.col("rank") == 1) & (F.col("confidence") >= least)).select(*keys, "best.start", "best.end", "best.value", "type", "confidence", "sources")
 
 

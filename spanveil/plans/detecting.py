@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import validators as va
-from ..operators import dims, spans
+from ..operators import dims, hybrid, spans
+from ..sources.io import Config
 from . import corpus as cp
 
 QUERIES: dict = {}
@@ -68,14 +69,14 @@ add(
 # --- patterns
 
 
-def spans_sql(source: str, regex: str, extra: str = "") -> str:
+def spans_sql(source: str, regex: str, text: bool = True) -> str:
     """(doc_id, text, start, end, value) of all matches, from what the pattern extracts and what it splits."""
-    quoted = regex.replace("'", "''")
+    quoted, kept = regex.replace("'", "''"), "doc_id, text" if text else "doc_id"
     return (
-        f"(WITH t AS ({source}), m AS (SELECT doc_id, text, regexp_extract_all(text, '{quoted}') AS v, string_split_regex(text, '{quoted}') AS g FROM t), "
-        "x AS (SELECT doc_id, text, v, g, unnest(range(1, len(v) + 1)) AS i FROM m), "
-        "y AS (SELECT doc_id, text, v[i] AS value, CAST(list_sum(list_transform(g[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda z: length(z))), 0) AS INT) AS s FROM x) "
-        f'SELECT doc_id, text, s AS "start", CAST(s + length(value) AS INT) AS "end", value{extra} FROM y)'
+        f"(WITH t AS ({source}), m AS (SELECT {kept}, regexp_extract_all(text, '{quoted}') AS v, string_split_regex(text, '{quoted}') AS g FROM t), "
+        f"x AS (SELECT {kept}, unnest(v) AS value, unnest(g[1:len(v)]) AS gap, unnest(range(1, len(v) + 1)) AS i FROM m WHERE len(v) > 0), "
+        f"y AS (SELECT {kept}, value, CAST(sum(length(gap) + length(value)) OVER (PARTITION BY doc_id ORDER BY i) - length(value) AS INT) AS s FROM x) "
+        f'SELECT {kept}, s AS "start", CAST(s + length(value) AS INT) AS "end", value FROM y)'
     )
 
 
@@ -116,10 +117,10 @@ for _p in dims.LANGUAGE:
     )
 
 
-def found_sql(text: str, patterns) -> str:
+def found_sql(text: str, patterns, source: str | None = None) -> str:
     """All patterns' spans over the corpus, as SQL."""
     return " UNION ALL ".join(
-        f"SELECT doc_id, \"start\", \"end\", value, '{p.type}' AS type, CAST(1.0 AS DOUBLE) AS confidence, 'regex' AS source FROM {spans_sql(cp.corpus_sql(text), p.regex)} WHERE {rule_sql(p.validator)}" + (f" AND {GUARD}" if p.guard else "")
+        f"SELECT doc_id, \"start\", \"end\", value, '{p.type}' AS type, CAST(1.0 AS DOUBLE) AS confidence, 'regex' AS source FROM {spans_sql(source or cp.corpus_sql(text), p.regex)} WHERE {rule_sql(p.validator)}" + (f" AND {GUARD}" if p.guard else "")
         for p in patterns
     )
 
@@ -134,7 +135,7 @@ g AS (SELECT r.*, "end" AS reach, true AS kept FROM r WHERE i = 1
 SELECT {COLUMNS} FROM g WHERE kept"""
 add("d11_greedy_dedupe", lambda s, d: spans.greedy(spans.scan(cp.corpus(s, d), dims.BASE).drop("pattern")), GREEDY_SQL)
 PT = [p for p in dims.LANGUAGE if p.lang in ("es", "pt")]
-add("d36_language_scan", lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), PT).drop("pattern"), found_sql(cp.FOREIGN, PT))
+add("d36_language_scan", lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), dims.LANGUAGE).drop("pattern"), found_sql(cp.FOREIGN, dims.LANGUAGE))
 ADJACENT_SQL = f"""
 WITH RECURSIVE f AS ({found_sql(cp.FOREIGN, PT)}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, confidence, source, type, value) AS i FROM f),
 g AS (SELECT doc_id, i, [struct_pack(s := "start", e := "end", v := value, t := type)] AS kept FROM r WHERE i = 1
@@ -146,21 +147,10 @@ SELECT doc_id, k.s AS "start", k.e AS "end", k.v AS value, k.t AS type, CAST(1.0
 add("d37_adjacent_dedupe", lambda s, d: spans.adjacent(spans.scan(cp.corpus(s, d, cp.FOREIGN), PT).drop("pattern")), ADJACENT_SQL)
 add(
     "v13_digit_boundary",
-    lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), [dims.LANGUAGE[27]]).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
-    f"SELECT 'phone' AS type, count(*) AS n FROM {spans_sql(cp.corpus_sql(cp.FOREIGN), dims.LANGUAGE[27].regex)} WHERE {GUARD}",
+    lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), dims.LANGUAGE).groupBy("pattern", "type").agg(F.count(F.lit(1)).alias("n")),
+    " UNION ALL ".join(f"SELECT '{p.key}' AS pattern, '{p.type}' AS type, count(*) AS n FROM {spans_sql(cp.corpus_sql(cp.FOREIGN), p.regex)} WHERE {rule_sql(p.validator)}" + (f" AND {GUARD}" if p.guard else "") + " HAVING count(*) > 0" for p in dims.LANGUAGE),
 )
-add("d38_language_detect", lambda s, d: cp.documents(s, d).groupBy("lang", tx.language(F.col("text")).alias("guess")).agg(F.count(F.lit(1)).alias("n")))
 RELATED_SQL = "VALUES " + ", ".join(f"('{k}', '{x}')" for k, own in dims.RELATED.items() for x in own)
-add(
-    "d39_related_languages",
-    lambda s, d: cp.documents(s, d).select("doc_id", F.explode(F.element_at(F.create_map(*(x for k, v in dims.RELATED.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("lang"))).alias("scanned")),
-    f"SELECT d.doc_id, r.s AS scanned FROM documents d JOIN ({RELATED_SQL}) r(l, s) ON d.lang = r.l",
-)
-add(
-    "d40_language_allow_list",
-    lambda s, d: spans.scan(cp.corpus(s, d, cp.FOREIGN), [p for p in dims.LANGUAGE if p.lang in ("de",)]).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
-    f"SELECT type, count(*) AS n FROM ({found_sql(cp.FOREIGN, [p for p in dims.LANGUAGE if p.lang == 'de'])}) GROUP BY type",
-)
 add("t10_dictionary_tokens", lambda s, d: cp.corpus(s, d, cp.SAID).select("doc_id", F.posexplode(spans.tokens(F.col("text"))).alias("i", "w")).select("doc_id", "i", "w.start", "w.end", "w.value"),
     "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY \"start\") - 1 AS INT) AS i, \"start\", \"end\", value FROM " + spans_sql(f"SELECT doc_id, lower(text) AS text FROM ({cp.corpus_sql(cp.SAID)})", r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?"))
 add("t11_words_and_marks", lambda s, d: cp.corpus(s, d, cp.SAID).select("doc_id", F.posexplode(tx.words_and_marks(F.col("text"))).alias("i", "token")),
@@ -174,10 +164,10 @@ def listed(spark, lists):
     return spark.createDataFrame([(p, t, i) for i, (t, own) in enumerate(lists.items()) for p in own], "phrase string, type string, rank int")
 
 
-def phrases_sql(lists: dict[str, list[str]], confidence: float, source: str, text: str = cp.SAID) -> str:
+def phrases_sql(lists: dict[str, list[str]], confidence: float, source: str, text: str = cp.SAID, of: str | None = None) -> str:
     """Hits of n words (3, 2, 1), each kept if no longer one and no kept one of its length overlaps it from the left."""
     rows = ", ".join(f"('{p.replace(chr(39), chr(39) * 2)}', '{t}', {i})" for i, (t, own) in enumerate(lists.items()) for p in own)
-    words = spans_sql(f"SELECT doc_id, lower(text) AS text FROM ({cp.corpus_sql(text)})", r"[\p{L}\p{N}](?:[\p{L}\p{N}''-]*[\p{L}\p{N}])?".replace("''", "'"))
+    words = spans_sql(f"SELECT doc_id, lower(text) AS text FROM ({of or cp.corpus_sql(text)})", r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?", text=False)
     return f"""
 WITH RECURSIVE p AS (SELECT phrase, min_by(type, rank) AS type FROM (VALUES {rows}) v(phrase, type, rank) GROUP BY phrase),
 w AS (SELECT doc_id, "start" AS s, "end" AS e, value, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS i FROM {words}),
@@ -201,47 +191,106 @@ def names(spark, own):
     return spark.createDataFrame([(x,) for x in own], "name string")
 
 
-NAMES_SQL = f"""
-WITH w AS (SELECT doc_id, "start" AS s, "end" AS e, value, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS i FROM {spans_sql(cp.corpus_sql(cp.SAID), r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?")}),
+def names_sql(of: str) -> str:
+    return f"""
+WITH w AS (SELECT doc_id, "start" AS s, "end" AS e, value, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS i FROM {spans_sql(of, r"[\p{L}\p{N}](?:[\p{L}\p{N}'-]*[\p{L}\p{N}])?", text=False)}),
 l AS (SELECT *, lead(value) OVER x AS v2, lead(e) OVER x AS e2, lag(value) OVER x AS v0 FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i))
 SELECT doc_id, s AS "start", CASE WHEN v2 IN ('Garcia', 'Smith') AND value IN ('Maria', 'John', 'Anna') THEN e2 ELSE e END AS "end",
   CASE WHEN v2 IN ('Garcia', 'Smith') AND value IN ('Maria', 'John', 'Anna') THEN value || ' ' || v2 ELSE value END AS value, 'person' AS type,
   CAST(CASE WHEN v2 IN ('Garcia', 'Smith') AND value IN ('Maria', 'John', 'Anna') THEN 0.7 ELSE 0.4 END AS DOUBLE) AS confidence, 'gazetteer' AS source
 FROM l WHERE (value IN ('Maria', 'John', 'Anna') OR value IN ('Garcia', 'Smith')) AND NOT (value IN ('Garcia', 'Smith') AND coalesce(v0, '') IN ('Maria', 'John', 'Anna'))"""
+
+
+NAMES_SQL = names_sql(cp.corpus_sql(cp.SAID))
 add("d44_name_gazetteer", lambda s, d: spans.names_scan(cp.corpus(s, d, cp.SAID), names(s, FIRST), names(s, LAST)), NAMES_SQL)
 
 # --- resolution
 
 
+BOTH = f"{cp.SAID} || ' ' || {cp.TEXT}"
+
+
 def engines(s, d):
-    """Spans of several engines over the mixed corpus."""
-    docs = cp.corpus(s, d, f"{cp.SAID} || ' ' || {cp.TEXT}")
-    keep = ["doc_id", "start", "end", "value", "type", "confidence", "source"]
-    found = spans.scan(docs, dims.BASE).select(*keep)
-    return found.unionByName(spans.phrase_scan(docs, listed(s, PHRASE_LISTS)).select(*keep)).unionByName(spans.names_scan(docs, names(s, FIRST), names(s, LAST)).select(*keep))
+    """Spans of the engines over the mixed corpus; its sentences have no language of their own patterns."""
+    return hybrid.engines(cp.corpus(s, d, BOTH), listed(s, PHRASE_LISTS), names(s, FIRST), names(s, LAST))
 
 
-BOTH = f"{cp.SAID} || ' ' || {cp.TEXT}"
-ENGINES_SQL = f"({found_sql(BOTH, dims.BASE)}) UNION ALL ({phrases_sql(PHRASE_LISTS, 0.7, 'keyword', BOTH)}) UNION ALL ({NAMES_SQL.replace(cp.corpus_sql(cp.SAID), cp.corpus_sql(BOTH))})"
-CLUSTERS = f"""e AS ({ENGINES_SQL}),
-r AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end", type, source, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+ENGINES_SQL = f"({found_sql(BOTH, dims.BASE)}) UNION ALL ({phrases_sql(PHRASE_LISTS, 0.7, 'keyword', BOTH)}) UNION ALL ({names_sql(cp.corpus_sql(BOTH))})"
+CLUSTERS_OF = f"e AS ({ENGINES_SQL}),\n"
+CLUSTERS = f"""{CLUSTERS_OF}r AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end", type, source, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 c AS (SELECT doc_id, "start", "end", value, type, confidence, source, CAST(sum(CASE WHEN reach IS NULL OR reach <= "start" THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY "start", "end", type, source, value ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM r)"""
 add("r1_overlap_clusters", lambda s, d: spans.clusters(engines(s, d)), f"WITH {CLUSTERS} SELECT * FROM c")
 VOTE = f"""{CLUSTERS},
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id, cluster) AS n FROM c),
 t AS (SELECT doc_id, cluster, type, max(confidence) AS conf, count(DISTINCT source) AS sources, max(n) AS n, arg_max(struct_pack(s := "start", e := "end", v := value), (confidence, "end" - "start", -"start")) AS b FROM n GROUP BY ALL),
-q AS (SELECT *, round(CASE WHEN n > 1 AND sources > 1 THEN least(1.0, conf + 0.15) ELSE conf END, 2) AS confidence FROM t),
+q AS (SELECT *, CASE WHEN n > 1 AND sources > 1 THEN least(CAST(1 AS DOUBLE), conf + CAST(0.15 AS DOUBLE)) ELSE conf END AS confidence FROM t),
 v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, cluster ORDER BY confidence DESC, b.e - b.s DESC, b.s, type) AS k FROM q)"""
 VOTE_SQL = f'WITH {VOTE} SELECT doc_id, b.s AS "start", b.e AS "end", b.v AS value, type, CAST(confidence AS DOUBLE) AS confidence, sources FROM v WHERE k = 1'
 add("r2_cluster_vote", lambda s, d: spans.vote(engines(s, d), least=0.0), VOTE_SQL)
 add("r3_singletons", lambda s, d: spans.vote(engines(s, d), least=0.0).where("sources = 1").groupBy("type").agg(F.count(F.lit(1)).alias("n")), f"SELECT type, count(*) AS n FROM ({VOTE_SQL}) WHERE sources = 1 GROUP BY type")
 add("r4_confidence_filter", lambda s, d: spans.vote(engines(s, d)), f"SELECT * FROM ({VOTE_SQL}) WHERE confidence >= 0.5")
-add("r5_bonus_off", lambda s, d: spans.vote(engines(s, d), bonus=0.0), f"SELECT * FROM ({VOTE_SQL.replace('conf + 0.15', 'conf + 0.0')}) WHERE confidence >= 0.5")
-add("r6_ordered_spans", lambda s, d: spans.greedy(engines(s, d)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-add("d54_hybrid_scan", lambda s, d: spans.vote(engines(s, d)), f"SELECT * FROM ({VOTE_SQL}) WHERE confidence >= 0.5")
+add("r5_bonus_off", lambda s, d: spans.vote(engines(s, d), bonus=0.0), f"SELECT * FROM ({VOTE_SQL.replace('CAST(0.15 AS DOUBLE)', '0')}) WHERE confidence >= 0.5")
+REACH_SQL = f"""
+WITH RECURSIVE e AS ({ENGINES_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end" DESC, value, type, confidence, source) AS i FROM e),
+g AS (SELECT r.*, "end" AS reach, true AS kept FROM r WHERE i = 1
+  UNION ALL SELECT r.*, CASE WHEN r."start" >= g.reach THEN r."end" ELSE g.reach END, r."start" >= g.reach FROM g JOIN r ON r.doc_id = g.doc_id AND r.i = g.i + 1)
+SELECT {COLUMNS} FROM g WHERE kept"""
+add("r6_ordered_spans", lambda s, d: spans.greedy(engines(s, d)).select("doc_id", "start", "end", "value", "type", "confidence", "source"), REACH_SQL)
+# documents with entities of their own key after the text, some of them in code
+FENCE = r"'```[\s\S]*?```|`[^`\n]+`'"
+PLANTED = " || ' ' || ".join(["text", *(x.replace(cp.KEY, "doc_id") for x in (cp.SAID, cp.TEXT, cp.FOREIGN))])
+PLANTED_SQL = f"SELECT doc_id, {PLANTED} AS text FROM documents"
+MASKED_SQL = f"""SELECT doc_id, CASE WHEN strpos(text, '`') > 0 THEN array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i <= len(v) THEN regexp_replace(v[i], '[^\n]', ' ', 'g') ELSE '' END), '') ELSE text END AS text
+FROM (SELECT doc_id, text, regexp_extract_all(text, {FENCE}) AS v, string_split_regex(text, {FENCE}) AS g FROM planted)"""
+
+
+def language_sql() -> str:
+    """(doc_id, lang): tx.language over `masked`."""
+    share = lambda a, b: f"length(regexp_replace(text, '[^{a}-{b}]', '', 'g')) / greatest(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')), 1)"
+    stops = ", ".join(f"struct_pack(n := len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own)}))), i := {-i}, lang := '{k}')" for i, (k, own) in enumerate(tx.STOP_WORDS.items()))
+    scripts = [("ja", "\\x{3040}", "\\x{30FF}", 0.1), ("ko", "\\x{AC00}", "\\x{D7AF}", 0.3), ("ar", "\\x{0600}", "\\x{06FF}", 0.3), ("zh", "\\x{4E00}", "\\x{9FFF}", 0.3)]
+    cases = " ".join(f"WHEN {share(a, b)} > {least} THEN '{k}'" for k, a, b, least in scripts)
+    return f"""SELECT doc_id, CASE WHEN strlen(text) < 20 THEN NULL {cases} WHEN best.n >= 0.15 * greatest(len(w), 1) THEN best.lang END AS lang
+FROM (SELECT *, list_max([{stops}]) AS best FROM (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') AS w FROM masked))"""
+
+
+add("d38_language_detect", lambda s, d: cp.documents(s, d).select("doc_id", tx.language(F.col("text")).alias("lang")), f"WITH masked AS (SELECT doc_id, text FROM documents) {language_sql()}")
+add(
+    "d39_related_languages",
+    lambda s, d: cp.documents(s, d).select("doc_id", F.explode(hybrid.scanned_languages(F.col("text"))).alias("scanned")),
+    f"WITH masked AS (SELECT doc_id, text FROM documents), l AS ({language_sql()}) SELECT l.doc_id, r.s AS scanned FROM l JOIN ({RELATED_SQL}) r(l, s) ON l.lang = r.l",
+)
+
+
+def hybrid_sql(allowed: list[str]) -> str:
+    """The whole scan over documents with planted entities, by the languages allowed."""
+    parts = [f"({found_sql('', dims.BASE, 'SELECT * FROM masked')})", f"({phrases_sql(PHRASE_LISTS, 0.7, 'keyword', of='SELECT * FROM masked')})", f"({names_sql('SELECT * FROM masked')})"]
+    pairs = [(k, x) for k, own in dims.RELATED.items() for x in own if not allowed or x in allowed]
+    ctes = f"planted AS MATERIALIZED ({PLANTED_SQL}), masked AS MATERIALIZED ({MASKED_SQL}), lang AS MATERIALIZED ({language_sql()}), scanned AS (SELECT doc_id, s FROM lang JOIN (VALUES {', '.join(f'{p!r}' for p in pairs)}) r(l, s) ON lang.lang = r.l)"
+    own = sorted({x for _, x in pairs} & {"es", "pt", "fr", "de"})  # no document here is in another script
+    rows = " UNION ALL ".join(f"SELECT *, '{k}' AS lang FROM ({found_sql('', [p for p in dims.LANGUAGE if p.lang == k], f'SELECT m.* FROM masked m JOIN scanned c ON m.doc_id = c.doc_id AND c.s = {k!r}')})" for k in own)
+    ctes += f""", lf AS MATERIALIZED ({rows}), lr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, lang ORDER BY "start", "end" DESC, value, type) AS i FROM lf),
+lg AS (SELECT doc_id, lang, i, [struct_pack(s := "start", e := "end", v := value, t := type)] AS kept FROM lr WHERE i = 1
+  UNION ALL SELECT lr.doc_id, lr.lang, lr.i, CASE WHEN lr."start" >= lg.kept[-1].e THEN list_append(lg.kept, struct_pack(s := lr."start", e := lr."end", v := lr.value, t := lr.type))
+    WHEN lr."end" - lr."start" > lg.kept[-1].e - lg.kept[-1].s THEN list_append(lg.kept[1:len(lg.kept) - 1], struct_pack(s := lr."start", e := lr."end", v := lr.value, t := lr.type)) ELSE lg.kept END
+  FROM lg JOIN lr ON lr.doc_id = lg.doc_id AND lr.lang = lg.lang AND lr.i = lg.i + 1),
+ll AS (SELECT doc_id, lang, max_by(kept, i) AS kept FROM lg GROUP BY ALL), lu AS (SELECT doc_id, unnest(kept) AS k FROM ll)"""
+    parts.append("SELECT doc_id, k.s, k.e, k.v, k.t, CAST(1.0 AS DOUBLE), 'regex' FROM lu")
+    vote = VOTE.replace(ENGINES_SQL, " UNION ALL ".join(parts))
+    return f"""WITH RECURSIVE {ctes}, {vote} SELECT v.doc_id, b.s AS "start", b.e AS "end", substr(p.text, b.s + 1, b.e - b.s) AS value, type, confidence, sources FROM v JOIN planted p ON p.doc_id = v.doc_id WHERE k = 1 AND confidence >= 0.5"""
+
+
+def hybrid_scan(s, d, allowed: list[str]):
+    docs = cp.documents(s, d).selectExpr("doc_id", f"{PLANTED} AS text")
+    return hybrid.detect(docs, listed(s, PHRASE_LISTS), names(s, FIRST), names(s, LAST), config=Config(languages=allowed))
+
+
+for _name, _allowed in (("d54_hybrid_scan", []), ("d40_language_allow_list", ["de"]), ("d40_two_languages", ["es", "fr"])):
+    add(_name, lambda s, d, a=_allowed: hybrid_scan(s, d, a), hybrid_sql(_allowed))
 add("a1_type_counts", lambda s, d: spans.vote(engines(s, d)).groupBy("type").agg(F.count_distinct("value").alias("n")), f"SELECT type, count(DISTINCT value) AS n FROM ({VOTE_SQL}) WHERE confidence >= 0.5 GROUP BY type")
 add("a2_categories", lambda s, d: spans.vote(engines(s, d)).groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types")), f"SELECT doc_id, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM ({VOTE_SQL}) WHERE confidence >= 0.5 GROUP BY doc_id")
-add("d54_hybrid_scan_counts", lambda s, d: spans.vote(spans.scan(cp.documents(s, d), dims.BASE)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")))
+add("d54_hybrid_scan_counts", lambda s, d: spans.vote(spans.scan(cp.documents(s, d), dims.BASE)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs")),
+    f"WITH RECURSIVE e AS ({found_sql('', dims.BASE, 'SELECT doc_id, text FROM documents')}), {VOTE.replace(CLUSTERS_OF, '')} SELECT type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM v WHERE k = 1 AND confidence >= 0.5 GROUP BY type")
 add("p15_label_redaction", lambda s, d: spans.spliced(cp.corpus(s, d), spans.greedy(spans.scan(cp.corpus(s, d), [dims.BASE[3]]).drop("pattern")).withColumn("replacement", F.lit("[EMAIL]"))),
     f"SELECT doc_id, regexp_replace(text, '{dims.BASE[3].regex}', '[EMAIL]', 'g') AS text FROM ({cp.corpus_sql()})")
 add("t5_code_fences", lambda s, d: cp.corpus(s, d, cp.SAID).select("doc_id", tx.fences_masked(F.col("text")).alias("text")),

@@ -24,7 +24,24 @@ customers = lambda s, d: s.read.parquet(f"{d}/customer.parquet")
 VOCABULARY = ["[UNK]", "un", "##aff", "##able", "hello", "!"]
 add("t12_wordpiece", lambda s, d: customers(s, d).select("c_custkey", F.array_join(pieces.pieces(F.concat(F.lit("Hello unaffable! zz"), F.lit("")), VOCABULARY), ",").alias("ids")), "SELECT c_custkey, '4,1,2,3,5,0' AS ids FROM customer")
 add("t13_chunks", lambda s, d: pieces.chunked(cp.documents(s, d)).groupBy("doc_id").agg((F.max(F.octet_length("chunk")) <= 800).alias("fits"), F.max(F.col("at") + F.length("chunk")).cast("long").alias("reach")), "SELECT doc_id, true AS fits, CAST(length(text) AS BIGINT) AS reach FROM documents WHERE text <> ''")
-add("d46_crf_features", lambda s, d: customers(s, d).select("c_custkey", F.lit(",".join(crf.features(["Anna", "Smith"], 0))).alias("features")), "SELECT c_custkey, 'bias,w=anna,shape=Xxx,p1=a,p2=an,p3=ann,s1=a,s2=na,s3=nna,is_title,BOS,w+1=smith' AS features FROM customer")
+WORD = "substr('Aline', 1, CAST(c_custkey % 5 AS INT) + 1) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-7' ELSE 'B' END"
+
+
+def crf_words(s, d):
+    """Features of the first word of a two-word text made from the key."""
+    made = customers(s, d).selectExpr("c_custkey AS doc_id", f"{WORD} || ' met ' || c_name AS text")
+    return crf.shown(made).where("i = 0").select("doc_id", "feature")
+
+
+LOW, TAIL = "lower(w)", "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-d' ELSE 'X' END"
+add("d46_crf_features", crf_words, f"""WITH t AS (SELECT c_custkey AS doc_id, {WORD} AS w FROM customer),
+f AS (SELECT doc_id, unnest([
+  'word=' || {LOW}, 'shape=X' || CASE WHEN doc_id % 5 > 0 THEN 'x' ELSE '' END || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 2 THEN '' ELSE {TAIL} END,
+  'p1=' || left({LOW}, 1), 's1=' || right({LOW}, 1), CASE WHEN length(w) > 1 THEN 'p2=' || left({LOW}, 2) END, CASE WHEN length(w) > 1 THEN 's2=' || right({LOW}, 2) END,
+  CASE WHEN length(w) > 2 THEN 'p3=' || left({LOW}, 3) END, CASE WHEN length(w) > 2 THEN 's3=' || right({LOW}, 3) END,
+  CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 1 THEN 'isupper' END, CASE WHEN doc_id % 3 = 0 THEN 'istitle' END, CASE WHEN doc_id % 3 <> 1 THEN 'isalpha' END,
+  'len=' || CASE WHEN length(w) <= 2 THEN 'short' WHEN length(w) <= 5 THEN 'medium' ELSE 'long' END, 'BOS', '+1:word=met', '+1:shape=x']) AS feature FROM t)
+SELECT doc_id, feature FROM f WHERE feature IS NOT NULL""")
 touching = lambda s, d: customers(s, d).select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(v).alias("value"), F.lit(t).alias("type")) for a, b, v, t in ((0, 4, "a", "person"), (4, 9, "b", "person"), (2, 6, "c", "location"), (12, 15, "d", "person"))))).alias("x")).select("doc_id", "x.*")
 add("d51_chunk_merge", lambda s, d: pieces.merged_chunks(touching(s, d)).select("doc_id", "value"), "SELECT c_custkey AS doc_id, unnest(['a', 'c', 'd']) AS value FROM customer")
 add("d52_label_map", lambda s, d: customers(s, d).select("c_custkey", pieces.bio_label((F.col("c_custkey") % 13).cast("int")).alias("label")), "SELECT c_custkey, CASE WHEN c_custkey % 13 BETWEEN 1 AND 10 THEN CASE c_custkey % 2 WHEN 1 THEN 'B-' ELSE 'I-' END || ['PER', 'LOC', 'ORG', 'HEALTH', 'CHILD'][CAST((c_custkey % 13 + 1) // 2 AS INT)] ELSE 'O' END AS label FROM (SELECT c_custkey % 13 + 0 AS k, c_custkey FROM customer)".replace("CASE c_custkey % 2 WHEN 1", "CASE c_custkey % 13 % 2 WHEN 1"))

@@ -207,7 +207,9 @@ add("a5_unfinished", lambda s, d: ops.unfinished(lines(s, d)), 'SELECT CAST(c_cu
 ram, RAM = made(["c_custkey AS id", "c_custkey * 4 AS mb"])
 add("a6_tiers", lambda s, d: ram(s, d).select("id", ops.tier(F.col("mb")).alias("tier"), ops.embedded_budget(F.col("mb")).alias("budget")), f"SELECT id, CASE WHEN mb >= 3584 THEN 'full' WHEN mb >= 1536 THEN 'standard' ELSE 'lite' END AS tier, greatest(12, least(275, CAST(floor(mb / 5) AS INT))) AS budget FROM ({RAM})")
 beats, BEATS = made(["c_custkey % 10 AS client", "c_custkey AS at", "c_custkey % 7 <> 0 AS ok", "c_custkey % 11 = 0 AS passthrough"])
-add("a7_heartbeat", lambda s, d: ops.heartbeat(beats(s, d)).select("client", "at", "state"), f"SELECT client, \"at\", CASE WHEN passthrough THEN 'passthrough' WHEN NOT ok THEN 'degraded' WHEN lag(ok) OVER (PARTITION BY client ORDER BY \"at\") = false THEN 'recovering' ELSE 'active' END AS state FROM ({BEATS})")
+BEAT_STATES = f"SELECT *, CASE WHEN NOT ok THEN 'degraded' WHEN passthrough THEN 'passthrough' ELSE 'active' END AS state FROM ({BEATS})"
+add("a7_heartbeat", lambda s, d: ops.heartbeat(beats(s, d)).select("client", "at", "state", F.array_join("passed", ">").alias("passed")),
+    f"SELECT client, \"at\", state, CASE WHEN state = b THEN '' WHEN state = 'active' THEN 'recovering>active' ELSE state END AS passed FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY client ORDER BY \"at\"), 'active') AS b FROM ({BEAT_STATES}))")
 add("a3_counters", lambda s, d: samples(s, d).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us")), f"SELECT metric, count(*) AS n, CAST(sum(us) AS BIGINT) AS us FROM ({SAMPLES}) GROUP BY metric")
 add("a9_model_percentiles", lambda s, d: samples(s, d).groupBy("metric").agg(F.round(F.percentile("us", 0.5), 3).alias("p50"), F.round(F.percentile("us", 0.95), 3).alias("p95"), F.round(F.avg("us"), 3).alias("mean"), F.round(F.stddev("us"), 3).alias("sd")), f"SELECT metric, round(quantile_cont(us, 0.5), 3) AS p50, round(quantile_cont(us, 0.95), 3) AS p95, round(avg(us), 3) AS mean, round(stddev(us), 3) AS sd FROM ({SAMPLES}) GROUP BY metric")
 add("o2_timing_headers", lambda s, d: samples(s, d).limit(0).unionByName(samples(s, d)).select(F.size(F.map_filter(F.create_map(F.lit("x-scan"), F.col("us"), F.lit("x-none"), F.lit(0).cast("long")), lambda k, v: v > 0)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rows")), f"SELECT CASE WHEN us > 0 THEN 1 ELSE 0 END AS n, count(*) AS rows FROM ({SAMPLES}) GROUP BY ALL")
@@ -251,7 +253,16 @@ add("r10_expanded_boxes", lambda s, d: boxes(s, d).select("box_id", media.expand
 add("m5_face_fill", lambda s, d: boxes(s, d).select("box_id", media.face_fill(F.struct("x_min", "y_min", "x_max", "y_max"), F.lit(22), F.lit(20)).alias("fill")), f"SELECT box_id, CASE WHEN (x_max - x_min) * (y_max - y_min) > 0.8 * 440 THEN 'all' ELSE 'ellipse' END AS fill FROM ({BOXES})")
 add("m12_box_issues", lambda s, d: media.box_issues(boxes(s, d)).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("n")),
     f"SELECT 'within_bounds' AS \"check\", 'error' AS severity, count(*) FILTER (x_max > img_width) + count(*) FILTER (y_max > img_height) AS n FROM ({BOXES}) UNION ALL SELECT 'confidence_range', 'error', count(*) FILTER (confidence <= 0 OR confidence > 1) FROM ({BOXES})")
-add("e12_box_scores", lambda s, d: dataset.box_scores(boxes(s, d).where("box_id % 2 = 0"), boxes(s, d).where("box_id % 2 = 1")).select("image_id", "found", "truth"), f"SELECT image_id, count(*) FILTER (box_id % 2 = 0) AS found, count(*) FILTER (box_id % 2 = 1) AS truth FROM ({BOXES}) GROUP BY image_id")
+IOU = "greatest(0, least(f.x_max, t.x_max) - greatest(f.x_min, t.x_min)) * greatest(0, least(f.y_max, t.y_max) - greatest(f.y_min, t.y_min))"
+AREA = lambda x: f"({x}.x_max - {x}.x_min) * ({x}.y_max - {x}.y_min)"
+E12 = f"""WITH RECURSIVE b AS ({BOXES}), p AS (SELECT f.image_id, f.box_id, t.box_id AS t, {IOU} AS i, {AREA('f')} + {AREA('t')} AS area FROM b f JOIN b t ON f.image_id = t.image_id AND f.box_id % 2 = 0 AND t.box_id % 2 = 1),
+c AS (SELECT image_id, box_id, list(t ORDER BY i / (area - i) DESC, t) AS fits FROM p WHERE i / (area - i) >= 0.5 GROUP BY ALL),
+f AS (SELECT b.image_id, coalesce(c.fits, []) AS fits, row_number() OVER (PARTITION BY b.image_id ORDER BY b.box_id) AS k FROM b LEFT JOIN c ON c.image_id = b.image_id AND c.box_id = b.box_id WHERE b.box_id % 2 = 0),
+g AS (SELECT DISTINCT image_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS taken FROM b UNION ALL
+  SELECT g.image_id, f.k, CASE WHEN len(list_filter(f.fits, lambda x: NOT list_contains(g.taken, x))) > 0 THEN list_append(g.taken, list_filter(f.fits, lambda x: NOT list_contains(g.taken, x))[1]) ELSE g.taken END FROM g JOIN f ON f.image_id = g.image_id AND f.k = g.k + 1),
+h AS (SELECT image_id, max(len(taken)) AS tp FROM g GROUP BY ALL), n AS (SELECT image_id, count(*) FILTER (box_id % 2 = 0) AS found, count(*) FILTER (box_id % 2 = 1) AS truth FROM b GROUP BY ALL)
+SELECT n.image_id, tp, found, truth, round(CASE WHEN found > 0 THEN tp / found ELSE 0 END, 6) AS precision, round(CASE WHEN truth > 0 THEN tp / truth ELSE 0 END, 6) AS recall, round(CASE WHEN tp > 0 THEN 2 * tp / (found + truth) ELSE 0 END, 6) AS f1 FROM n JOIN h ON n.image_id = h.image_id"""
+add("e12_box_scores", lambda s, d: dataset.box_scores(boxes(s, d).where("box_id % 2 = 0"), boxes(s, d).where("box_id % 2 = 1")), E12)
 sizes, SIZES = made(["c_custkey AS id", "CASE WHEN c_custkey % 3 = 0 THEN 1920 ELSE CAST(c_custkey AS INT) END AS w", "CASE WHEN c_custkey % 3 = 0 THEN 1080 ELSE 900 END AS h", "CASE WHEN c_custkey % 5 = 0 THEN 'ShareX 1' WHEN c_custkey % 5 = 1 THEN 'Editor' END AS software", "CASE WHEN c_custkey % 2 = 0 THEN 'Cam' END AS camera"])
 PAIRS = ", ".join(f"({a}, {b})" for a, b in dims.SCREENS)
 add("m2_screenshots", lambda s, d: sizes(s, d).select("id", media.screenshot(F.col("software"), F.col("camera"), F.col("w"), F.col("h"), F.lit(None).cast("double"), ["sharex", "screenshot"]).alias("shot")),
@@ -263,7 +274,7 @@ add("m3_nsfw", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("ve
 frames = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array(*(F.struct(F.lit(b).alias("best"), F.lit(0.5).alias("p")) for b in (1, 1, 0, 1, 2, 2, 0))).alias("f"))
 add("m8_ctc_decode", lambda s, d: frames(s, d).select("c_custkey", media.ctc(F.col("f"), 3, F.array(F.lit("a"), F.lit("b"))).alias("x")).select("c_custkey", "x.*"), "SELECT c_custkey, 'aab' AS text, CAST(0.5 AS DOUBLE) AS confidence FROM customer")
 add("o7_anchors", lambda s, d: media.anchors(s).groupBy("layer").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES (0, 512), (1, 128), (2, 128), (3, 128)) v(layer, n)")
-CRF = (["O", "B-PER", "I-PER"], {"bias": [0.2, 0.0, 0.0], "w=anna": [0.0, 2.0, 0.0], "w=smith": [0.0, 0.0, 2.0]}, [[0.5, 0.0, -5.0], [0.0, -1.0, 1.0], [0.0, -1.0, -0.5]])
+CRF = (["O", "B-PER", "I-PER"], {"isalpha": [0.2, 0.0, 0.0], "word=anna": [0.0, 2.0, 0.0], "word=smith": [0.0, 0.0, 2.0]}, [[0.5, 0.0, -5.0], [0.0, -1.0, 1.0], [0.0, -1.0, -0.5]])
 add("d47_crf", lambda s, d: crf.scan(cp.corpus(s, d, cp.SAID), *CRF).select("doc_id", "value", "type"), "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Anna Smith' AS value, 'person' AS type FROM customer WHERE c_custkey % 4 <> 0".replace("'person'", "'per'"))
 # --- reports over the events, beyond the inventory
 add("x_rollup_report", lambda s, d: cp.documents(s, d).rollup("lang", "source").agg(F.count(F.lit(1)).alias("n")), "SELECT lang, source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)")

@@ -69,6 +69,7 @@ class Config:
     languages: list[str] = field(default_factory=list)
     skipped_keys: list[str] = field(default_factory=lambda: list(SKIPPED_KEYS))
     fail_open: bool = True
+    respect_fences: bool = True
     sensitivity: str = "medium"
     least_flags: int = 3
 

@@ -115,4 +115,40 @@ def test_config():
 
 
 def test_crf_shapes():
-    assert crf.shape("Hello-123") == "Xxx-dd" and crf.best_path([], {}, [[0.0]]) == ([], [])
+    assert crf.shape("Hello-123") == "Xx-d" and crf.shape("10-year-old") == "d-x-x" and crf.best_path([], {}, [[0.0]]) == ([], [])
+
+
+def test_crf_with_weights_keyed_as_published(spark):
+    labels = ["O", "B-PER", "I-PER", "B-HEALTH", "I-HEALTH"]
+    state = {"word=asthma": [0, 0, 0, 3, 0], "-1:word=has": [0, 0, 0, 1, 0], "gaz=health": [0, 0, 0, 1, 0], "istitle": [0, 1.5, 1, 0, 0], "isalpha": [0.5, 0, 0, 0, 0], "shape=d-x-x": [2, 0, 0, 0, 0]}
+    moves = [[0.0] * 5 for _ in range(5)]
+    moves[1][2], moves[0][2], moves[0][4] = 1.0, -9.0, -9.0
+    docs = spark.createDataFrame([(1, "Ann Lee has asthma"), (2, "a 10-year-old"), (3, None), (4, "")], "doc_id long, text string")
+    got = [(r["doc_id"], r["value"], r["type"]) for r in crf.scan(docs, labels, state, moves, lists={"health": {"asthma"}}).orderBy("start").collect()]
+    assert got == [(1, "Ann Lee", "per"), (1, "asthma", "health")]
+
+
+def test_matches_are_linear_and_carry_neighbours(spark):
+    text = "x1 " * 5000 + "é22z"
+    df = spark.createDataFrame([(text,), ("",), (None,), ("none",)], "t string")
+    got = [r[0] for r in df.select(spans.matches(F.col("t"), "[0-9]+", around=True)).collect()]
+    assert len(got[0]) == 5001 and got[0][4999].start == 14998 and got[0][-1] == (15001, 15003, "22", "é", "z") and got[1:] == [[], [], []]
+
+
+def test_restoring_finds_any_layout(spark):
+    values = [("phone", "555-123-4567", ["(555) 123 4567", "555.123.4567", "5551234567"]), ("phone", "+1 555 123 4567", ["555-123-4567", "1 (555) 123-4567"]), ("iban", "DE12 5001 0517 0648 4898 90", ["de12500105170648489890"])]
+    for kind, cipher, texts in values:
+        maps = spark.createDataFrame([(i, cipher, "PLAIN", kind) for i in range(len(texts))], "doc_id long, ciphertext string, plaintext string, type string")
+        df = spark.createDataFrame([(i, f"<{t}>") for i, t in enumerate(texts)], "doc_id long, text string")
+        assert [r["text"] for r in encode.restored(df, maps).orderBy("doc_id").collect()] == ["<PLAIN>"] * len(texts)
+
+
+def test_hybrid_scan_keeps_original_values_and_honours_config(spark):
+    from spanveil.operators import hybrid
+    from spanveil.sources.io import Config
+
+    docs = spark.createDataFrame([(1, "mail a@b.example.com and `c@d.example.com`"), (2, "el número de la casa es 12345678Z para los que no"), (3, None), (4, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["value"]) for r in hybrid.detect(docs).collect()}
+    assert (1, "a@b.example.com") in got and (1, "c@d.example.com") not in got and (2, "12345678Z") in got
+    assert (2, "12345678Z") not in {(r["doc_id"], r["value"]) for r in hybrid.detect(docs, config=Config(languages=["de"])).collect()}
+    assert (1, "c@d.example.com") in {(r["doc_id"], r["value"]) for r in hybrid.detect(docs, config=Config(respect_fences=False)).collect()}
