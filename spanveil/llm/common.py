@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -19,11 +18,14 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A temporary one is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: spark.checkpoint.dir, or the one set on the context.
+
+    Where neither is set, one under the warehouse is, which is shared as well; a machine's own temporary folder never.
+    """
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanveil-"))
+    named, given = spark.conf.get("spark.checkpoint.dir", None), context._jsc.sc().getCheckpointDir()
+    if given.isEmpty():
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return named or context._jsc.sc().getCheckpointDir().get()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, langid, lm, packing, sharding, simhash, substring, toxicity, urlfilter
 
@@ -45,6 +46,17 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages"))
 
 
+def url_filters_with_redirect_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with a crawler's log beside the pages, in which classes change verdicts."""
+    pages = table(spark, sf_dir, "pages")
+    a, b = pages.select("page_id", "url"), pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("dst"))
+    key = F.col("page_id").cast("string")
+    chains = a.where("page_id % 4 IN (1, 2)").join(b, "page_id").select(F.col("url").alias("src"), "dst")
+    blocked = a.where("page_id % 8 = 3").select(F.col("url").alias("src"), F.concat(F.lit("HTTPS://www.Go.example.net:443/de/"), key, F.lit("/?utm_source=log")).alias("dst"))
+    allowed = a.where("page_id % 8 = 7 OR page_id % 24 = 3").select(F.col("url").alias("src"), F.concat(F.lit("http://go.example.com/x/../en/7/./"), key).alias("dst"))
+    return urlfilter.verdicts(pages, chains.unionByName(blocked).unionByName(allowed))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -63,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_toxicity, op3_sharding, op4_benchmark_decontamination, op5_substring_dedup, op6_embedding_near_dedup,
-        op7_language_id, op8_url_filters, op9_packing, op10_lm_scoring, pipeline,
+        op7_language_id, op8_url_filters, url_filters_with_redirect_log, op9_packing, op10_lm_scoring, pipeline,
     )
 }
 
@@ -91,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op5_substring_dedup": SUBSTRING_SQL,
     "op6_embedding_near_dedup": EMBEDDING_SQL,
     "op8_url_filters": urlfilter.oracle(),
+    "url_filters_with_redirect_log": urlfilter.oracle(urlfilter.LOG),
 }

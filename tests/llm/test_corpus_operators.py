@@ -304,6 +304,26 @@ def test_urls(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.verdicts(pages, rules=many).collect()}[2] == ("example.com/en/7", "allow")
 
 
+def test_urls_normal_forms_and_classes(spark):
+    urls = [
+        "HTTP://m.A.com:80/x/./y/../z/?utm_source=f&k=1&ref=q#top", "no scheme", "https://a.com", "http://www.a.com/?ref=x", "http://a.com/..", "http://a.com/a//b?b=2&gclid=3", None, "x" * 100_000 + "://h/" + "p" * 100_000,
+    ]
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select(urlfilter.normal(F.col("u")))
+    assert [r[0] for r in df.collect()][:7] == ["https://a.com/x/z?k=1", "no scheme", "https://a.com", "https://a.com", "https://a.com", "https://a.com/a//b?b=2", None]
+    # a page reached by another scheme, host and tracking parameter shares the class of the page that redirects to a block
+    rows = [(1, "http://m.q.io/a/?utm_source=x", ""), (2, "https://q.io/b", '<link rel="canonical" href="//M.q.io:443/c/../a&amp;">'.replace("&amp;", "")), (3, "https://q.io/b", '<meta http-equiv="refresh" content="0; url=http://u.net/de/1">'), (4, "x" * 50_000, ""), (None, "https://q.io/a", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r["page_id"], r["verdict"]) for r in urlfilter.verdicts(pages).collect()]
+    assert sorted(got, key=str) == sorted([(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (None, "block")], key=str)
+
+
+def test_urls_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(urlfilter.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.length(c[0]).cast("long"))
+    got = urlfilter.numbered(spark.createDataFrame([("aa",), ("bb",), ("c",), ("aa",)], "url string")).collect()
+    assert len(got) == 3 == len({r["node"] for r in got})
+
+
 def test_packing(docs, odd, none):
     from tokenizers import Tokenizer
     import public_tokenizers
