@@ -256,6 +256,27 @@ def test_embeddings(spark):
     assert got[1] == (1, 1, True) and got[2] == (1, 1, False) and got[None] == (0, None, False)
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8))
     assert embeddings.near_duplicates(odd.limit(0)).count() == 0
+    # repeated ids are vectors of their own; tiny and huge components are no zeros; columns may be named as the operator's own
+    rows = [(1, [1.0, 0.0], "x"), (1, [0.0, 1.0], "x"), (2, [0.01, 1.0], "x"), (3, [1e-160, 0.0], "x"), (4, [3e-160, 1e-170], "x"), (5, [-1e200, 0.0], "x"), (6, [-1e200, 1e190], "x"), (7, [-0.0, 0.0], "x")]
+    twice = spark.createDataFrame([(*r[:2], *["c"] * 5) for r in rows], "vec_id long, embedding array<double>, raw string, id string, rep string, n string, unit string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(twice).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7)]
+
+
+def test_embeddings_find_every_link_at_half_reach(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 6))
+    x = np.concatenate([b + rng.normal(size=(25, 6)) * s for b, s in zip(base, rng.uniform(0.1, 0.5, 40), strict=True)])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    want = close.sum(axis=1)
+    assert want.sum() > 5000
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(table, reach=0.5, chunk=64).collect()}
+    assert all(got[i] == n for i, n in enumerate(want.tolist()))
+    usual = sum(r["n_links"] for r in embeddings.near_duplicates(table, chunk=64).collect())
+    assert 0.99 * want.sum() <= usual <= want.sum()
 
 
 def test_language(docs, odd, none):
