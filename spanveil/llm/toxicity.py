@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: lexicon voters (a few words each), stem voters (words that begin alike),
-pattern voters (shouting, repeated marks) and voters for clean text (nothing that any voter of a family
-knows). The words and stems are found in the training rows. A generative label model, fitted by
-expectation-maximisation, estimates how often each voter speaks and errs under either
-class, and which voters err together; voters that go together share one weight. A linear classifier on
-word, stem and pattern features is trained on the model's posterior labels and scores every document. The
-annotators' label of a training row is one more voter, whose errors are estimated like all others'.
+Thousands of voters look at a text: each word and each stem (words that begin alike, one, two or three
+different ones) that a fair number of the training texts have, and patterns of writing. Which of them vote is
+settled by how many texts they speak of, never by labels. A voter says toxic, or nothing. A generative label
+model, fitted by expectation-maximisation, estimates how often each voter speaks under either class and which
+voters err together: what two have in common beyond the class lowers the weight of both. The annotators are
+one more voter, whose errors are estimated like all others'; they name the classes, as the first guess is
+theirs. A linear classifier on the features that tell most about the model's posterior labels is trained on
+those, and scores every document.
 
 Scale: training reads a sample of labelled rows whose size is bounded by `most_training`, found by hash
 and joined as a broadcast of (doc_id, label) only. Scoring is one pass without a shuffle.
@@ -45,28 +46,32 @@ def found(text: str | None) -> set[str]:
     return out | patterns(text)
 
 
+#: habits of writing, each a voter
+HABITS = {
+    "p:marks": re.compile(r"!!|\?!"), "p:masked": re.compile(r"\w\*{2,}|[#@$%&]{3,}"), "p:drawn": re.compile(r"([^\W\d_])\1{3}"),
+    "p:addressed": re.compile(r"\b(?:you|your|du|dein\w*|tu|toi|eres|tú)\b", re.I), "p:mixed": re.compile(r"\b[^\W\d_]+\d[^\W\d_]+\b"),
+}
+
+
 def patterns(text: str) -> set[str]:
-    out = set()
-    upper = sum(1 for c in text if c.isupper())
-    letters = sum(1 for c in text if c.isalpha())
-    if letters >= 20 and upper > 0.5 * letters:
+    out = {name for name, habit in HABITS.items() if habit.search(text)}
+    letters = sum(map(str.isalpha, text))
+    if letters >= 20 and sum(map(str.isupper, text)) > 0.5 * letters:
         out.add("p:shouting")
-    if "!!" in text or "?!" in text:
-        out.add("p:marks")
     return out
 
 
 class Model:
-    """Feature names with weights, and a bias."""
+    """Feature names with weights, and a bias; voters: (name, accuracy, rows spoken of, weight) of those that the label model heard."""
 
-    def __init__(self, names: list[str], weights: np.ndarray, bias: float):
+    def __init__(self, names: list[str], weights: np.ndarray, bias: float, voters: list[tuple] = ()):
         of = {n: w for n, w in zip(names, weights.tolist(), strict=True)}
         self.words = {n[2:]: w for n, w in of.items() if n[:2] == "w:"}
         self.patterns = {n: w for n, w in of.items() if n[:2] == "p:"}
         stems = {n[2:] for n in of if n[:2] in TIMES}
         self.stems = {s: [sum(of.get(kind + s, 0.0) for kind in TIMES[: k + 1]) for k in range(len(TIMES))] for s in stems}
         self.sizes = sorted(set(map(len, stems)))
-        self.bias = bias
+        self.bias, self.voters = bias, list(voters)
 
     def margin(self, text: str | None) -> float:
         total = self.bias
@@ -83,31 +88,42 @@ class Model:
         return total
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1, accuracies and weights of the voters. votes: rows x voters of 1, -1, 0 (abstains).
+def label_model(row: np.ndarray, column: np.ndarray, m: int, said: np.ndarray, prior: float, rounds: int = 30, most_paired: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of class 1 for each row, accuracies and weights of m voters that speak where (row, column) says so. said: the annotators' 0 or 1.
 
-    Each voter says 1, -1 or nothing with probabilities that depend on the class. Residual correlations, what two voters'
-    errors have in common beyond the class, are estimated from the posteriors; a voter's weight is one over the sum of its own.
+    A voter speaks with a probability of its own under either class. It is heard if these differ by over four standard errors;
+    residual correlations of the `most_paired` loudest, what two have in common beyond the class, are estimated from the
+    posteriors, and a voter's weight is one over the sum of its own.
     """
-    kinds = np.stack([votes == 1, votes == -1, votes == 0]).astype(float)
-    n, m = votes.shape
-    q = np.where(votes[:, -1] > 0, 0.9, 0.02)  # the annotators come last; the first guess is theirs
+    n, spoken = len(said), np.bincount(column, minlength=m)
+    q = np.where(said > 0, 0.9, 0.05)
     weights = np.ones(m)
     for turn in range(rounds):
-        one = (np.einsum("kij,i->kj", kinds, q) + 0.5) / (q.sum() + 1.5)
-        nil = (np.einsum("kij,i->kj", kinds, 1 - q) + 0.5) / (n - q.sum() + 1.5)
-        if turn % 10 == 9:
-            expected = q[:, None] * (one[0] - one[1]) + (1 - q[:, None]) * (nil[0] - nil[1])
-            rest = votes - expected
+        ones = np.bincount(column, q[row], m)
+        one, nil = (ones + 0.5) / (q.sum() + 1), (spoken - ones + 0.5) / (n - q.sum() + 1)
+        odds, silence = np.log(one / nil), np.log1p(-np.minimum(one, 0.999)) - np.log1p(-np.minimum(nil, 0.999))
+        heard = np.abs(odds) > 4 * np.sqrt(1 / (ones + 0.5) + 1 / (spoken - ones + 0.5))
+        if turn % 10 == 0:
+            loud = np.flatnonzero(heard)
+            loud = loud[np.argsort(-np.abs(odds[loud]) * np.sqrt(spoken[loud]), kind="stable")[:most_paired]]
+            heard_only, at = np.zeros(m), np.full(m, -1)
+            at[loud] = np.arange(len(loud))
+            mine = at[column] >= 0
+            rest = np.zeros((n, len(loud)), np.float32)
+            rest[row[mine], at[column[mine]]] = 1
+            rest -= np.outer(q, one[loud]) + np.outer(1 - q, nil[loud])
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             together = np.abs(rest.T @ rest / n) / np.outer(scale, scale)
             together[together < 0.2] = 0
             np.fill_diagonal(together, 1)
-            weights = 1 / together.sum(axis=1)
-        log = np.einsum("kij,kj->i", kinds, np.log(one / nil) * weights) + np.log(prior / (1 - prior))
+            heard_only[loud] = 1 / together.sum(axis=1)
+            weights = heard_only
+        own = weights * heard
+        right, wrong = ((q * said).sum() + 0.5) / (q.sum() + 1), (((1 - q) * said).sum() + 0.5) / (n - q.sum() + 1)
+        annotators = np.where(said > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
+        log = np.log(prior / (1 - prior)) + annotators + (own * silence).sum() + np.bincount(row, (own * (odds - silence))[column], n)
         q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    right = q[:, None] * (votes == 1) + (1 - q[:, None]) * (votes == -1)
-    return q, right.sum(axis=0) / np.maximum((votes != 0).sum(axis=0), 1), weights
+    return q, np.bincount(column, q[row], m) / np.maximum(spoken, 1), weights * heard
 
 
 def linear(rows: np.ndarray, columns: np.ndarray, n: int, m: int, target: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -132,7 +148,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, parts: int, held: int, mos
     kept = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     share = min(1.0, most / max(1, kept.count()))
     picked = kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    return one_of_copies(cut(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")))
+    found_ = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return one_of_copies(cut(found_.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))))
 
 
 def one_of_copies(sample: DataFrame) -> DataFrame:
@@ -160,34 +177,23 @@ def one_of_copies(sample: DataFrame) -> DataFrame:
     return sample.join(F.broadcast(sample.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id", "left_semi")
 
 
-def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts: int = 5, held: int = 0, features: int = 1500, voters: int = 60) -> Model:
-    """A model from at most `most_training` labelled rows outside the fold `held` of `parts`. Without any, it says 0 for all."""
+def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts: int = 5, held: int = 0, features: int = 1500, voters: int = 40_000) -> Model:
+    """A model from at most `most_training` labelled rows outside the fold `held` of `parts`. Without any, or with one class only, it says 0 for all."""
     sample = training_rows(docs, labels, parts, held, most_training)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter[str] = Counter()
         for batch in batches:
-            tally: dict[str, list[int]] = {}
-            for text, y in zip(texts(batch), batch.column("y").to_pylist(), strict=True):
-                for name in (*found(text), "n:"):
-                    pair = tally.setdefault(name, [0, 0])
-                    pair[0] += y
-                    pair[1] += 1
-            ones, n = zip(*tally.values(), strict=True) if tally else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(ones, pa.int64()), pa.array(n, pa.int64())], names=["name", "ones", "n"])
-
-    counts = cut(sample.mapInArrow(counted, "name string, ones long, n long").groupBy("name").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).where("n >= 2"))
-    total = counts.where("name = 'n:'").first()
-    if total is None or not 0 < total["ones"] < total["n"]:
+            for text in texts(batch):
+                tally.update(found(text))
+        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), pa.array(list(tally.values()), pa.int64())], names=["name", "n"])
+
+    n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < ones < n:
         return Model([], np.zeros(0), -5.0)
-    ones, n = total["ones"], total["n"]
-    # how unlikely a feature's labels would be if it had nothing to do with them; beyond what so many features show by chance
-    base, zeros = ones / n, F.col("n") - F.col("ones")
-    gain = F.when(F.col("ones") > 0, F.col("ones") * F.log(F.col("ones") / (F.col("n") * base))).otherwise(0.0) + F.when(zeros > 0, zeros * F.log(zeros / (F.col("n") * (1 - base)))).otherwise(0.0)
-    odds = F.log(((F.col("ones") + 0.2) / (ones + 0.4)) / ((zeros + 0.2) / (n - ones + 0.4)))
-    top = counts.where("name <> 'n:'").withColumn("gain", gain).withColumn("odds", odds).where(F.col("gain") > float(np.log(counts.count()) + 1))
-    chosen = top.orderBy(F.desc("gain"), "name").limit(features).select("name", "odds", "n", "ones").collect()
-    chosen = distinct(chosen)
-    names = [r["name"] for r in chosen]
+    counts = sample.select("text").mapInArrow(counted, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    least = max(3, n // 2000)
+    names = [r["name"] for r in counts.where((F.col("n") >= least) & (F.col("n") <= 0.25 * n)).orderBy(F.desc("n"), "name").limit(voters).collect()]
     at = {name: i for i, name in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,43 +204,38 @@ def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts:
     table = sample.mapInArrow(rows, "y int, hits array<int>").toPandas()
     hits = [np.asarray(h, np.int64) for h in table["hits"]]
     row, column = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate([*hits, np.empty(0, np.int64)]).astype(np.int64)
-    votes = np.c_[cast_votes(chosen, row, column, len(hits), voters), 2.0 * table["y"].to_numpy() - 1]
-    target, _, _ = label_model(votes, min(max(ones / n, 0.01), 0.99))
-    w, bias = linear(row, column, len(hits), len(names), target)
-    return Model(names, w, bias)
+    target, accuracy, weight = label_model(row, column, len(names), table["y"].to_numpy(), min(max(ones / n, 0.01), 0.99))
+    spoken = np.bincount(column, minlength=len(names))
+    heard = [(names[i], float(accuracy[i]), int(spoken[i]), float(weight[i])) for i in np.flatnonzero(weight).tolist()]
+    chosen = telling(names, spoken, np.bincount(column, target[row], len(names)), target, features)
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    mine = place[column] >= 0
+    w, bias = linear(row[mine], place[column[mine]], len(hits), len(chosen), target)
+    return Model([names[i] for i in chosen], w, bias, heard)
 
 
-def distinct(chosen: list) -> list:
-    """Without stems that a longer stem or a word says as well: one that begins alike and is found nearly as often."""
-    by_rest: dict[str, list] = {}
-    for r in chosen:
-        for size in STEMS:
-            if len(r["name"]) - 2 > size or r["name"][:2] == "w:":
-                by_rest.setdefault(r["name"][2 : 2 + size], []).append(r)
-    same = lambda r, o: o["n"] >= 0.9 * r["n"] and o["ones"] >= 0.9 * r["ones"] and (o["name"][:2] == r["name"][:2] or r["name"][:2] == "s:" and o["name"][:2] == "w:")
-    return [r for r in chosen if r["name"][:2] not in TIMES or not any(same(r, o) for o in by_rest.get(r["name"][2:], ()) if o is not r)]
+def telling(names: list[str], spoken: np.ndarray, ones: np.ndarray, target: np.ndarray, most: int) -> list[int]:
+    """The features that are least likely to have nothing to do with the posterior labels, beyond what so many show by chance.
 
+    Without stems that a longer stem or a word says as well: one that begins alike and is found nearly as often.
+    """
+    base, zeros = target.mean(), spoken - ones
+    part = lambda k, p: np.where(k > 0, k * np.log(np.maximum(k, 1e-300) / np.maximum(spoken * p, 1e-300)), 0)
+    gain = part(ones, base) + part(zeros, 1 - base)
+    top = [i for i in np.argsort(-gain, kind="stable")[:most].tolist() if gain[i] > np.log(len(names)) + 1]
+    by_rest: dict[str, list[int]] = {}
+    for i in top:
+        kind, rest = names[i][:2], names[i][2:]
+        for size in STEMS:
+            if len(rest) > size or kind == "w:":
+                by_rest.setdefault(rest[:size], []).append(i)
 
-def cast_votes(chosen, row: np.ndarray, column: np.ndarray, n: int, voters: int) -> np.ndarray:
-    """Votes of the voters, one column each.
+    def same(i: int, o: int) -> bool:
+        alike = names[o][:2] == names[i][:2] or (names[i][:2] == "s:" and names[o][:2] == "w:")
+        return o != i and alike and spoken[o] >= 0.9 * spoken[i] and ones[o] >= 0.9 * ones[i]
 
-    Features that point to class 1 are dealt to `voters` voters by rank, words, stems and patterns apart; each votes 1 where it
-    finds one of its own, else abstains. For each family one more votes -1 where none of them found anything.
-    """
-    families: dict[str, list[int]] = {}
-    for i, r in enumerate(chosen):
-        if r["odds"] > 1.5:
-            families.setdefault(r["name"][:2], []).append(i)
-    columns = []
-    for _, members in sorted(families.items()):
-        k = max(1, min(len(members), voters // max(1, len(families))))
-        voter = np.full(len(chosen), -1)
-        voter[members] = np.arange(len(members)) % k
-        spoke = np.zeros((n, k), np.int8)
-        mine = voter[column] >= 0
-        spoke[row[mine], voter[column[mine]]] = 1
-        columns += [spoke, -(~spoke.any(axis=1, keepdims=True)).astype(np.int8)]
-    return np.concatenate(columns, axis=1).astype(float) if columns else -np.ones((n, 1))
+    return [i for i in top if names[i][:2] not in TIMES or not any(same(i, o) for o in by_rest.get(names[i][2:], ()))]
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -170,6 +170,31 @@ def test_toxicity(spark, odd, none, labels):
     assert toxicity.toxicity(odd, marked.limit(0)).agg(F.sum("predicted")).first()[0] == 0
 
 
+def test_label_model_outdoes_its_annotators():
+    rng = np.random.default_rng(4)
+    n, truth = 4000, rng.random(4000) < 0.2
+    said = np.where(rng.random(n) < 0.1, ~truth, truth).astype(int)
+    rates = [(0.5, 0.02)] * 6 + [(0.1, 0.1)] * 40  # voters that know, and voters that don't
+    votes = np.stack([np.where(truth, rng.random(n) < a, rng.random(n) < b) for a, b in rates] + [np.zeros(n, bool)] * 5, axis=1)
+    votes[:, -5:] = votes[:, :1]  # five copies of the first
+    row, column = np.nonzero(votes)
+    q, accuracy, weight = toxicity.label_model(row, column, votes.shape[1], said, 0.2)
+    assert ((q > 0.5) == truth).mean() > 0.97 > (said == truth).mean() and (accuracy[:6] > 0.8).all()
+    assert (weight[6:46] == 0).all() and (weight[1:6] > 0.9).all() and (weight[-5:] < 0.2).all()
+
+
+def test_toxicity_voters_are_named_without_labels(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join([*(f"f{x}" for x in rng.integers(0, 300, 30)), *(["vile", "rotten"] if i % 5 == 1 else ["mild"])])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks)
+    heard = {name: (accuracy, weight) for name, accuracy, _, weight in model.voters}
+    assert heard["w:vile"][0] > 0.95 and 0 < heard["w:vile"][1] < 1 and model.margin("f1 vile rotten") > 0 > model.margin("f1 f2 mild")
+    twice = docs.unionByName(docs.where("doc_id = 1"))
+    assert toxicity.training_rows(twice, marks, 5, 0, 10_000).where("doc_id = 1").count() <= 1
+
+
 def test_sharding(docs, odd, none):
     rows = sharding.shard(docs).collect()
     assert {r["shard"] for r in rows} == set(range(8)) and all(r["grown_shard"] in (r["shard"], 8) for r in rows)
