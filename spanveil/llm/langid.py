@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, texts
 
-SYMBOLS = 64
+#: columns of an automaton's table: letters beyond a language's 63 commonest have their steps in a sorted list
+COLUMNS = 64
+SPACE = 1
 
 
 def letters_only(text: str) -> str:
@@ -30,44 +32,66 @@ def letters_only(text: str) -> str:
 
 
 def alphabet(samples: dict[str, str]) -> np.ndarray:
-    """Symbol of each code point below 2^16: 1 for a space, 2 to 63 for the commonest letters, 0 for others."""
-    codes = np.frombuffer("".join(samples.values()).encode("utf-32-le"), np.uint32)
-    seen, counts = np.unique(codes[(codes != 32) & (codes < 1 << 16)], return_counts=True)
-    table = np.zeros(1 << 16, np.uint8)
-    common = seen[np.lexsort((seen, -counts))][: SYMBOLS - 2]
-    table[common] = np.arange(2, 2 + len(common))
-    table[32] = 1
+    """Symbol of each code point: 1 for a space and all that is no letter, 2 and more for letters of any sample, 0 for letters of none."""
+    table = np.array([not chr(c).isalpha() for c in range(0x110000)], np.int32)
+    seen = np.unique(np.frombuffer("".join(samples.values()).encode("utf-32-le"), np.uint32))
+    seen = seen[seen != 32]
+    table[seen] = np.arange(2, 2 + len(seen))
     return table
 
 
-def automaton(symbols: list[int]) -> np.ndarray:
-    """Steps of the suffix automaton of a sequence: row = state (0: the start), column = symbol, 0 = no step."""
-    size = 2 * len(symbols) + 2
-    step, link, longest = np.zeros((size, SYMBOLS), np.int32), [-1] * size, [0] * size
-    last, n = 0, 1
-    for c in symbols:
-        new, n = n, n + 1
-        longest[new] = longest[last] + 1
-        p = last
-        while p >= 0 and not step[p, c]:
-            step[p, c] = new
-            p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(step[p, c])
-            if longest[p] + 1 == longest[q]:
-                link[new] = q
-            else:
-                copy, n = n, n + 1
-                step[copy] = step[q]
-                longest[copy], link[copy] = longest[p] + 1, link[q]
-                while p >= 0 and step[p, c] == q:
-                    step[p, c] = copy
-                    p = link[p]
-                link[q] = link[new] = copy
-        last = new
-    return step[:n].copy()
+class Automaton:
+    """Suffix automaton of a sequence of symbols: state 0 is the start, step 0 means none."""
+
+    def __init__(self, symbols: list[int], kinds: int):
+        step: list[dict[int, int]] = [{}]
+        link, longest, last = [-1], [0], 0
+        for c in symbols:
+            new = len(step)
+            step.append({})
+            link.append(0)
+            longest.append(longest[last] + 1)
+            p = last
+            while p >= 0 and c not in step[p]:
+                step[p][c] = new
+                p = link[p]
+            if p >= 0:
+                q = step[p][c]
+                if longest[p] + 1 == longest[q]:
+                    link[new] = q
+                else:
+                    copy = len(step)
+                    step.append(dict(step[q]))
+                    link.append(link[q])
+                    longest.append(longest[p] + 1)
+                    while p >= 0 and step[p].get(c) == q:
+                        step[p][c] = copy
+                        p = link[p]
+                    link[q] = link[new] = copy
+            last = new
+        self.kinds = kinds
+        common = np.argsort(-np.bincount(np.array(symbols, np.int64), minlength=kinds), kind="stable")[: COLUMNS - 1]
+        self.column = np.zeros(kinds, np.uint8)
+        self.column[common] = np.arange(1, len(common) + 1)
+        state, symbol, to = (np.array(x, np.int64) for x in zip(*((i, c, q) for i, own in enumerate(step) for c, q in own.items()), strict=True)) if symbols else (np.empty(0, np.int64),) * 3
+        column = self.column[symbol]
+        self.dead = len(step)  # a state without any step: what follows begins a phrase
+        self.table = np.zeros((len(step) + 1) * COLUMNS, np.int32)
+        self.table[state[column > 0] * COLUMNS + column[column > 0]] = to[column > 0]
+        rare = column == 0
+        keys = state[rare] * kinds + symbol[rare]
+        order = np.argsort(keys)
+        self.keys, self.rare = keys[order], to[rare][order].astype(np.int32)
+
+    def follow(self, state: np.ndarray, symbol: np.ndarray, column: np.ndarray) -> np.ndarray:
+        to = self.table[state * COLUMNS + column]
+        if len(self.keys):
+            at = np.flatnonzero((column == 0) & (symbol > 0))
+            if len(at):
+                key = state[at].astype(np.int64) * self.kinds + symbol[at]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                to[at] = np.where(self.keys[place] == key, self.rare[place], 0)
+        return to
 
 
 class Model:
@@ -77,24 +101,17 @@ class Model:
         self.segment = segment
         self.languages = sorted(samples)
         self.table = alphabet(samples)
-        self.steps, self.scale = [], []
+        self.automata, self.scale = [], []
         for name in self.languages:
-            codes = self.table[np.frombuffer(samples[name].encode("utf-32-le"), np.uint32) & 0xFFFF]
-            self.steps.append(automaton(codes[codes > 0].tolist()).ravel())
-            self.scale.append(np.log(max(2, len(codes))))
+            symbols = self.table[np.frombuffer(samples[name].encode("utf-32-le"), np.uint32)]
+            self.automata.append(Automaton(symbols.tolist(), int(self.table.max()) + 1))
+            self.scale.append(np.log(max(2, len(symbols))))
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text with one space between words, and whether it has a letter."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        low = np.where(codes < 1 << 16, codes, 0xFFFF)
-        out = self.table[low]
-        rare = (out == 0) & (low > 64)
-        if rare.any():  # letters that no sample has are symbols too, that no automaton knows
-            kinds, at = np.unique(codes[rare], return_inverse=True)
-            out[rare] = np.array([0 if chr(k).isalpha() else 1 for k in kinds], np.uint8)[at]
-        out[(self.table[low] == 0) & (low <= 64)] = 1
-        keep = (out != 1) | (np.r_[np.uint8(1), out[:-1]] != 1)
-        return out[keep], bool((out != 1).any())
+        out = self.table[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
+        keep = (out != SPACE) | (np.r_[np.int32(SPACE), out[:-1]] != SPACE)
+        return out[keep], bool((out != SPACE).any())
 
     def phrases(self, segments: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each segment, languages x segments."""
@@ -106,15 +123,17 @@ class Model:
             grid[: lengths[at], column] = segments[at]
         live = np.searchsorted(-lengths[order], -np.arange(most), side="left")
         out = np.zeros((len(self.languages), len(segments)), np.int64)
-        for k, steps in enumerate(self.steps):
-            state, count, start = np.zeros(len(segments), np.int32), np.ones(len(segments), np.int64), steps[:SYMBOLS]
+        for k, own in enumerate(self.automata):
+            state, count = np.full(len(segments), own.dead, np.int32), np.zeros(len(segments), np.int64)
+            columns = own.column[grid]
             for t in range(most):
                 n = live[t]
-                symbol = grid[t, :n]
-                to = steps[state[:n] * SYMBOLS + symbol]
+                symbol, column = grid[t, :n], columns[t, :n]
+                to = own.follow(state[:n], symbol, column)
                 stuck = to == 0
                 count[:n] += stuck
-                to[stuck] = start[symbol[stuck]]
+                first = own.follow(np.zeros(int(stuck.sum()), np.int32), symbol[stuck], column[stuck])
+                to[stuck] = np.where(first > 0, first, own.dead)
                 state[:n] = to
             out[k, order] = count
         return out
@@ -145,22 +164,24 @@ class Model:
         return answer, score
 
 
-def train(docs: DataFrame, sample_chars: int = 160_000, parts: int = 3, held: int = 1, segment: int = 1024) -> Model:
-    """A model from labelled documents outside the fold `held`; `sample_chars` bounds the text kept of all languages together.
+def train(docs: DataFrame, sample_chars: int = 160_000, row_chars: int = 10_000, parts: int = 3, held: int = 1, segment: int = 1024) -> Model:
+    """A model from labelled documents outside the fold `held`.
 
-    Rows are chosen by the hash of their id until a language's share is full; the last one is cut there.
+    `sample_chars` bounds the text kept of all languages together, `row_chars` what one row gives: a stretch from a place in its
+    text that its id's hash names. Rows are chosen by that hash until a language's share is full; the last one is cut there.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", parts) != held)).select(F.col("lang").cast("string").alias("lang"), F.col("text"), F.xxhash64("doc_id").alias("h"))
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.max(F.length("text")).alias("longest"), F.count(F.lit(1)).alias("n")).where("chars > 0").collect()
+    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).where("chars > 0").collect()
     if not sizes:
         return Model({}, segment)
     share = max(2000, sample_chars // len(sizes))
-    # three times the share in expectation, a row of it at least; each row gives at most a quarter of the share
+    # three times the share in expectation, so that it fills
     limits = {r["lang"]: min(1.0, max(3 * share / r["chars"], 24 / r["n"])) for r in sizes}
     limit = F.element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("lang"))
-    picked = known.where(F.pmod("h", F.lit(1 << 30)) < limit * (1 << 30)).select("lang", "h", F.substring("text", 1, max(500, share // 4)).alias("text")).toPandas()
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - row_chars, F.lit(0)) + 1) + 1
+    picked = known.where(F.pmod("h", F.lit(1 << 30)) < limit * (1 << 30)).select("lang", "h", F.substring("text", start.cast("int"), F.lit(row_chars)).alias("text")).toPandas()
     samples = {}
-    for lang, rows in picked.sort_values(["lang", "h"]).groupby("lang"):
+    for lang, rows in picked.sort_values(["lang", "h", "text"]).groupby("lang"):
         joined = letters_only(" ".join(rows["text"]))[:share]
         if joined:
             samples[lang] = joined

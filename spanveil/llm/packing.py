@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
@@ -104,6 +105,17 @@ def powers(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]
     return out
 
 
+def balanced(sizes: list[int], step_tokens: int) -> list[int]:
+    """A step group for each sequence: as many groups as come nearest to step_tokens each, the longest sequences first, each to the group with the fewest tokens."""
+    groups = [(0, g) for g in range(max(1, round(sum(sizes) / step_tokens)))]
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        held, g = groups[0]
+        heapq.heapreplace(groups, (held + sizes[i], g))
+        out[i] = g
+    return out
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long"
 
 
@@ -111,7 +123,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end: int = 1, unit_t
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step for each piece; with `ids` also the piece's ids.
 
     Null texts are empty: one piece of the end token. Null and repeated ids are packed like others, each row for itself.
-    Step groups (step) hold sequences of one tier, as many as make `step_tokens`, of one unit. Other columns are ignored.
+    Step groups (step) share out the sequences of one unit, about `step_tokens` each and apart by one sequence at most. Other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +133,11 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k", end: int = 1, unit_t
 
         def flush() -> pa.RecordBatch:
             nonlocal names, bodies, held, unit
-            rows, base, counts = [], (part << 36) | (unit << 20), {}
-            for at, sequence in enumerate(pack_unit([len(b) // 4 for b in bodies])):
-                offset, size = 0, sum(n for _, _, n in sequence)
-                tier = next((t for t in TIERS if size <= t), TIERS[-1])
-                step = (tier.bit_length() << 10) | (counts.get(tier, 0) // max(1, step_tokens // tier))
-                counts[tier] = counts.get(tier, 0) + 1
+            rows, base = [], (part << 36) | (unit << 20)
+            packed = pack_unit([len(b) // 4 for b in bodies])
+            sizes = [sum(n for _, _, n in sequence) for sequence in packed]
+            for at, (sequence, size, step) in enumerate(zip(packed, sizes, balanced(sizes, step_tokens), strict=True)):
+                offset, tier = 0, next((t for t in TIERS if size <= t), TIERS[-1])
                 for doc, start, n in sequence:
                     body = bodies[doc][4 * start : 4 * (start + n)]
                     rows.append((names[doc], start, n, zlib.crc32(body), len(bodies[doc]) // 4, base + at, offset, tier, base + step, body))

@@ -225,12 +225,38 @@ def test_decontamination(spark, docs, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(odd, bench.limit(0)).count() == 0
     kept = decontaminate.decontaminated(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(ODD)
+    # repeated items are reported for each id; a repeated row once for each row
+    twice = decontaminate.contaminated(spark.createDataFrame([*texts[:1], *texts[:1]], "doc_id long, text string"), bench.unionByName(bench.where("item_id = 1").withColumn("item_id", F.lit(9).cast("long"))))
+    assert sorted((r["doc_id"], r["item_id"]) for r in twice.collect()) == [(1, 1), (1, 1), (1, 9), (1, 9)]
     real = spark.read.parquet(f"{SF}/benchmark.parquet")
     planted = {(d["doc_id"], b["item_id"]) for b in real.collect() for d in docs.collect() if f" {b['text'].lower()} " in f" {' '.join(d['text'].lower().split())} "}
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, real).collect()}
     assert planted and planted <= found
 
 
+def test_decontamination_against_all_windows(spark):
+    rng = np.random.default_rng(10)
+    pool = [f"v{i}" for i in range(3000)]
+    items = [(i, rng.choice(pool, int(rng.integers(12, 60))).tolist()) for i in range(40)]
+    texts = []
+    for i, words in items:
+        for share in (0.0, 0.01, 0.02, 0.03, 0.05):
+            changed = [w if rng.random() > share else str(rng.choice(pool)) for w in words]
+            texts.append([*rng.choice(pool, 20), *changed, *rng.choice(pool, 20)])
+    index = decontaminate.Index([(i, " ".join(w)) for i, w in items])
+    want = set()
+    for d, text in enumerate(texts):
+        shingles = decontaminate.ngram_hashes(decontaminate.word_hashes([w.encode() for w in text]), 5)
+        for at, (i, words) in enumerate(items):
+            width = len(words) - 4
+            if max(index.resemblance(at, shingles[s : s + width]) for s in range(max(1, len(shingles) - width + 1))) >= 0.8:
+                want.add((d, i))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got <= want and len(want) > 70 and len(got) >= 0.95 * len(want), (len(got), len(want))
+
+
 def brute(rows, window=20):
     seen, out = set(), {}
     for i, text in rows:
@@ -314,15 +340,38 @@ def test_language(docs, odd, none):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_phrases_are_those_of_a_plain_greedy_parse():
+    rng = np.random.default_rng(9)
+    wide = [chr(0x4E00 + i) for i in range(400)] + [chr(0x20000 + i) for i in range(50)]  # more letters than a table has columns, some of four bytes
+    samples = {
+        "latin": "".join(rng.choice(list("abcdeé "), 3000)), "wide": "".join(rng.choice(wide, 3000)), "mixed": "".join(rng.choice([*"abxyz", *wide[:80]], 2000)),
+    }
+    samples = {k: langid.letters_only(v) for k, v in samples.items()}
+    model = langid.Model(samples)
+    texts = ["".join(rng.choice([*"abcde é", *wide[:90], "Ω"], 60)) for _ in range(20)] + [samples["wide"][100:400], "q", samples["latin"][5:200]]
+    for text in texts:
+        clean = langid.letters_only(text)
+        got = model.phrases([model.symbols(clean)[0]])[:, 0]
+        for k, name in enumerate(model.languages):
+            count, at = 0, 0
+            while at < len(clean):
+                end = at + 1
+                while end < len(clean) and clean[at : end + 1] in samples[name]:
+                    end += 1
+                at, count = end, count + 1
+            assert got[k] == count, (name, text)
+    assert model.predict([samples["wide"][100:400], samples["latin"][5:200], "12 !", None])[0] == ["wide", "latin", "und", "und"]
+
+
 def test_automaton_knows_all_substrings():
     text = [2, 3, 2, 4, 2, 3, 3, 2]
-    steps = langid.automaton(text).reshape(-1, langid.SYMBOLS)
+    own = langid.Automaton(text, 6)
 
     def has(word):
-        state = 0
+        state = np.zeros(1, np.int32)
         for c in word:
-            state = steps[state, c]
-            if not state:
+            state = own.follow(state, np.array([c]), own.column[np.array([c])])
+            if not state[0]:
                 return False
         return True
 
@@ -394,10 +443,36 @@ def test_packing(docs, odd, none):
             if r["doc_id"] not in (6, None):
                 parts = sorted(by_doc[r["doc_id"], len(ids)], key=lambda p: p["start"])
                 assert [x for p in parts for x in p["ids"]] == ids
+        steps = Counter()
+        for p in pieces:
+            steps[p["step"]] += p["length"]
+        by_unit = {}
+        for step, n in steps.items():
+            by_unit.setdefault(step >> 20, []).append(n)
+        assert all(max(own_) - min(own_) <= 2048 for own_ in by_unit.values())
         assert wanted == Counter({i: sum(p["length"] for p in pieces if p["doc_id"] == i) for i in wanted})
     assert packing.pack(none).count() == 0
 
 
+def test_step_groups_are_balanced():
+    rng = np.random.default_rng(7)
+    sizes = [2048] * 300 + [int(x) for x in 2 ** rng.integers(0, 11, 50)]
+    held = Counter()
+    for g, n in zip(packing.balanced(sizes, 1 << 16), sizes, strict=True):
+        held[g] += n
+    assert len(held) == round(sum(sizes) / (1 << 16)) and max(held.values()) - min(held.values()) <= 2048
+    assert packing.balanced([], 1 << 16) == [] and set(packing.balanced([5, 6], 1 << 16)) == {0}
+
+
+def test_packing_leaves_little_padding(docs):
+    pieces = packing.pack(docs).collect()
+    size = Counter()
+    for p in pieces:
+        size[p["sequence_id"]] += p["length"]
+    padded = sum(0 if n & (n - 1) == 0 else 2048 - n for n in size.values())
+    assert padded == 0 and len(pieces) < 2 * docs.count()
+
+
 def test_tokenizers_agree_on_rare_text():
     from tokenizers import Tokenizer
     import public_tokenizers
