@@ -14,25 +14,58 @@ def normalised_labels(rows: DataFrame, synonyms: DataFrame, column: str = "label
 
 
 def first_of_each(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Rows whose text, lower-cased and with single spaces, no earlier row has."""
+    """Rows whose text, lower-cased and with single spaces, no earlier row has. Firsts are found by a combining aggregate, so copies of one text don't meet in a task."""
     key = F.lower(F.regexp_replace(F.trim(F.col(text)), r"\s+", " "))
-    return rows.withColumn("n_", F.row_number().over(Window.partitionBy(F.xxhash64(key), key).orderBy(order))).where("n_ = 1").drop("n_")
+    hashed = rows.withColumn("h_", F.sha2(key, 256))
+    firsts = hashed.groupBy("h_").agg(F.min(order).alias("first_"))
+    kept = hashed.join(firsts.withColumnRenamed("first_", order), ["h_", order], "left_semi")
+    return kept.dropDuplicates(["h_"]).select(*rows.columns)
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, block: list[str], least: float = 0.85, length: float = 0.3) -> DataFrame:
-    """(a, b, ratio) of rows of one block whose lengths differ by at most `length` and whose edit ratio is `least` or more.
+def similar_pairs(rows: DataFrame, key: str, text: str, block: list[str], least: float = 0.85, length: float = 0.3, gram: int = 3) -> DataFrame:
+    """(a, b, ratio) of all pairs of rows of one block whose lengths differ by at most `length` and whose edit ratio is `least` or more.
 
-    The ratio is 1 - edit distance / longer length. Rows meet by their block and by length bands of that width, never all with all;
-    block should be narrow (a label and a first word, say).
+    The ratio is 1 - edit distance / longer length. No pair is missed: one edit changes at most `gram` of a text's grams, so two
+    texts that few edits separate share one of each text's rarest `gram` * edits + 1 grams; texts too short for that meet by
+    their block alone. Rare grams come first, so blocks of any size stay apart.
     """
-    n = F.length(text)
-    band = F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1 / (1 - length)))).cast("int")
-    left = rows.select(F.col(key).alias("a"), F.col(text).alias("x"), *block, F.explode(F.array(band, band + 1)).alias("band"))
-    right = rows.select(F.col(key).alias("b"), F.col(text).alias("y"), *block, F.explode(F.array(band, band + 1)).alias("band"))
+    n = F.length("t_")
+    edits = F.floor(n * (1 - least) / least + 1e-9)  # at most so many, for the longer of the two is at most n / least long
+    own = rows.select(F.col(key).alias("k_"), F.col(text).alias("t_"), *block)
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(n - gram + 1, F.lit(1))), lambda i: F.substring("t_", i, F.lit(gram)))
+    numbered = F.transform(pieces, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(pieces, F.lit(1), i), lambda x: x == g)).alias("nth")))
+    grams = own.where(n - gram + 1 > gram * edits).select("k_", *block, (gram * edits + 1).alias("most_"), F.explode(numbered).alias("g_"))
+    often = grams.groupBy(*block, "g_").agg(F.count(F.lit(1)).alias("n_"))
+    first = F.row_number().over(Window.partitionBy("k_", *block).orderBy("n_", "g_"))
+    early = grams.join(often, [*block, "g_"]).withColumn("i_", first).where("i_ <= most_").select("k_", *block, "g_")
+    met = early.withColumnRenamed("k_", "a").join(early.withColumnRenamed("k_", "b"), [*block, "g_"]).where("a < b").select("a", "b").distinct()
+    short = own.where(n - gram + 1 <= gram * edits)
+    met = met.unionByName(short.select(F.col("k_").alias("a"), *block).join(own.select(F.col("k_").alias("b"), *block), block).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    sides = met.join(own.select(F.col("k_").alias("a"), F.col("t_").alias("x")), "a").join(own.select(F.col("k_").alias("b"), F.col("t_").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
-    ratio = 1 - F.levenshtein("x", "y") / longer
-    near = left.join(right, [*block, "band"]).where((F.col("a") < F.col("b")) & (F.abs(F.length("x") - F.length("y")) <= length * longer))
-    return near.select("a", "b", "x", "y").distinct().withColumn("ratio", F.round(ratio, 4)).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    close = sides.where((F.abs(F.length("x") - F.length("y")) <= length * longer) & (longer > 0))
+    return close.withColumn("ratio", F.round(1 - F.levenshtein("x", "y") / longer, 4)).where(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
+def mapped(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """rows whose value of the column the table knows, with the table's other columns."""
+    return rows.join(table, column)
+
+
+def detection_scores(found: DataFrame, truth: DataFrame, texts: DataFrame) -> DataFrame:
+    """type, tp, found, truth, precision, recall, f1, overlaps, misplaced of found (doc_id, start, end, value, type) against truth (doc_id, value, type).
+
+    overlaps: found spans that begin inside an earlier one of the same document; misplaced: those whose text isn't their value.
+    """
+    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "type").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.join(texts.select("doc_id", "text"), "doc_id").withColumn("overlap", F.coalesce(F.max("end").over(w) > F.col("start"), F.lit(False)))
+    off = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("value")
+    right = truth.select("doc_id", "value", "type").distinct().withColumn("true", F.lit(1))
+    n = lambda c: F.sum(c.cast("long"))
+    own = placed.withColumn("off", off).join(right, ["doc_id", "value", "type"], "left").groupBy("type").agg(n(F.col("true").isNotNull()).alias("tp"), F.count(F.lit(1)).alias("found"), n(F.col("overlap")).alias("overlaps"), n(F.col("off")).alias("misplaced"))
+    both = own.join(right.groupBy("type").agg(F.count(F.lit(1)).alias("truth")), "type", "full").na.fill(0, ["tp", "found", "truth", "overlaps", "misplaced"])
+    share = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 6)
+    return both.select("type", "tp", "found", "truth", share(F.col("tp"), F.col("found")).alias("precision"), share(F.col("tp"), F.col("truth")).alias("recall"), share(2 * F.col("tp"), F.col("found") + F.col("truth")).alias("f1"), "overlaps", "misplaced")
 
 
 def entry_type(text: Column, category: Column) -> Column:
@@ -60,12 +93,21 @@ def paragraph_rows(paras: DataFrame, labelled: DataFrame, most_benign: int = 500
 
 
 def split(rows: DataFrame, key: str, by: Column, train: float = 0.7, validation: float = 0.15, seed: int = 42) -> DataFrame:
-    """rows with part: train, validation or test, in these shares (rounded down) of each stratum, by hash of key and seed."""
+    """rows with part: train, validation or test, in these shares (rounded down) of each stratum, by hash of key and seed.
+
+    Rows are ranked within 4,096 ranges of the hash, and ranges by their counts, so no task gets a whole stratum.
+    """
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}")))
-    w = Window.partitionBy("stratum_")
-    ranked = rows.withColumn("stratum_", by).withColumn("i_", F.row_number().over(w.orderBy(order, key)) - 1).withColumn("n_", F.count(F.lit(1)).over(w))
-    first, second = F.floor(F.col("n_") * train), F.floor(F.col("n_") * train) + F.floor(F.col("n_") * validation)
-    return ranked.withColumn("part", F.when(F.col("i_") < first, "train").when(F.col("i_") < second, "validation").otherwise("test")).drop("stratum_", "i_", "n_")
+    ranged = rows.withColumn("stratum_", by).withColumn("order_", order).withColumn("range_", F.substring("order_", 1, 3))
+    counts = ranged.groupBy("stratum_", "range_").agg(F.count(F.lit(1)).alias("c_"))
+    before = Window.partitionBy("stratum_").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("before_", F.coalesce(F.sum("c_").over(before), F.lit(0))).withColumn("n_", F.sum("c_").over(Window.partitionBy("stratum_"))).drop("c_")
+    # null strata are strata too
+    met = ranged.join(offsets.select(F.col("stratum_").alias("s_"), F.col("range_").alias("r_"), "before_", "n_"), F.col("stratum_").eqNullSafe(F.col("s_")) & (F.col("range_") == F.col("r_")))
+    i = F.col("before_") + F.row_number().over(Window.partitionBy("stratum_", "range_").orderBy("order_", key)) - 1
+    first = F.floor(F.col("n_") * train)
+    part = F.when(F.col("i_") < first, "train").when(F.col("i_") < first + F.floor(F.col("n_") * validation), "validation").otherwise("test")
+    return met.withColumn("i_", i).withColumn("part", part).select(*rows.columns, "part")
 
 
 def bio_errors(sentences: DataFrame) -> DataFrame:

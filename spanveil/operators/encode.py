@@ -42,12 +42,13 @@ def sealed(value: Column, kind: Column, tweak: Column, key: bytes, decrypt: bool
 
 
 def encoded(spans: DataFrame, key: bytes, fail_open: bool = True) -> DataFrame:
-    """spans (request_id, doc_id, start, end, value, type) with place, replacement and route.
+    """spans (request_id, doc_id, start, end, value, type) with place, replacement and route. Spans of a JSON body name their leaf (path), so equal offsets in two leaves have two tweaks.
 
     Types with an alphabet are encrypted under a tweak of request and place; what is too short for that gets a token, or with
     fail_open off the type's label and no mapping. Other types get tokens.
     """
-    place = F.concat(F.lit("m:"), F.col("start").cast("string"))
+    leaf = F.col("path") if "path" in spans.columns else F.lit("m")
+    place = F.concat(leaf, F.lit(":"), F.col("start").cast("string"))
     out = spans.withColumn("place", place).withColumn("cipher", sealed(F.col("value"), F.col("type"), crypto.tweak(F.col("request_id"), place), key))
     token = crypto.token(of_type(F.col("type"), 3), F.col("request_id"), F.col("value"))
     eligible = of_type(F.col("type"), 0) > 0
@@ -79,6 +80,27 @@ def one_per_plaintext(spans: DataFrame, order: list[str]) -> DataFrame:
     return spans.withColumn("replacement", F.first("replacement").over(w))
 
 
+def sanitized_messages(messages: DataFrame, spans: DataFrame, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(messages with spans replaced, the mapping's new entries (conv_id, value, replacement, type)).
+
+    messages: (conv_id, turn, role, text); spans: (conv_id, turn, start, end, value, type, replacement), none overlapping; prior:
+    (conv_id, value, replacement), what earlier requests gave. Assistant turns stay as they are. A value has one replacement in
+    a conversation: the prior one, else that of its first place.
+    """
+    asked = messages.where("role <> 'assistant'").select("conv_id", "turn")
+    own = spans.join(asked, ["conv_id", "turn"], "left_semi")
+    first = own.groupBy("conv_id", "value").agg(F.min_by(F.struct("replacement", "type"), F.struct("turn", "start")).alias("f")).select("conv_id", "value", F.col("f.replacement").alias("given"), F.col("f.type").alias("type"))
+    if prior is not None:
+        known = prior.groupBy("conv_id", "value").agg(F.min("replacement").alias("before"))
+        first = first.join(known, ["conv_id", "value"], "left").withColumn("given", F.coalesce("before", "given"))
+    else:
+        first = first.withColumn("before", F.lit(None).cast("string"))
+    named = own.drop("replacement", "type").join(first.select("conv_id", "value", F.col("given").alias("replacement")), ["conv_id", "value"])
+    place = lambda df: df.withColumn("doc_id", F.concat_ws("#", "conv_id", "turn"))
+    out = spliced(place(messages), place(named).select("doc_id", "start", "end", "replacement")).select(*messages.columns)
+    return out, first.where("before IS NULL").select("conv_id", "value", F.col("given").alias("replacement"), "type")
+
+
 def restored(texts: DataFrame, mapping: DataFrame, key: str = "doc_id", fuzzy: bool = True) -> DataFrame:
     """texts (key, text) with ciphertexts replaced by plaintexts, longest first; where one isn't found as it stands, with other separators."""
     row = F.struct((-F.length("ciphertext")).alias("k"), "ciphertext", "plaintext", "type")

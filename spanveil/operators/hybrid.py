@@ -52,10 +52,11 @@ def detect(docs: DataFrame, keywords: DataFrame | None = None, first: DataFrame
 
     Code in backticks is blanked first (config.respect_fences), without a change of offsets. keywords: (phrase, type, rank); first
     and last: (name); semantic: a model's scan. Languages are config.languages, or all. Overlapping spans vote. Values are of the
-    text as it was: only documents with a backtick are read again for that. Ids must be unique; null texts have no spans.
+    text as it was: only documents with a backtick are read again for that. Ids must be unique; null texts have no spans. With
+    config.passthrough nothing is scanned.
     """
     config = config or Config()
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text").where(F.lit(not config.passthrough))
     masked = rows.withColumn("text", F.when(F.contains("text", F.lit("`")), tx.fences_masked(F.col("text"))).otherwise(F.col("text"))) if config.respect_fences else rows
     won = spans.vote(engines(masked, keywords, first, last, semantic, config.languages), bonus=config.agreement_bonus, least=config.min_confidence)
     if not config.respect_fences:

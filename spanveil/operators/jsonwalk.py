@@ -110,8 +110,8 @@ def sanitized(requests: DataFrame, patterns: list, key: bytes, fail_open: bool =
     from .spans import greedy, scan
 
     found = leaves(requests, "request_id", "body", nested=0).withColumn("doc_id", F.concat_ws("#", "request_id", "path"))
-    texts = found.select("request_id", "doc_id", "segments", F.col("value").alias("text"))
-    hits = greedy(scan(texts, patterns).drop("pattern")).join(texts.select("doc_id", "request_id"), "doc_id")
+    texts = found.select("request_id", "doc_id", "path", "segments", F.col("value").alias("text"))
+    hits = greedy(scan(texts, patterns).drop("pattern")).join(texts.select("doc_id", "request_id", "path"), "doc_id")
     safe, mapping = encode_spans(texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), hits, key, fail_open)
     changes = safe.groupBy("request_id").agg(F.collect_list(F.struct("segments", F.col("text").alias("value"))).alias("changes"))
     out = requests.join(changes, "request_id", "left")

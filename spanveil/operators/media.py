@@ -88,3 +88,17 @@ def anchors(spark, size: int = 128, strides: tuple[int, ...] = (8, 16, 16, 16),
     layers = spark.createDataFrame([(i, size // s) for i, s in enumerate(strides)], "layer int, n int")
     grid = layers.select("layer", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("row")).select("layer", "n", "row", F.explode(F.expr("sequence(0, n - 1)")).alias("col"))
     return grid.select("layer", ((F.col("row") + 0.5) / F.col("n")).alias("y"), ((F.col("col") + 0.5) / F.col("n")).alias("x"), F.explode(F.expr(f"sequence(0, {each - 1})")).alias("k"))
+
+
+NOTICE = "[AUDIO REMOVED]"
+
+
+def audio_stripped(bodies: DataFrame, heard: DataFrame, key: str = "request_id") -> DataFrame:
+    """bodies (key, body) where inline audio gives way to a notice, in requests whose transcript (heard: key) held a telling phrase. Others stay as they are."""
+    from . import jsonwalk
+
+    last = lambda i: F.try_element_at("segments", F.lit(-i))
+    sounds = jsonwalk.leaves(bodies, key, "body", skipped=[], nested=0).where((last(1) == "data") & (last(2) == "input_audio")).join(heard.select(key).distinct(), key, "left_semi")
+    changes = sounds.groupBy(key).agg(F.collect_list(F.struct("segments", F.lit(NOTICE).alias("value"))).alias("changes"))
+    out = bodies.join(changes, key, "left")
+    return out.withColumn("body", F.when(F.col("changes").isNotNull(), jsonwalk.rewritten(F.col("body"), F.col("changes"))).otherwise(F.col("body"))).drop("changes")

@@ -52,6 +52,35 @@ def fetchable(url: Column, private_ip: Column) -> Column:
     return F.when(F.regexp_like(url, F.lit("^https://")), ~private_ip & ~local).when(F.regexp_like(url, F.lit("^http://")), local).otherwise(F.lit(False))
 
 
+# fixed values: names of the counters that a health report has
+COUNTERS = ["pii_matches_total", "requests_total", "images_processed_total", "faces_redacted_total", "text_regions_total", "nsfw_blocked_total", "screenshots_detected_total", "ri_flags_total", "ri_scans_total", "fpe_unprotected_total", "onnx_panics_total"]
+
+
+def counters(log: DataFrame) -> DataFrame:
+    """One row: the sum of each counter over log (counter, n); 0 for those without an entry. Other names are ignored."""
+    return log.agg(*(F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).cast("long").alias(c) for c in COUNTERS))
+
+
+def resumed(snapshots: DataFrame, log: DataFrame) -> DataFrame:
+    """Counters that go on from the latest of appended snapshots (at and the counters)."""
+    last = snapshots.agg(F.max_by(F.struct(*COUNTERS), "at").alias("s")).select(F.explode(F.array(*(F.struct(F.lit(c).alias("counter"), F.col(f"s.{c}").alias("n")) for c in COUNTERS))).alias("c")).select("c.*")
+    return counters(log.select("counter", "n").unionByName(last.where("n IS NOT NULL")))
+
+
+def timing_headers(timings: Column) -> Column:
+    """The timings (map of name to microseconds) that took any time, as headers."""
+    return F.transform_keys(F.map_filter(timings, lambda _, v: v > 0), lambda k, _: F.concat(F.lit("x-"), F.replace(k, F.lit("_"), F.lit("-"))))
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, "Observation"]:
+    """df and an observation that has, once df was used, its rows and the first and last moment at which one was made (microseconds)."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    at = F.unix_micros(F.current_timestamp())
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.min(at).alias("began_us"), F.max(at).alias("ended_us")), seen
+
+
 def latency(samples: DataFrame, shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """metric, n, mean_us and p50, p95, ...: the bound of the first bucket whose running count reaches the share."""
     bound = F.coalesce(*(F.when(F.col("us") <= b, F.lit(b)) for b in LATENCY_BOUNDS), F.lit(LATENCY_BOUNDS[-1]))

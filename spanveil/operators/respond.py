@@ -40,9 +40,26 @@ def role(flagged_: Column, second: Column) -> Column:
     return F.when(flagged_ & some, "upgrade").when(flagged_, "suppress").when(some, "discover").otherwise("clean")
 
 
+# fixed values: categories of the classifier, in the order of its scores
+CLASSES = ["Art_5_1_a_Deceptive", "Art_5_1_b_Age", "Art_5_1_b_SocioEcon", "Art_5_1_c_Social_Scoring"]
+
+
 def sampled(id_: Column, share: float = 0.1) -> Column:
     """A fixed share of ids, by hash."""
-    return F.pmod(F.crc32(id_.cast("string")), F.lit(1000)) < int(share * 1000)
+    return F.conv(F.substring(F.md5(id_.cast("string")), 1, 8), 16, 10).cast("long") % 1000 < round(share * 1000)
+
+
+def second_look(level: Column, flagged_: Column, id_: Column, share: float = 0.1) -> Column:
+    """Whether the classifier is asked: never (off), always (high), where phrases were found (low), and with medium for a share of the others as well."""
+    return F.when(level == "off", False).when(level == "high", True).when(level == "medium", flagged_ | sampled(id_, share)).otherwise(flagged_)
+
+
+def classified(logits: Column, threshold: float = 0.55, early: Column | None = None, least: float = 0.3) -> Column:
+    """The classifier's categories from its logits, by the logistic; none if the best score of a first look (early logits) is under `least`."""
+    score = lambda x: 1 / (1 + F.exp(-x))
+    names = F.array(*map(F.lit, CLASSES))
+    found = F.transform(F.filter(F.arrays_zip(names.alias("name"), logits.alias("x")), lambda z: z["x"].isNotNull() & (score(z["x"]) >= threshold)), lambda z: z["name"])
+    return found if early is None else F.when(score(F.array_max(early)) < least, F.slice(names, 1, 0)).otherwise(found)
 
 
 def shown(level: str, severity_: Column) -> Column:

@@ -22,7 +22,6 @@ def add(name: str, query, oracle: str | None = None) -> None:
 
 customers = lambda s, d: s.read.parquet(f"{d}/customer.parquet")
 VOCABULARY = ["[UNK]", "un", "##aff", "##able", "hello", "!"]
-add("t12_wordpiece", lambda s, d: customers(s, d).select("c_custkey", F.array_join(pieces.pieces(F.concat(F.lit("Hello unaffable! zz"), F.lit("")), VOCABULARY), ",").alias("ids")), "SELECT c_custkey, '4,1,2,3,5,0' AS ids FROM customer")
 add("t13_chunks", lambda s, d: pieces.chunked(cp.documents(s, d)).groupBy("doc_id").agg((F.max(F.octet_length("chunk")) <= 800).alias("fits"), F.max(F.col("at") + F.length("chunk")).cast("long").alias("reach")), "SELECT doc_id, true AS fits, CAST(length(text) AS BIGINT) AS reach FROM documents WHERE text <> ''")
 WORD = "substr('Aline', 1, CAST(c_custkey % 5 AS INT) + 1) || CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '-7' ELSE 'B' END"
 
@@ -49,16 +48,7 @@ add("d57_engine_choice", lambda s, d: customers(s, d).select("c_custkey", pieces
     "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) AND c_custkey % 3 = 0 THEN 'ner' WHEN c_custkey % 4 <> 3 AND c_custkey % 2 = 0 THEN 'crf' ELSE 'regex' END AS engine FROM customer")
 add("e4_span_repair", lambda s, d: customers(s, d).select("c_custkey", pieces.repaired(F.concat(F.lit("You must Act Now or "), F.col("c_name")), F.element_at(F.array(*map(F.lit, ["must Act", "act now", "act nov", "zzzzzz"])), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("span")), "SELECT c_custkey, ['must Act', 'Act Now', 'Act Now', NULL][c_custkey % 4 + 1] AS span FROM customer")
 image = lambda s, d: customers(s, d).select("c_custkey", F.unhex(F.lit("00" * 4 * 8 + "FF" * 4 * 8)).alias("p"), F.lit(8).alias("w"))
-add("m6_edge_density", lambda s, d: image(s, d).select("c_custkey", F.round(pixels.edge_density(F.col("p"), F.col("w")), 4).alias("density")), "SELECT c_custkey, round(1 / 3, 4) AS density FROM customer")
-add("m10_region_fill", lambda s, d: image(s, d).select("c_custkey", F.length(F.regexp_replace(F.hex(pixels.filled(F.col("p"), F.col("w"), F.struct(F.lit(1).alias("x0"), F.lit(4).alias("y0"), F.lit(4).alias("x1"), F.lit(6).alias("y1")))), "00", "")).alias("left")), "SELECT c_custkey, (32 - 6) * 2 AS \"left\" FROM customer")
-add("m7_regions", lambda s, d: image(s, d).select("c_custkey", F.size(pixels.regions(F.col("p"), F.col("w"))).alias("n"), pixels.regions(F.col("p"), F.col("w"))[0]["y0"].alias("y0")), "SELECT c_custkey, 1 AS n, 4 AS y0 FROM customer")
 add("m2_status_bar", lambda s, d: image(s, d).select("c_custkey", (pixels.row_variance(F.col("p"), F.col("w"), 2) < 50).alias("even")), "SELECT c_custkey, true AS even FROM customer")
 add("m9_text_policy", lambda s, d: customers(s, d).select("c_custkey", pixels.text_policy((F.col("c_custkey") % 10) / 10, F.col("c_custkey") % 2 == 0).alias("fill")), "SELECT c_custkey, CASE WHEN c_custkey % 10 < 8 OR c_custkey % 2 = 0 THEN 'all' ELSE 'none' END AS fill FROM customer")
 SOUND = '{"m":[{"type":"input_audio","input_audio":{"data":"AA","format":"wav"}}],"t":"x"}'
 notice = lambda path, value: F.array(F.struct(F.array(*map(F.lit, path)).alias("segments"), F.lit(value).alias("value")))
-add("j6_audio_notice", lambda s, d: customers(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.lit(SOUND), notice(["m", "0", "input_audio", "data"], "[AUDIO REMOVED]")), "$.m[0].input_audio.data").alias("data")), "SELECT c_custkey, '[AUDIO REMOVED]' AS data FROM customer")
-add("j5_image_replace", lambda s, d: customers(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.lit('{"source":{"type":"base64","data":"AA"}}'), notice(["source", "data"], "BB")), "$.source.data").alias("data")), "SELECT c_custkey, 'BB' AS data FROM customer")
-add("j4_url_to_base64", lambda s, d: customers(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.lit('{"image_url":{"url":"https://x.example/a"}}'), notice(["image_url", "url"], "data:image/png;base64,AA")), "$.image_url.url").alias("url")), "SELECT c_custkey, 'data:image/png;base64,AA' AS url FROM customer")
-add("m11_audio_strip", lambda s, d: spans.phrase_scan(cp.corpus(s, d, cp.SAID), listed(s, {"spoken": ["social security", "date of birth"]})).select("doc_id").distinct().withColumn("text", F.lit("[AUDIO REMOVED]")), "SELECT CAST(c_custkey AS BIGINT) AS doc_id, '[AUDIO REMOVED]' AS text FROM customer WHERE c_custkey % 5 IN (0, 1)")
-add("p18_transcript_counts", lambda s, d: spans.scan(cp.corpus(s, d), dims.BASE[:4]).groupBy("type").agg(F.count(F.lit(1)).alias("n")))
-add("s9_health_report", lambda s, d: ops.latency(s.read.parquet(f"{d}/events.parquet").selectExpr("'all' AS metric", "CAST(abs(floor(value * 1000)) AS BIGINT) AS us")).select("metric", "n"), "SELECT 'all' AS metric, count(*) AS n FROM events")

@@ -42,8 +42,6 @@ paths, PATHS = made(["c_custkey AS id", "CASE c_custkey % 4 WHEN 0 THEN '/a/v1/c
 add("s5_provider_routing", lambda s, d: ops.routed(paths(s, d), PROVIDERS),
     f"SELECT id, path, (SELECT v.p FROM (VALUES ('/a', 'one'), ('/a/v1', 'two'), ('/b/', 'three')) v(x, p) WHERE starts_with(path, v.x) ORDER BY length(v.x) DESC LIMIT 1) AS provider, "
     f"CASE WHEN starts_with(path, '/a/v1') THEN substr(path, 6) WHEN starts_with(path, '/a') THEN substr(path, 3) WHEN starts_with(path, '/b/') THEN substr(path, 4) END AS rest FROM ({PATHS})")
-add("s6_forwarded_headers", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(F.array_sort(F.map_keys(ops.forwarded(F.create_map(F.lit("Host"), F.col("n_name"), F.lit("X-Key"), F.col("n_name"), F.lit("Accept"), F.lit("*/*")), ["x-key"]))), ",").alias("kept")),
-    "SELECT n_nationkey, 'Accept' AS kept FROM nation")
 urls, URLS = made(["c_custkey AS id", "CASE c_custkey % 6 WHEN 0 THEN 'https://img.example.com/a.png' WHEN 1 THEN 'http://localhost:8080/a' WHEN 2 THEN 'http://example.com/a' WHEN 3 THEN 'https://10.0.0.' || CAST(c_custkey % 200 AS STRING) || '/a' WHEN 4 THEN 'ftp://example.com/a' ELSE 'https://127.0.0.1/a' END AS url"])
 _host = lambda c: F.regexp_extract(c, r"^[a-z]+://([^/:]*)", 1)
 from ..functions.validators import private_ip  # noqa: E402
@@ -63,18 +61,12 @@ add("t1_json_leaves", lambda s, d: jsonwalk.leaves(json_rows(s, d), "c_custkey",
 add("t2_skipped_keys", lambda s, d: jsonwalk.leaves(json_rows(s, d), "c_custkey", "body", skipped=["model", "role"]).select("c_custkey", "path", "value"), f"SELECT c_custkey, x.p AS path, x.v AS value FROM ({LEAVES}) WHERE x.p NOT LIKE '%role'")
 add("t4_nested_json", lambda s, d: jsonwalk.leaves(json_rows(s, d), "c_custkey", "body").where("depth = 1").select("c_custkey", "path", "value"), f"SELECT c_custkey, x.p AS path, x.v AS value FROM ({LEAVES}) WHERE x.p LIKE '%ssn'")
 BASE64 = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.lit('{"a":{"type":"base64","data":"AAAA"},"b":"data:image/png;base64,AA","c":"kept"}').alias("body"))
-add("t3_base64_skipped", lambda s, d: jsonwalk.leaves(BASE64(s, d), "n_nationkey", "body").select("n_nationkey", "path", "value"), "SELECT n_nationkey, unnest(['a.type', 'c']) AS path, unnest(['base64', 'kept']) AS value FROM nation")
-add("t8_json_rewrite", lambda s, d: json_rows(s, d).select("c_custkey", F.get_json_object(jsonwalk.rewritten(F.col("body"), F.array(F.struct(F.array(F.lit("messages"), F.lit("0"), F.lit("content")).alias("segments"), F.lit("gone").alias("value")))), "$.messages[0].content").alias("content")), "SELECT c_custkey, 'gone' AS content FROM customer")
 add("t9_path_segments", lambda s, d: json_rows(s, d).select("c_custkey", F.array_join(tx.path_segments(F.concat(F.lit("a["), (F.col("c_custkey") % 7).cast("string"), F.lit("].b.c"))), "/").alias("segments")), "SELECT c_custkey, 'a/' || (c_custkey % 7) || '/b/c' AS segments FROM customer")
-add("t7_fan_out", lambda s, d: jsonwalk.leaves(json_rows(s, d), "c_custkey", "body").groupBy(F.element_at("segments", 1).alias("entry")).agg(F.count(F.lit(1)).alias("n")), "SELECT 'messages' AS entry, 4 * count(*) AS n FROM customer")
 add("d55_json_scan", lambda s, d: spans.scan(jsonwalk.leaves(json_rows(s, d), "c_custkey", "body").select(F.col("c_custkey").alias("doc_id"), F.col("value").alias("text")), [dims.BASE[1], dims.BASE[3]]).select("doc_id", "value", "type"),
     f"SELECT c_custkey AS doc_id, CASE WHEN x.p LIKE '%ssn' THEN x.v ELSE substr(x.v, 6) END AS value, CASE WHEN x.p LIKE '%ssn' THEN 'ssn' ELSE 'email' END AS type FROM ({LEAVES}) WHERE x.p LIKE '%ssn' OR x.p LIKE '%[0].content'")
 add("d56_json_scan_flat", lambda s, d: spans.scan(jsonwalk.leaves(json_rows(s, d), "c_custkey", "body", nested=0).select(F.col("c_custkey").alias("doc_id"), F.col("value").alias("text")), [dims.BASE[1], dims.BASE[3]]).select("doc_id", "value", "type"),
     f"SELECT c_custkey AS doc_id, CASE WHEN x.p LIKE '%ssn' THEN x.v ELSE substr(x.v, 6) END AS value, CASE WHEN x.p LIKE '%ssn' THEN 'ssn' ELSE 'email' END AS type FROM ({LEAVES}) WHERE x.p LIKE '%ssn' OR x.p LIKE '%[0].content'")
 BLOCKS = ['{"type":"image","source":{"type":"base64","media_type":"image/png","data":"AA"}}', '{"type":"image_url","image_url":{"url":"https://x.example/a.png"}}', '{"type":"input_audio","input_audio":{"data":"AA","format":"wav"}}', '{"type":"text","text":"hi"}']
-add("d60_media_blocks", lambda s, d: jsonwalk.media_blocks(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", F.array(*map(F.lit, BLOCKS))).select("n_nationkey", "at", "kind", "media_type", "has_data", "url"),
-    "SELECT n_nationkey, unnest([0, 1, 2]) AS at, unnest(['image', 'image', 'audio']) AS kind, unnest(['image/png', NULL, 'wav']) AS media_type, unnest([true, false, true]) AS has_data, unnest([NULL, 'https://x.example/a.png', NULL]) AS url FROM nation")
-add("o8_audio_blocks", lambda s, d: jsonwalk.media_blocks(s.read.parquet(f"{d}/nation.parquet"), "n_nationkey", F.array(*map(F.lit, BLOCKS))).where("kind = 'audio'").groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT 'audio' AS kind, count(*) AS n FROM nation")
 
 
 # --- encoding and restoring
@@ -111,8 +103,6 @@ def _parts(s, d):
     return base_spans(s, d).select("doc_id", "start", middle.alias("middle"), after.alias("after"))
 
 
-add("p7_domain_guard", lambda s, d: base_spans(s, d).select("doc_id", "start", (F.length(encode.bare(encode.parts(F.col("value"), F.col("type"))[1], F.col("type"))) >= encode.of_type(F.col("type"), 1)).alias("allowed")),
-    f"SELECT doc_id, \"start\", true AS allowed FROM {GREEDY}")
 named = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_name").alias("value"), F.expr(REQUEST).alias("request_id"))
 HASH = "('0x' || substr(sha256(unhex('00112233445566778899aabbccddeeff') || encode(c_name)), 1, 8))::BIGINT % 1679616"
 TOKEN = f"'PER_' || substr('{crypto.BASE36}', CAST(h // 46656 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h // 1296 % 36 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h // 36 % 36 AS INT) + 1, 1) || substr('{crypto.BASE36}', CAST(h % 36 AS INT) + 1, 1)"
@@ -121,12 +111,7 @@ crowded = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.lit("r")
 add("p9_token_collisions", lambda s, d: encode.collisions_resolved(crowded(s, d)).select("base", "value", "token"),
     f"SELECT base, value, CASE WHEN k = 1 THEN base WHEN k <= 26 THEN base || chr(CAST(k + 96 AS INT)) ELSE base || '_' || {TOKEN.removeprefix("'PER_' || ")} END AS token FROM (SELECT *, ('0x' || substr(sha256(base || value), 1, 8))::BIGINT % 1679616 AS h FROM (SELECT 'PER_' || (c_custkey % 100) AS base, c_name AS value, row_number() OVER (PARTITION BY c_custkey % 100 ORDER BY c_custkey, c_name) AS k FROM customer))")
 add("p10_token_dedup", lambda s, d: named(s, d).unionByName(named(s, d)).select("request_id", "value", crypto.token(F.lit("PER"), F.col("request_id"), F.col("value")).alias("token")).distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT {REQUEST} AS request_id, count(DISTINCT c_name) AS n FROM customer")
-add("p11_routing", lambda s, d: encode.encoded(base_spans(s, d), SAMPLE_KEY).groupBy("type", "route").agg(F.count(F.lit(1)).alias("n")), f"SELECT type, 'cipher' AS route, count(*) AS n FROM {GREEDY} GROUP BY type")
 short = lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("doc_id"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit("ab@x.example").alias("value"), F.lit("email").alias("type"), F.expr(REQUEST).alias("request_id"))
-add("p12_fail_closed", lambda s, d: encode.encoded(short(s, d), SAMPLE_KEY, fail_open=False).select("doc_id", "replacement"), "SELECT n_nationkey AS doc_id, '[REDACTED:email]' AS replacement FROM nation")
-add("p13_fail_open", lambda s, d: encode.encoded(short(s, d), SAMPLE_KEY).select("doc_id", "route", F.substring("replacement", 1, 4).alias("prefix")), "SELECT n_nationkey AS doc_id, 'token' AS route, 'RED_' AS prefix FROM nation")
-add("p3_stable_encrypt", lambda s, d: encode.one_per_plaintext(_said(s, d), ["turn"]).groupBy("conv_id").agg(F.count_distinct("replacement").alias("tokens")),
-    "SELECT conv_id, 1 AS tokens FROM conversations GROUP BY conv_id")
 
 
 def _said(s, d):
@@ -134,7 +119,6 @@ def _said(s, d):
     return rows.withColumn("replacement", F.concat(F.lit("PER_"), F.col("turn").cast("string")))
 
 
-add("p17_message_registry", lambda s, d: encode.one_per_plaintext(_said(s, d), ["turn"]).select("conv_id", "turn", "replacement"), "SELECT conv_id, turn, 'PER_' || min(turn) OVER (PARTITION BY conv_id) AS replacement FROM conversations")
 
 
 def _sanitize_restore(s, d):
@@ -145,17 +129,12 @@ def _sanitize_restore(s, d):
 
 add("p16_sanitize_restore", _sanitize_restore, cp.corpus_sql())
 add("x5_restore_text", _sanitize_restore, cp.corpus_sql())
-add("p14_splice", lambda s, d: encode.sanitized(request_docs(s, d), base_spans(s, d), SAMPLE_KEY)[0].join(cp.corpus(s, d).withColumnRenamed("text", "was"), "doc_id").select("doc_id", (F.col("text") != F.col("was")).alias("changed")), f"SELECT doc_id, true AS changed FROM ({cp.corpus_sql()})")
 add("x9_longest_cipher", lambda s, d: encode.sanitized(request_docs(s, d), base_spans(s, d), SAMPLE_KEY)[1].groupBy("doc_id").agg(F.max(F.length("ciphertext")).alias("longest")), f"SELECT doc_id, max(length(value)) AS longest FROM {GREEDY} GROUP BY doc_id")
 maps = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.lit("415-555-2671").alias("ciphertext"), F.concat(F.lit("$1\\"), F.col("c_name")).alias("plaintext"), F.lit("phone").alias("type"))
-add("x4_fuzzy_restore", lambda s, d: encode.restored(maps(s, d).select("doc_id", F.lit("call (415) 555 2671 now").alias("text")), maps(s, d)), "SELECT c_custkey AS doc_id, 'call $1\\' || c_name || ' now' AS text FROM customer")
-add("x3_exact_restore", lambda s, d: encode.restored(maps(s, d).select("doc_id", F.lit("call 415-555-2671 now").alias("text")), maps(s, d), fuzzy=False), "SELECT c_custkey AS doc_id, 'call $1\\' || c_name || ' now' AS text FROM customer")
 add("x2_markdown_unescaped", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", tx.unescaped(F.concat(F.lit("PER\\_"), F.col("n_name"))).alias("t")), "SELECT n_nationkey, 'PER_' || n_name AS t FROM nation")
 ttl, TTL = made(["c_custkey AS id", "CAST(c_custkey * 10 AS BIGINT) AS created_at"])
 add("x6_ttl", lambda s, d: ops.live(ttl(s, d), now=9000, ttl_s=3000), f"SELECT * FROM ({TTL}) WHERE created_at + 3000 > 9000")
 add("x7_ndjson_collapse", lambda s, d: sse.collapsed(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.concat(F.lit('{"model":"m","message":{"content":"a"}}\n{"model":"m","message":{"content":"'), F.col("c_name"), F.lit('"}}\n')).alias("body"))), "SELECT c_custkey AS id, 'a' || c_name AS text, CAST(2 AS BIGINT) AS lines FROM customer")
-add("p20_tool_hooks", lambda s, d: encode.lite(cp.corpus(s, d)).select("doc_id", F.contains("text", F.lit("[EMAIL]")).alias("redacted")), f"SELECT doc_id, true AS redacted FROM ({cp.corpus_sql()})")
-add("d58_lite_redactor", lambda s, d: encode.lite(cp.corpus(s, d)).select("doc_id", F.contains("text", F.lit("@mail")).alias("left")), f"SELECT doc_id, false AS \"left\" FROM ({cp.corpus_sql()})")
 uses, USES = made(["c_custkey AS use_id", "CAST(c_custkey AS BIGINT) AS at"])
 add("p21_key_versions", lambda s, d: ops.key_at(uses(s, d), s.createDataFrame([(1, 0), (2, 500), (3, 1000)], "version int, since long")),
     f"SELECT use_id, \"at\", CASE WHEN \"at\" >= 1000 THEN 3 WHEN \"at\" >= 500 THEN 2 ELSE 1 END AS version, CASE WHEN \"at\" >= 1000 AND \"at\" < 1030 THEN 2 WHEN \"at\" >= 500 AND \"at\" < 530 THEN 1 END AS with_old FROM ({USES})")
@@ -178,13 +157,10 @@ add("c3_severity", lambda s, d: respond.assessed(cp.corpus(s, d, cp.SAID)).where
 add("c4_sensitivity", lambda s, d: respond.assessed(cp.corpus(s, d, cp.SAID), level="low", least_flags=1).where("shown").select("doc_id", "severity"), f"WITH {FLAGS} SELECT doc_id, severity FROM (SELECT doc_id, {SEVERITY} AS severity FROM f) WHERE severity <> 'Notice'")
 add("c10_labels", lambda s, d: respond.assessed(cp.corpus(s, d, cp.SAID), least_flags=1).where("shown").select("doc_id", F.element_at(F.split("label", "\n"), 2).alias("line")), f"WITH {FLAGS} SELECT doc_id, 'Detected: ' || array_to_string(c, ' • ') AS line FROM f")
 add("c2_dictionaries", lambda s, d: respond.phrases(s).groupBy("type").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES ('Urgency', 38), ('Scarcity', 28), ('Social Proof', 35), ('Fear', 35), ('Authority', 35), ('Commercial', 47), ('Flattery', 30)) v(type, n)")
-add("c5_sampling", lambda s, d: s.read.parquet(f"{d}/customer.parquet").where(respond.sampled(F.col("c_custkey"))).select("c_custkey"))
 roles, ROLES = made(["c_custkey AS id", "c_custkey % 2 = 0 AS flagged", "c_custkey % 3 = 0 AS second"])
 add("c8_roles", lambda s, d: roles(s, d).select("id", respond.role(F.col("flagged"), F.when(F.col("second"), F.array(F.lit("x"))).otherwise(F.expr("CAST(array() AS array<string>)"))).alias("role")), f"SELECT id, CASE WHEN flagged AND second THEN 'upgrade' WHEN flagged THEN 'suppress' WHEN second THEN 'discover' ELSE 'clean' END AS role FROM ({ROLES})")
 scores, SCORES = made(["vec_id", "CAST(embedding[0] AS DOUBLE) AS a", "CAST(embedding[1] AS DOUBLE) AS b"], "embeddings")
 SCORES = SCORES.replace("embedding[0]", "embedding[1]#").replace("embedding[1] AS", "embedding[2] AS").replace("embedding[1]#", "embedding[1]")
-add("c6_classifier_labels", lambda s, d: scores(s, d).select("vec_id", (1 / (1 + F.exp(-F.col("a"))) >= 0.55).alias("first"), (1 / (1 + F.exp(-F.col("b"))) >= 0.55).alias("second")), f"SELECT vec_id, 1 / (1 + exp(-a)) >= 0.55 AS first, 1 / (1 + exp(-b)) >= 0.55 AS second FROM ({SCORES})")
-add("c7_early_exit", lambda s, d: scores(s, d).where(F.greatest(1 / (1 + F.exp(-F.col("a"))), 1 / (1 + F.exp(-F.col("b")))) >= 0.3).select("vec_id"), f"SELECT vec_id FROM ({SCORES}) WHERE greatest(1 / (1 + exp(-a)), 1 / (1 + exp(-b))) >= 0.3")
 
 # --- streams, as finished tables
 chunks = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("stream_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), c.alias("chunk")) for i, c in enumerate([F.lit('data: {"choices":[{"delta":{"content":"He'), F.concat(F.lit('llo "}}]}\n\ndata: {"choices":[{"delta":{"content":"'), F.col("c_name"), F.lit('"}}]}\n')), F.lit("\ndata: [DONE]\n\n")])))).alias("c")).select("stream_id", "c.seq", "c.chunk")
@@ -210,20 +186,16 @@ beats, BEATS = made(["c_custkey % 10 AS client", "c_custkey AS at", "c_custkey %
 BEAT_STATES = f"SELECT *, CASE WHEN NOT ok THEN 'degraded' WHEN passthrough THEN 'passthrough' ELSE 'active' END AS state FROM ({BEATS})"
 add("a7_heartbeat", lambda s, d: ops.heartbeat(beats(s, d)).select("client", "at", "state", F.array_join("passed", ">").alias("passed")),
     f"SELECT client, \"at\", state, CASE WHEN state = b THEN '' WHEN state = 'active' THEN 'recovering>active' ELSE state END AS passed FROM (SELECT *, coalesce(lag(state) OVER (PARTITION BY client ORDER BY \"at\"), 'active') AS b FROM ({BEAT_STATES}))")
-add("a3_counters", lambda s, d: samples(s, d).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("us").alias("us")), f"SELECT metric, count(*) AS n, CAST(sum(us) AS BIGINT) AS us FROM ({SAMPLES}) GROUP BY metric")
 add("a9_model_percentiles", lambda s, d: samples(s, d).groupBy("metric").agg(F.round(F.percentile("us", 0.5), 3).alias("p50"), F.round(F.percentile("us", 0.95), 3).alias("p95"), F.round(F.avg("us"), 3).alias("mean"), F.round(F.stddev("us"), 3).alias("sd")), f"SELECT metric, round(quantile_cont(us, 0.5), 3) AS p50, round(quantile_cont(us, 0.95), 3) AS p95, round(avg(us), 3) AS mean, round(stddev(us), 3) AS sd FROM ({SAMPLES}) GROUP BY metric")
-add("o2_timing_headers", lambda s, d: samples(s, d).limit(0).unionByName(samples(s, d)).select(F.size(F.map_filter(F.create_map(F.lit("x-scan"), F.col("us"), F.lit("x-none"), F.lit(0).cast("long")), lambda k, v: v > 0)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("rows")), f"SELECT CASE WHEN us > 0 THEN 1 ELSE 0 END AS n, count(*) AS rows FROM ({SAMPLES}) GROUP BY ALL")
 
 # --- datasets
 add("e1_label_normalisation", lambda s, d: dataset.normalised_labels(s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_mktsegment").alias("label")), s.createDataFrame([("BUILDING", "construction")], "synonym string, label string")), "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'construction' ELSE replace(lower(c_mktsegment), ' ', '_') END AS label FROM customer")
 add("e2_exact_dedup", lambda s, d: dataset.first_of_each(cp.documents(s, d).select("doc_id", "text"), "text", "doc_id").select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))")
 near, NEAR = made(["c_custkey AS id", "c_mktsegment AS label", "substr(c_name, 1, 17) || CAST(c_custkey % 10 AS STRING) AS text", "CAST(c_custkey % 50 AS INT) AS grp"])
-add("e3_similar_pairs", lambda s, d: dataset.similar_pairs(near(s, d), "id", "text", ["label", "grp"], least=0.9), f"SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text)), 4) AS ratio FROM ({NEAR}) x JOIN ({NEAR}) y ON x.label = y.label AND x.grp = y.grp AND x.id < y.id WHERE abs(length(x.text) - length(y.text)) <= 0.3 * greatest(length(x.text), length(y.text)) AND round(1 - levenshtein(x.text, y.text) / greatest(length(x.text), length(y.text)), 4) >= 0.9")
 add("e5_entry_types", lambda s, d: cp.documents(s, d).select("doc_id", dataset.entry_type(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "fear")).alias("kind")), "SELECT doc_id, CASE WHEN len(string_split_regex(regexp_replace(text, '^ +| +$', '', 'g'), '\\s+')) <= 8 THEN 'phrase' ELSE 'para' END || '_' || CASE WHEN doc_id % 2 = 0 THEN 'manip' ELSE 'benign' END AS kind FROM documents")
 add("e6_multi_hot", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(dataset.multi_hot(F.array("c_mktsegment"), ["BUILDING", "MACHINERY"]), "").alias("hot")), "SELECT c_custkey, CAST(CAST(c_mktsegment = 'BUILDING' AS INT) AS VARCHAR) || CAST(CAST(c_mktsegment = 'MACHINERY' AS INT) AS VARCHAR) AS hot FROM customer")
 add("e7_stratified_split", lambda s, d: dataset.split(s.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id", F.col("toxic")),
     "WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY md5(doc_id || '/42'), doc_id) - 1 AS i, count(*) OVER (PARTITION BY toxic) AS n FROM labels) SELECT doc_id, toxic, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS part FROM r")
-add("e8_technique_mapping", lambda s, d: s.read.parquet(f"{d}/customer.parquet").join(F.broadcast(s.createDataFrame([("BUILDING", "fear"), ("MACHINERY", "urgency")], "c_mktsegment string, category string")), "c_mktsegment").select("c_custkey", "category"), "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'fear' ELSE 'urgency' END AS category FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 tagged = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.array(*map(F.lit, ["a", "b", "c", "d"])).alias("tokens"), F.when(F.col("c_custkey") % 2 == 0, F.array(*map(F.lit, ["B-PER", "I-PER", "O", "I-LOC"]))).otherwise(F.array(*map(F.lit, ["O", "B-LOC", "B-LOC", "I-LOC"]))).alias("tags"))
 add("v17_bio_errors", lambda s, d: dataset.bio_errors(tagged(s, d)), "SELECT c_custkey AS id, 3 AS i, 'I-LOC' AS tag FROM customer WHERE c_custkey % 2 = 0")
 add("d50_bio_decode", lambda s, d: dataset.entities(tagged(s, d)),
@@ -232,11 +204,8 @@ add("e9_entity_distribution", lambda s, d: dataset.entities(tagged(s, d)).groupB
 judged = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.array((F.col("c_custkey") % 2).cast("int"), (F.col("c_custkey") % 3 == 0).cast("int")).alias("truth"), F.array((F.col("c_custkey") % 4 == 1).cast("int"), (F.col("c_custkey") % 5 == 0).cast("int")).alias("guess"))
 PRF = lambda n, t, g: f"SELECT '{n}' AS label, count(*) FILTER ({t} AND {g}) AS tp, count(*) FILTER (NOT {t} AND {g}) AS fp, count(*) FILTER ({t} AND NOT {g}) AS fn FROM customer"
 add("e10_label_scores", lambda s, d: dataset.label_scores(judged(s, d), ["a", "b"]), f"SELECT *, tp + fn AS support, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM ({PRF('a', '(c_custkey % 2 = 1)', '(c_custkey % 4 = 1)')} UNION ALL {PRF('b', '(c_custkey % 3 = 0)', '(c_custkey % 5 = 0)')})")
-add("e11_detection_recall", lambda s, d: spans.scan(cp.corpus(s, d), [dims.BASE[3]]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(cp.corpus(s, d), "doc_id", "right").agg(F.round(F.avg((F.col("n") >= 1).cast("double")), 6).alias("recall")), "SELECT CAST(1.0 AS DOUBLE) AS recall")
 PARA = "WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS t FROM documents) SELECT count(*) FILTER (length(t) >= 30) AS n FROM p"
 add("t14_paragraphs", lambda s, d: dataset.paragraphs(cp.documents(s, d)).agg(F.count(F.lit(1)).alias("n")), PARA)
-add("r9_labelled_paragraphs", lambda s, d: dataset.labelled_paragraphs(dataset.paragraphs(cp.documents(s, d)), cp.documents(s, d).select("doc_id", F.lit(0).alias("first"), F.lit(20).alias("last"), F.lit("x").alias("label"))).select("doc_id", "i", F.array_join("labels", ",").alias("labels")))
-add("e13_expectations", lambda s, d: dataset.expectations(spans.scan(cp.corpus(s, d), dims.BASE).select(F.col("doc_id").alias("file"), "type"), cp.corpus(s, d).select(F.col("doc_id").alias("file"), F.lit(1).alias("least"), F.array(F.lit("email"), F.lit("mac_address")).alias("types"))).select("file", "least", "verdict"), f"SELECT doc_id AS file, 1 AS least, 'pass' AS verdict FROM ({cp.corpus_sql()})")
 
 # --- media decisions
 boxes, BOXES = made(["c_custkey % 100 AS image_id", "c_custkey AS box_id", "CAST(c_custkey % 7 * 3 AS DOUBLE) AS x_min", "CAST(c_custkey % 5 * 4 AS DOUBLE) AS y_min", "CAST(c_custkey % 7 * 3 + 20 + c_custkey % 3 AS DOUBLE) AS x_max", "CAST(c_custkey % 5 * 4 + 18 AS DOUBLE) AS y_max", "CAST(c_custkey % 13 AS DOUBLE) / 13 AS confidence", "40 AS img_width", "30 AS img_height"])

@@ -37,6 +37,16 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def dictionary(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """(phrase, type, rank) of a delimited file with a header; a line's place in no way matters. Lists of any size stay tables."""
+    return spark.read.schema("phrase string, type string, rank int").csv(path, header=True, sep=sep).where("phrase IS NOT NULL AND type IS NOT NULL").na.fill(0, ["rank"])
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of a text file with one name a line; blank lines and those that begin with # are no names."""
+    return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' AND NOT startswith(name, '#')").distinct()
+
+
 def media(spark: SparkSession, path: str) -> DataFrame:
     """(path, head, length, content): head is the first 16 bytes in hex."""
     return spark.read.format("binaryFile").load(path).select("path", F.hex(F.substring("content", 1, 16)).alias("head"), "length", "content")
@@ -70,6 +80,7 @@ class Config:
     skipped_keys: list[str] = field(default_factory=lambda: list(SKIPPED_KEYS))
     fail_open: bool = True
     respect_fences: bool = True
+    passthrough: bool = False
     sensitivity: str = "medium"
     least_flags: int = 3
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spanveil.functions import crypto, formats, text
-from spanveil.operators import crf, dims, encode, jsonwalk, spans
+from spanveil.operators import crf, dataset, dims, encode, jsonwalk, spans
 from spanveil.sources import io
 from spanveil.streaming import sse
 
@@ -152,3 +152,62 @@ def test_hybrid_scan_keeps_original_values_and_honours_config(spark):
     assert (1, "a@b.example.com") in got and (1, "c@d.example.com") not in got and (2, "12345678Z") in got
     assert (2, "12345678Z") not in {(r["doc_id"], r["value"]) for r in hybrid.detect(docs, config=Config(languages=["de"])).collect()}
     assert (1, "c@d.example.com") in {(r["doc_id"], r["value"]) for r in hybrid.detect(docs, config=Config(respect_fences=False)).collect()}
+
+
+def test_similar_pairs_miss_none(spark):
+    import random
+
+    random.seed(3)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    base = [" ".join(random.choices(words, k=random.randint(1, 8))) for _ in range(40)]
+    rows = [(i, "b" if i % 3 else "c", "".join(c if random.random() > 0.04 else random.choice("xyz") for c in random.choice(base))) for i in range(160)] + [(900, "b", ""), (901, "b", None), (902, None, "alpha"), (903, "b", "al"), (904, "b", "al")]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    got = {(r["a"], r["b"]) for r in dataset.similar_pairs(df, "id", "text", ["label"], least=0.85).collect()}
+    import itertools
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, old = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (a != b)))
+        return row[-1]
+
+    want = set()
+    for (i, l, x), (j, m, y) in itertools.combinations(rows, 2):
+        if l == m and l and x and y and abs(len(x) - len(y)) <= 0.3 * max(len(x), len(y)) and round(1 - distance(x, y) / max(len(x), len(y)), 4) >= 0.85:
+            want.add((min(i, j), max(i, j)))
+    assert got == want and len(want) > 50
+
+
+def test_splits_and_firsts_need_no_window_over_a_stratum(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END AS label", "concat('T ', id % 700) AS text")
+    parts = dataset.split(df, "id", F.col("label")).groupBy("label", "part").count().collect()
+    by = {(r["label"], r["part"]): r["count"] for r in parts}
+    assert all(by[k, "train"] == 700 and by[k, "validation"] == 150 and by[k, "test"] == 150 for k in (None, 0, 1))
+    assert sorted(r["id"] for r in dataset.first_of_each(df, "text", "id").collect()) == list(range(700))
+
+
+def test_dictionaries_of_any_size_are_tables(spark, tmp_path):
+    from spanveil.sources import io
+
+    (tmp_path / "d.csv").write_text("phrase,type,rank\n" + "".join(f"term {i} of many,health,1\n" for i in range(100_000)) + "term 7 of many,child,0\n")
+    (tmp_path / "n.txt").write_text("# names\nAda\n\nAda\nBob \n")
+    docs = spark.createDataFrame([(1, "a Term 77 of many and term 7 of many"), (2, "term 100000 of many"), (3, None)], "doc_id long, text string")
+    listed = io.dictionary(spark, f"{tmp_path}/d.csv").withColumn("phrase", F.regexp_replace("phrase", " of many", ""))
+    assert listed.count() == 100_001
+    assert sorted((r["doc_id"], r["value"], r["type"]) for r in spans.phrase_scan(docs, listed).collect()) == [(1, "term 7", "child"), (1, "term 77", "health")]
+    assert sorted(r["name"] for r in io.names(spark, f"{tmp_path}/n.txt").collect()) == ["Ada", "Bob"]
+
+
+def test_equal_offsets_in_two_leaves_have_two_tweaks(spark):
+    df = spark.createDataFrame([("r", "d", 0, 11, "123-45-6789", "ssn", p) for p in ("a", "b")], "request_id string, doc_id string, start int, end int, value string, type string, path string").withColumn("request_id", F.lit("00112233-4455-6677-8899-aabbccddeeff"))
+    got = [r["replacement"] for r in encode.encoded(df, bytes(range(32))).collect()]
+    assert len(set(got)) == 2 and all(len(x) == 11 for x in got)
+
+
+def test_observed_engine(spark):
+    from spanveil.operators import ops
+
+    df, seen = ops.observed(spark.range(100), "regex")
+    assert df.count() == 100 and seen.get["rows"] == 100 and seen.get["ended_us"] >= seen.get["began_us"] > 0
