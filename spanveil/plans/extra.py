@@ -48,7 +48,6 @@ add("d57_engine_choice", lambda s, d: customers(s, d).select("c_custkey", pieces
     "SELECT c_custkey, CASE WHEN c_custkey % 4 IN (0, 1) AND c_custkey % 3 = 0 THEN 'ner' WHEN c_custkey % 4 <> 3 AND c_custkey % 2 = 0 THEN 'crf' ELSE 'regex' END AS engine FROM customer")
 add("e4_span_repair", lambda s, d: customers(s, d).select("c_custkey", pieces.repaired(F.concat(F.lit("You must Act Now or "), F.col("c_name")), F.element_at(F.array(*map(F.lit, ["must Act", "act now", "act nov", "zzzzzz"])), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("span")), "SELECT c_custkey, ['must Act', 'Act Now', 'Act Now', NULL][c_custkey % 4 + 1] AS span FROM customer")
 image = lambda s, d: customers(s, d).select("c_custkey", F.unhex(F.lit("00" * 4 * 8 + "FF" * 4 * 8)).alias("p"), F.lit(8).alias("w"))
-add("m2_status_bar", lambda s, d: image(s, d).select("c_custkey", (pixels.row_variance(F.col("p"), F.col("w"), 2) < 50).alias("even")), "SELECT c_custkey, true AS even FROM customer")
 add("m9_text_policy", lambda s, d: customers(s, d).select("c_custkey", pixels.text_policy((F.col("c_custkey") % 10) / 10, F.col("c_custkey") % 2 == 0).alias("fill")), "SELECT c_custkey, CASE WHEN c_custkey % 10 < 8 OR c_custkey % 2 = 0 THEN 'all' ELSE 'none' END AS fill FROM customer")
 SOUND = '{"m":[{"type":"input_audio","input_audio":{"data":"AA","format":"wav"}}],"t":"x"}'
 notice = lambda path, value: F.array(F.struct(F.array(*map(F.lit, path)).alias("segments"), F.lit(value).alias("value")))

@@ -62,7 +62,6 @@ add("o4_url_images", lambda s, d: jsonwalk.url_images(customers(s, d).select("c_
 named = lambda s, names: s.createDataFrame([(n,) for n in names], "name string")
 add("d59_merged_redactor", lambda s, d: encode.lite(cp.corpus(s, d, cp.SAID), semantic=spans.names_scan(cp.corpus(s, d, cp.SAID), named(s, FIRST), named(s, LAST))),
     f"SELECT doc_id, replace(replace(replace(replace(text, 'Anna Smith', '[PERSON]'), 'Maria Garcia', '[PERSON]'), 'John', '[PERSON]'), '123-45-6789', '[SSN]') AS text FROM ({cp.corpus_sql(cp.SAID)})")
-add("t6_original_values", lambda s, d: spans.resliced(spans.scan(cp.corpus(s, d).withColumn("text", tx.fences_masked(F.col("text"))), dims.BASE).drop("pattern", "value"), cp.corpus(s, d)), BASE_SQL)
 HITS = [(1, 0, 4, "aa"), (2, 3, 9, "bb"), (3, 8, 20, "cc"), (1, 21, 25, "dd"), (2, 21, 30, "ee")]
 MIXED = "CASE c_custkey % 3 WHEN 0 THEN 'User' || c_custkey || '@Mail.Example' WHEN 1 THEN 'AA:BB:0' || c_custkey % 10 || ':DD:EE:FF' ELSE 'sk-AbC' || c_custkey END"
 add("p6_case_folding", lambda s, d: (lambda v, t: customers(s, d).select("c_custkey", F.concat(*encode.parts(v, t)).alias("folded")))(F.expr(MIXED), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'mac_address' ELSE 'api_key' END")),

@@ -90,7 +90,6 @@ def _round_trip(s, d):
     return coded.select("doc_id", "start", "type", plain.alias("plain"), (shape(F.col("value")) == shape(F.col("replacement"))).alias("same_shape"))
 
 
-add("p2_ff1_decrypt", lambda s, d: _round_trip(s, d).groupBy("type").agg(F.count("plain").alias("n")), f"SELECT type, count(*) AS n FROM {GREEDY} GROUP BY type")
 TWEAK = f"lower(hex(unhex('00112233445566778899aabbccddeeff'))) || substr(sha256('m:' || \"start\"), 1, 32)"
 add("p4_tweaks", lambda s, d: base_spans(s, d).select("doc_id", "start", F.lower(F.hex(crypto.tweak(F.col("request_id"), F.concat(F.lit("m:"), F.col("start").cast("string"))))).alias("tweak")),
     f"SELECT doc_id, \"start\", '00112233445566778899aabbccddeeff' || substr(sha256('m:' || \"start\"), 1, 32) AS tweak FROM {GREEDY}")
@@ -147,7 +146,6 @@ replies = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey
 sql_list = lambda xs: "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in xs) + "]"
 add("j1_response_format", lambda s, d: replies(s, d).select("c_custkey", formats.response_format(F.col("ct"), F.col("body")).alias("kind")), f"SELECT c_custkey, {sql_list(KINDS)}[c_custkey % 7 + 1] AS kind FROM customer")
 add("j2_response_text", lambda s, d: replies(s, d).withColumn("kind", formats.response_format(F.col("ct"), F.col("body"))).select("c_custkey", formats.response_text(F.col("kind"), F.col("body")).alias("text")), f"SELECT c_custkey, {sql_list(SAYS)}[c_custkey % 7 + 1] AS text FROM customer")
-add("x8_response_process", lambda s, d: replies(s, d).withColumn("kind", formats.response_format(F.col("ct"), F.col("body"))).withColumn("text", formats.response_text(F.col("kind"), F.col("body"))).groupBy("kind").agg(F.count("text").alias("n")), f"SELECT kind, count(text) AS n FROM (SELECT {sql_list(KINDS)}[c_custkey % 7 + 1] AS kind, {sql_list(SAYS)}[c_custkey % 7 + 1] AS text FROM customer) GROUP BY kind")
 WARNED = ["! Hi you", "! Hi", "! Hi", "! Hi", "! Hi", None, "! plain words"]
 add("j3_warning_injection", lambda s, d: replies(s, d).withColumn("kind", formats.response_format(F.col("ct"), F.col("body"))).select("c_custkey", formats.response_text(F.col("kind"), formats.with_warning(F.col("kind"), F.col("body"), F.lit("! "))).alias("text")), f"SELECT c_custkey, {sql_list(WARNED)}[c_custkey % 7 + 1] AS text FROM customer")
 add("c9_min_flags", lambda s, d: respond.assessed(cp.corpus(s, d, cp.SAID)).where("shown").select("doc_id", "n_flags"), f"SELECT doc_id, count(*) AS n_flags FROM ({phrases_sql(dims.PERSUASION, 1.0, 'p')}) GROUP BY doc_id HAVING count(*) >= 3")
@@ -164,13 +162,11 @@ SCORES = SCORES.replace("embedding[0]", "embedding[1]#").replace("embedding[1] A
 
 # --- streams, as finished tables
 chunks = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("stream_id"), F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), c.alias("chunk")) for i, c in enumerate([F.lit('data: {"choices":[{"delta":{"content":"He'), F.concat(F.lit('llo "}}]}\n\ndata: {"choices":[{"delta":{"content":"'), F.col("c_name"), F.lit('"}}]}\n')), F.lit("\ndata: [DONE]\n\n")])))).alias("c")).select("stream_id", "c.seq", "c.chunk")
-add("z1_line_reassembly", lambda s, d: sse.events(chunks(s, d)).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n")), "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, 3 AS n FROM customer")
 add("z3_stream_contents", lambda s, d: sse.contents(chunks(s, d)), "SELECT CAST(c_custkey AS VARCHAR) AS stream_id, 'openai' AS format, 'Hello ' || c_name AS text, true AS done FROM customer")
 DELTAS = ['{"delta":{"text":"x"}}', '{"choices":[{"delta":{"content":"x"}}]}', '{"candidates":[{"content":{"parts":[{"text":"x"}]}}]}', '{"text":"x"}', '{"content":"x"}']
 deltas = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.element_at(F.array(*map(F.lit, DELTAS)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("data"))
 add("z2_delta_extraction", lambda s, d: deltas(s, d).select("c_custkey", formats.stream_delta(F.col("data"))[0].alias("format"), formats.stream_delta(F.col("data"))[1].alias("text")), "SELECT c_custkey, ['anthropic', 'openai', 'gemini', 'generic', 'generic'][c_custkey % 5 + 1] AS format, 'x' AS text FROM customer")
 add("z6_delta_events", lambda s, d: deltas(s, d).select("c_custkey", formats.stream_delta(F.regexp_extract(formats.delta_event(formats.stream_delta(F.col("data"))[0], F.lit("y")), "^data: (.*)", 1))[1].alias("text")), "SELECT c_custkey, 'y' AS text FROM customer")
-add("z5_buffer_cap", lambda s, d: cp.documents(s, d).select("doc_id", F.octet_length(sse.buffered(F.col("text"), 1000)).between(F.least(F.lit(997), F.octet_length("text")), F.lit(1000)).alias("fits")), "SELECT doc_id, true AS fits FROM documents")
 
 # --- monitoring
 samples, SAMPLES = made(["event_type AS metric", "CAST(abs(floor(value * 1000)) AS BIGINT) AS us"], "events")
@@ -242,7 +238,6 @@ add("m3_nsfw", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("ve
     "WITH e AS (SELECT vec_id, list_transform(embedding[1:5], lambda x: exp(CAST(x AS DOUBLE) * 20)) AS p FROM embeddings), q AS (SELECT vec_id, list_transform(p, lambda x: x / list_sum(p)) AS p FROM e) SELECT vec_id, p[4] + p[5] + CASE WHEN p[1] >= 0.1 THEN p[2] ELSE 0 END >= 0.8 AS flagged FROM q")
 frames = lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array(*(F.struct(F.lit(b).alias("best"), F.lit(0.5).alias("p")) for b in (1, 1, 0, 1, 2, 2, 0))).alias("f"))
 add("m8_ctc_decode", lambda s, d: frames(s, d).select("c_custkey", media.ctc(F.col("f"), 3, F.array(F.lit("a"), F.lit("b"))).alias("x")).select("c_custkey", "x.*"), "SELECT c_custkey, 'aab' AS text, CAST(0.5 AS DOUBLE) AS confidence FROM customer")
-add("o7_anchors", lambda s, d: media.anchors(s).groupBy("layer").agg(F.count(F.lit(1)).alias("n")), "SELECT * FROM (VALUES (0, 512), (1, 128), (2, 128), (3, 128)) v(layer, n)")
 CRF = (["O", "B-PER", "I-PER"], {"isalpha": [0.2, 0.0, 0.0], "word=anna": [0.0, 2.0, 0.0], "word=smith": [0.0, 0.0, 2.0]}, [[0.5, 0.0, -5.0], [0.0, -1.0, 1.0], [0.0, -1.0, -0.5]])
 add("d47_crf", lambda s, d: crf.scan(cp.corpus(s, d, cp.SAID), *CRF).select("doc_id", "value", "type"), "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Anna Smith' AS value, 'person' AS type FROM customer WHERE c_custkey % 4 <> 0".replace("'person'", "'per'"))
 # --- reports over the events, beyond the inventory

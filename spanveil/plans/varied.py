@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import pieces
+from ..functions import formats, pieces
 from ..functions import text as tx
 from ..operators import dataset, dims, encode, hybrid, jsonwalk, media, ops, pixels, respond, spans
 from ..sources.io import Config
 from . import corpus as cp
+from ..streaming import sse
 from .detecting import BASE_SQL, found_sql, spans_sql
-from .serving import BOUND, REQUEST, SAMPLE_KEY, made, samples, scores
+from .serving import BOUND, GREEDY, REQUEST, SAMPLE_KEY, _round_trip, chunks, made, samples
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -200,3 +201,31 @@ add("m6_edge_density", lambda s, d: picture(s, d).select(K, F.round(pixels.edge_
 add("m7_regions", lambda s, d: picture(s, d).select(K, F.size(pixels.regions(F.col("p"), F.col("w"))).alias("n"), F.get(pixels.regions(F.col("p"), F.col("w")), F.lit(0))["y0"].alias("y0")), f"SELECT {K}, CASE WHEN {R} > 5 THEN 0 ELSE 1 END AS n, CASE WHEN {R} > 5 THEN NULL ELSE {R} END AS y0 FROM customer")
 add("m10_region_fill", lambda s, d: picture(s, d).select(K, F.hex(pixels.filled(F.col("p"), F.col("w"), F.struct(F.lit(1).alias("x0"), F.lit(4).alias("y0"), F.lit(4).alias("x1"), F.lit(6).alias("y1")))).alias("pixels")),
     f"SELECT {K}, array_to_string(list_transform(range(8), lambda y: CASE WHEN y < {R} THEN repeat('00', 8) WHEN y IN (4, 5) THEN 'FF' || repeat('00', 3) || repeat('FF', 4) ELSE repeat('FF', 8) END), '') AS pixels FROM customer")
+add("m2_status_bar", lambda s, d: picture(s, d).select(K, (pixels.row_variance(F.col("p"), F.col("w"), 2) < 50).alias("even")), f"SELECT {K}, {R} <> 1 AS even FROM customer")
+FRAMES = f"array(CAST({K} % 3 AS INT), CAST({K} % 3 AS INT), 0, CAST({K} % 2 AS INT), 2, 2)"
+add("m8_ctc", lambda s, d: customers(s, d).selectExpr(K, f"transform({FRAMES}, (b, i) -> struct(b AS best, CAST(i + 1 AS DOUBLE) / 10 AS p)) AS frames").select(K, media.ctc(F.col("frames"), 3, F.array(F.lit("x"), F.lit("y"))).alias("c")).select(K, "c.text", F.round("c.confidence", 6).alias("confidence")),
+    f"SELECT {K}, array_to_string(list_transform(kept, lambda i: ['x', 'y'][f[i]]), '') AS text, round(list_avg(list_transform(kept, lambda i: i / 10)), 6) AS confidence FROM (SELECT {K}, f, list_filter(range(1, 7), lambda i: f[i] <> 0 AND (i = 1 OR f[i - 1] <> f[i])) AS kept FROM (SELECT {K}, [{K} % 3, {K} % 3, 0, {K} % 2, 2, 2] AS f FROM customer))")
+add("o7_anchors", lambda s, d: media.anchors(s).select("layer", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"), "k"),
+    "SELECT l.layer, round((r.i + 0.5) / l.n, 6) AS y, round((c.i + 0.5) / l.n, 6) AS x, k.i AS k FROM (VALUES (0, 16), (1, 8), (2, 8), (3, 8)) l(layer, n) JOIN range(16) r(i) ON r.i < l.n JOIN range(16) c(i) ON c.i < l.n JOIN range(2) k(i) ON true")
+
+# --- flows
+add("p2_ff1_decrypt", lambda s, d: _round_trip(s, d).select("doc_id", "start", "type", "plain"), f'SELECT doc_id, "start", type, value AS plain FROM {GREEDY}')
+CUT = f"substr('aab', 1, CAST({K} % 4 AS INT)) || repeat('é', CAST({K} % 20 AS INT))"
+add("z5_buffer_cap", lambda s, d: customers(s, d).selectExpr(K, f"{CUT} AS t").select(K, sse.buffered(F.col("t"), 16).alias("text")), f"SELECT {K}, CASE WHEN {K} % 4 + 2 * ({K} % 20) <= 16 THEN {CUT} ELSE substr({CUT}, 1, CAST({K} % 4 + (16 - {K} % 4) // 2 AS INT)) END AS text FROM customer")
+DELTA = """'{"choices":[{"delta":{"content":"' || %s || '"}}]}'"""
+add("z1_line_reassembly", lambda s, d: sse.events(chunks(s, d)).select("stream_id", "data"), f"SELECT CAST({K} AS VARCHAR) AS stream_id, unnest([{DELTA % "'Hello '"}, {DELTA % 'c_name'}, '[DONE]']) AS data FROM customer")
+REPLY = f"""CASE {K} % 3 WHEN 0 THEN '{{"choices":[{{"message":{{"content":"hi T' || {K} || '"}}}}]}}' WHEN 1 THEN '{{"content":[{{"type":"text","text":"T' || {K} || ' a"}},{{"type":"text","text":"b"}}]}}' ELSE 'plain T' || {K} END"""
+
+
+def processed(s, d):
+    """The text of each reply, by its format, with tokens restored."""
+    replies = customers(s, d).selectExpr(f"{K} AS doc_id", f"{REPLY} AS body", f"CASE WHEN {K} % 3 < 2 THEN 'application/json' END AS ct", "c_name")
+    texts = replies.withColumn("kind", formats.response_format(F.col("ct"), F.col("body"))).withColumn("text", formats.response_text(F.col("kind"), F.col("body")))
+    mapping = replies.select("doc_id", F.concat(F.lit("T"), "doc_id").alias("ciphertext"), F.col("c_name").alias("plaintext"), F.lit("person").alias("type"))
+    return encode.restored(texts.select("doc_id", "kind", "text"), mapping)
+
+
+add("x8_response_process", processed, f"SELECT {K} AS doc_id, ['openai', 'anthropic', 'plain_text'][{K} % 3 + 1] AS kind, ['hi ' || c_name, c_name || ' a b', 'plain ' || c_name][{K} % 3 + 1] AS text FROM customer")
+FENCED = f"{cp.TEXT} || ' `' || {cp.TEXT} || '`'"
+MASK = f"SELECT doc_id, regexp_replace(text, '`[^`]*`', '') || repeat(' ', 0) AS text FROM ({cp.corpus_sql(FENCED)})"
+add("t6_original_values", lambda s, d: spans.resliced(spans.scan(cp.corpus(s, d, FENCED).withColumn("text", tx.fences_masked(F.col("text"))), dims.BASE).drop("pattern", "value"), cp.corpus(s, d, FENCED)), found_sql("", dims.BASE, MASK))

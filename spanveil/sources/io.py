@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
+from pathlib import Path
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,9 +95,25 @@ class Config:
             raise ValueError(f"no sensitivity {self.sensitivity!r}")
 
 
+def loaded_config(path: str, environment: dict[str, str] | None = None) -> Config:
+    """A configuration file; SPANVEIL_<OPTION> of the environment (a TOML value, or plain text) overrides an option."""
+    values = tomllib.loads(Path(path).expanduser().read_text("utf-8"))
+    for name, given in (os.environ if environment is None else environment).items():
+        option = name.removeprefix("SPANVEIL_").lower()
+        if name.startswith("SPANVEIL_") and option in {f.name for f in fields(Config)}:
+            try:
+                values[option] = tomllib.loads(f"x = {given}")["x"]
+            except tomllib.TOMLDecodeError:
+                values[option] = given
+    return _checked(values)
+
+
 def config(text: str) -> Config:
     """A configuration from TOML; unknown keys are an error."""
-    values = tomllib.loads(text)
+    return _checked(tomllib.loads(text))
+
+
+def _checked(values: dict) -> Config:
     unknown = values.keys() - {f.name for f in fields(Config)}
     if unknown:
         raise ValueError(f"unknown options {sorted(unknown)}")
