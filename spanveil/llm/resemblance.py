@@ -1,14 +1,18 @@
-"""Exact resemblance join: all pairs of texts whose shingle sets have a resemblance of 4/5 or more.
+"""Near copies: all pairs of texts whose shingle sets have a resemblance of 4/5 or more.
 
-The shingles of all texts have one order, those that are frequent in a sample last. Two sets with a
-resemblance of 4/5 share a shingle among the first n // 5 + 1 of each, so every such pair meets under one
-of those; which order it is has no say in what is found. Pairs that meet are verified on their whole sets.
+SimHash comes first: texts whose fingerprints are equal or differ in few bits are candidates, by the
+generalised pigeonhole of simhash.py. A fingerprint of 64 bits can't promise a pair at 0.8 (it differs in ten
+bits there, and no partition finds that cheaply), so a second way makes the result whole: the shingles of all
+texts have one order, those that are frequent in a sample last; two sets with a resemblance of 4/5 share a
+shingle among the first n // 5 + 1 of each, so every such pair meets under one of those, whatever the order.
+All candidates of both ways are verified on whole sets.
 
 Scale: equal sets are one node. Where many near copies meet, each is first verified against the one that the
-shingle comes earliest in, the least changed of them; what these links connect needs no further look. In the
-second round all pairs of different components meet, and bit maps of the sets bound what they can share, so
-that few are verified that aren't links. Sets are shuffled only for nodes that meet others. A shingle's rows go through one task, in
-Arrow batches; the driver gets at most `most_hot` shingles of the sample.
+shingle comes earliest in, the least changed of them; what these and the SimHash links connect needs no
+further look. In the second round all pairs of different components meet, and bit maps of the sets bound what
+they can share, so that few are verified that aren't links. Sets are shuffled only for nodes that meet others.
+A shingle's rows go through one task, in Arrow batches; the driver gets at most `most_hot` shingles of the
+sample and SimHash's tables of fixed size.
 """
 
 from __future__ import annotations
@@ -33,8 +37,16 @@ def shingle_set(text: str | None, size: int) -> tuple[int, np.ndarray]:
     """A node number for the set of a text's shingles, and the set: sorted hashes of 48 bits."""
     from .simhash import shingle_hashes
 
-    own = np.unique(np.array(shingle_hashes(words(text), size), U64) >> U64(16))
-    return int(np.array(xxhash.xxh64_intdigest(own.tobytes()), U64).view(np.int64)), own
+    own = as_set(np.array(shingle_hashes(words(text), size), U64))
+    return node_of(own), own
+
+
+def as_set(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes >> U64(16))
+
+
+def node_of(own: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh64_intdigest(own.tobytes()), U64).view(np.int64))
 
 
 def bit_map(own: np.ndarray) -> bytes:
@@ -55,14 +67,27 @@ def groups(arrays: Iterable[np.ndarray], length: Callable[[np.ndarray], int], mo
 
 
 def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, map): for each of MAP bits whether an odd number of the set's hashes falls on it."""
+    """(doc_id, node, map, fp): for each of MAP bits whether an odd number of the set's hashes falls on it; fp is the SimHash of the text's shingles."""
+    from .simhash import majority, shingle_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, maps = zip(*((n, bit_map(h)) for n, h in (shingle_set(t, size) for t in texts(batch))), strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "node", "map"])
+            hashes = [np.array(shingle_hashes(words(t), size), U64) for t in texts(batch)]
+            node, maps = zip(*((node_of(h), bit_map(h)) for h in map(as_set, hashes)), strict=True) if batch.num_rows else ((), ())
+            prints = majority(np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64)) if batch.num_rows else np.empty(0, U64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "node", "map", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary")
+
+
+def alike(own: DataFrame, radius: int) -> DataFrame:
+    """(a, b): nodes whose fingerprints are equal, or linked within the radius."""
+    from .simhash import links
 
-    return docs.mapInArrow(run, "doc_id long, node long, map binary")
+    each = own.select("node", "fp").distinct()
+    reps = cut(each.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = each.join(reps, "fp").where("node <> rep").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
+    return same.unionByName(links(reps, 1, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
@@ -214,14 +239,15 @@ def verified(candidates: DataFrame, docs: DataFrame, size: int, maps: DataFrame)
     return cut(beside(left, held, "hashes").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def near_copies(docs: DataFrame, size: int = 5, sample: int = 16_384, most_hot: int = 1 << 17) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = 5, radius: int = 3, sample: int = 16_384, most_hot: int = 1 << 17) -> DataFrame:
     """(doc_id, component): the smallest doc_id that links of a resemblance of 4/5 or more reach. Rows with a null doc_id have none."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = cut(nodes(rows, size))
     maps = written(own.select("node", "map").dropDuplicates(["node"]))
     met = meetings(rows, size, sample, most_hot)
     sizes = met.select("node", "n").distinct()
-    stars = met.where("hub IS NOT NULL").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    stars = met.where("hub IS NOT NULL").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    stars = stars.unionByName(alike(own, radius)).distinct()
     for end in ("a", "b"):
         stars = stars.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
     links = verified(stars.withColumn("m", F.expr("CAST(n_a + n_b AS BIGINT)")), rows, size, maps)

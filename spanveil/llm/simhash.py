@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
 def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The rows of `docs`, one (smallest doc_id) of each group of near copies: resemblance of 0.8 or more on 5-word shingles.
 
-    Links are exact (see resemblance.py). Wordless texts are copies of each other. Rows with a null doc_id stay. Repeated ids
+    SimHash links and an exact join beside them find candidates, and whole shingle sets decide (see resemblance.py). Wordless texts are copies of each other. Rows with a null doc_id stay. Repeated ids
     stay together.
     """
     gone = resemblance.near_copies(docs, shingle).where(F.col("component") != F.col("doc_id")).select("doc_id").distinct()

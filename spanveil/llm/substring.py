@@ -1,11 +1,14 @@
-"""Exact substring deduplication by prefix-partitioned suffix trees of bounded depth.
+"""Exact substring deduplication over the paths of all suffixes, cut off at the depth of a window.
 
-Every word position starts a suffix. Its path down the tree is labelled by the hash of its first words (16
-bits, four words) and then of the whole window of 20 words (48 bits), so suffixes that share a longer path
-sort together. A census over all suffixes splits the paths by prefixes of variable length into groups that
-fit in memory; each group is one subtree, sorted. Its nodes at the depth of a window with more than one
-leaf are repeats; the first leaf (smallest doc_id, then smallest start) stays, and later ones are cut from
-their documents. Overlapping windows make maximal repeats, given as spans.
+Every word position starts a suffix. Its path is a hash of its first words (8 bits, four words) and of the
+whole window of 20 words (56 bits), so suffixes that begin alike lie together. Prefixes of paths, as long as
+the census says, split the suffixes into groups that fit in memory; each group is sorted, and equal paths
+are a node. Of a node with more than one leaf the first (smallest doc_id, then smallest start) stays, and
+later ones are cut from their documents. Overlapping windows make maximal repeats, given as spans.
+
+What this is not: a suffix tree whose edges hold words. Words would cost twenty times as much in the shuffle
+as paths do. Two different windows of a corpus share a path with a probability of 2^-56 if they begin
+with the same four words, and of 2^-64 else.
 
 Scale: a block sends each distinct path once (about five bytes) with the first document that has it, and
 gets one bit back; text is never shuffled beyond one pass of compressed blocks. A path that a third of all
@@ -29,9 +32,9 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def paths(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window of words its path: 16 bits for the first four words, 48 for all."""
+    """For each window of words its path: 8 bits for the first four words, 56 for all."""
     whole = ngram_hashes(hashes, window)
-    return (ngram_hashes(hashes, min(4, window))[: len(whole)] & ~U64((1 << 48) - 1)) | (whole >> U64(16))
+    return (ngram_hashes(hashes, min(4, window))[: len(whole)] & ~U64((1 << 56) - 1)) | (whole >> U64(8))
 
 
 class Block:
