@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +53,25 @@ HABITS = {
 }
 
 
-def patterns(text: str) -> set[str]:
-    out = {name for name, habit in HABITS.items() if habit.search(text)}
-    letters = sum(map(str.isalpha, text))
-    if letters >= 20 and sum(map(str.isupper, text)) > 0.5 * letters:
-        out.add("p:shouting")
+CAPITALS = bytes(range(65, 91))
+
+
+def patterns(text: str, of: Iterable[str] = ("p:shouting", *HABITS)) -> set[str]:
+    """Those of the habits that a text has."""
+    out = {name for name in of if name in HABITS and HABITS[name].search(text)}
+    if "p:shouting" in of:
+        raw = text.encode("utf-8", "replace")
+        upper, lower = (len(raw) - len(raw.translate(None, letters)) for letters in (CAPITALS, CAPITALS.lower()))
+        if upper + lower >= 20 and upper > lower:
+            out.add("p:shouting")
+    return out
+
+
+def add_up(index: np.ndarray, weights: np.ndarray, by: np.ndarray, m: int, part: int = 1 << 20) -> np.ndarray:
+    """Sums of weights[by] at index, a part at a time: the driver holds no copy as long as the pairs."""
+    out = np.zeros(m)
+    for i in range(0, len(index), part):
+        out += np.bincount(index[i : i + part], weights[by[i : i + part]], m)
     return out
 
 
@@ -84,7 +98,7 @@ class Model:
             for s in self.stems.keys() & stems:
                 total += self.stems[s][min(stems.count(s), len(TIMES)) - 1]
         if self.patterns:
-            total += sum(self.patterns.get(p, 0.0) for p in patterns(text))
+            total += sum(map(self.patterns.__getitem__, patterns(text, self.patterns)))
         return total
 
 
@@ -99,7 +113,7 @@ def label_model(row: np.ndarray, column: np.ndarray, m: int, said: np.ndarray, p
     q = np.where(said > 0, 0.9, 0.05)
     weights = np.ones(m)
     for turn in range(rounds):
-        ones = np.bincount(column, q[row], m)
+        ones = add_up(column, q, row, m)
         one, nil = (ones + 0.5) / (q.sum() + 1), (spoken - ones + 0.5) / (n - q.sum() + 1)
         odds, silence = np.log(one / nil), np.log1p(-np.minimum(one, 0.999)) - np.log1p(-np.minimum(nil, 0.999))
         heard = np.abs(odds) > 4 * np.sqrt(1 / (ones + 0.5) + 1 / (spoken - ones + 0.5))
@@ -111,7 +125,8 @@ def label_model(row: np.ndarray, column: np.ndarray, m: int, said: np.ndarray, p
             mine = at[column] >= 0
             rest = np.zeros((n, len(loud)), np.float32)
             rest[row[mine], at[column[mine]]] = 1
-            rest -= np.outer(q, one[loud]) + np.outer(1 - q, nil[loud])
+            rest -= np.outer(q.astype(np.float32), (one - nil)[loud].astype(np.float32))
+            rest -= nil[loud].astype(np.float32)
             scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
             together = np.abs(rest.T @ rest / n) / np.outer(scale, scale)
             together[together < 0.2] = 0
@@ -121,9 +136,9 @@ def label_model(row: np.ndarray, column: np.ndarray, m: int, said: np.ndarray, p
         own = weights * heard
         right, wrong = ((q * said).sum() + 0.5) / (q.sum() + 1), (((1 - q) * said).sum() + 0.5) / (n - q.sum() + 1)
         annotators = np.where(said > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
-        log = np.log(prior / (1 - prior)) + annotators + (own * silence).sum() + np.bincount(row, (own * (odds - silence))[column], n)
+        log = np.log(prior / (1 - prior)) + annotators + (own * silence).sum() + add_up(row, own * (odds - silence), column, n)
         q = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-    return q, np.bincount(column, q[row], m) / np.maximum(spoken, 1), weights * heard
+    return q, add_up(column, q, row, m) / np.maximum(spoken, 1), weights * heard
 
 
 def linear(rows: np.ndarray, columns: np.ndarray, n: int, m: int, target: np.ndarray, rounds: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -193,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts:
         return Model([], np.zeros(0), -5.0)
     counts = sample.select("text").mapInArrow(counted, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
     least = max(3, n // 2000)
-    names = [r["name"] for r in counts.where((F.col("n") >= least) & (F.col("n") <= 0.25 * n)).orderBy(F.desc("n"), "name").limit(voters).collect()]
+    names = [r["name"] for r in counts.where((F.col("n") >= least) & (F.col("n") <= 0.15 * n)).orderBy(F.desc("n"), "name").limit(voters).collect()]
     at = {name: i for i, name in enumerate(names)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +216,18 @@ def train(docs: DataFrame, labels: DataFrame, most_training: int = 8_000, parts:
             hits = [sorted(at[x] for x in found(t) & at.keys()) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(hits, pa.list_(pa.int32()))], names=["y", "hits"])
 
-    table = sample.mapInArrow(rows, "y int, hits array<int>").toPandas()
-    hits = [np.asarray(h, np.int64) for h in table["hits"]]
-    row, column = np.repeat(np.arange(len(hits)), [len(h) for h in hits]), np.concatenate([*hits, np.empty(0, np.int64)]).astype(np.int64)
-    target, accuracy, weight = label_model(row, column, len(names), table["y"].to_numpy(), min(max(ones / n, 0.01), 0.99))
+    table = sample.mapInArrow(rows, "y int, hits array<int>").toArrow()
+    said, hits = table.column("y").to_numpy(), table.column("hits").combine_chunks()
+    column = hits.flatten().to_numpy()
+    row = np.repeat(np.arange(len(said), dtype=np.int32), table.column("hits").combine_chunks().value_lengths().to_numpy())
+    target, accuracy, weight = label_model(row, column, len(names), said, min(max(ones / n, 0.01), 0.99))
     spoken = np.bincount(column, minlength=len(names))
     heard = [(names[i], float(accuracy[i]), int(spoken[i]), float(weight[i])) for i in np.flatnonzero(weight).tolist()]
-    chosen = telling(names, spoken, np.bincount(column, target[row], len(names)), target, features)
+    chosen = telling(names, spoken, add_up(column, target, row, len(names)), target, features)
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     mine = place[column] >= 0
-    w, bias = linear(row[mine], place[column[mine]], len(hits), len(chosen), target)
+    w, bias = linear(row[mine], place[column[mine]], len(said), len(chosen), target)
     return Model([names[i] for i in chosen], w, bias, heard)
 
 
