@@ -57,13 +57,15 @@ def chunk_of(key: str, chunks: int, dialect: str = "spark") -> str:
     return f"CAST(CAST({f'conv({digits}, 16, 10)' if dialect == 'spark' else f"('0x' || {digits})::UBIGINT"} AS BIGINT) % {chunks} AS INT)"
 
 
-def shard(docs: DataFrame, tree: Tree = EIGHT, chunks: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, tree: Tree = EIGHT, chunks: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law `key`: the key and the tree decide, nothing else. A null key counts as the word null; a null text has size 1 and the
     crc32 of no bytes. Rows with the same key share a shard and get slots of their own, in the order of crc32 and size.
-    Other columns are ignored. `chunks` should grow with the rows of a shard (about a million rows each).
+    Other columns are ignored. A shard's slots are numbered in `chunks` parts, 256 or as many as hold a quarter million rows each:
+    which slot a row gets depends on that, its shard never does.
     """
+    chunks = chunks or max(256, docs.count() // (8 << 18))
     name = f"coalesce(CAST(`{key}` AS STRING), 'null')"
     where = {"shard": F.expr(place(name, tree)).cast("int"), "chunk": F.expr(chunk_of(name, chunks))}
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))

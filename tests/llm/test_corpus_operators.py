@@ -583,6 +583,48 @@ def test_bloom_filter_is_never_too_low():
     assert (lm.Filter(keys[:0], level[:0]).level(keys) == 0).all()
 
 
+CLASHING = ["fp", "rows", "block", "path", "grp", "kind", "keys", "answer", "h", "node", "map", "hub", "n", "score", "held_out", "size", "shard", "slot", "at", "id", "a", "b", "tier", "step", "n_words", "census"]
+
+
+def test_columns_may_have_any_other_name(spark, odd, labels):
+    wide = odd
+    for name in CLASHING:
+        wide = wide.withColumn(name, F.lit("x"))
+    bench = spark.createDataFrame([(1, "no such words in any text")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    marked = labels.withColumn("text", F.lit("x")).withColumn("n", F.lit(1))
+    runs = [
+        simhash.near_duplicates, simhash.one_of_each, lambda d: toxicity.toxicity(d, marked), sharding.shard, substring.repeats, substring.without_repeats, langid.identify, packing.pack, lm.scores,
+        lambda d: toxicity.clean_only(d, marked), lambda d: decontaminate.decontaminated(d, bench),
+    ]
+    for run in runs:
+        got, plain = run(wide), run(odd)
+        own = [c for c in plain.columns if c in got.columns and c not in CLASHING]
+        assert sorted(map(str, got.select(own).collect())) == sorted(map(str, plain.select(own).collect()))
+    assert decontaminate.contaminated(wide, bench).count() == 0
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 1), (5, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "null id here"), (3, "One")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # one of the wordless and one of the long texts stay; "One" and "null id here" are benchmark items
+    assert {r["doc_id"] for r in got} == ({1, 5, 7} if rows else set())
+    assert sum(r["length"] for r in got) == sum({(r["doc_id"], r["doc_tokens"]): r["doc_tokens"] for r in got}.values())
+
+
+def test_shards_and_pages_of_very_long_texts(spark):
+    text = "é" * 3_000_000
+    got = sharding.shard(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {1: (6_000_001, zlib.crc32(text.encode())), 2: (1, 0)}
+    page = spark.createDataFrame([(1, "http://a.com/en/" + "x" * 1_000_000, "<p>" * 1_000_000)], "page_id long, url string, html string")
+    assert [(r["rule"], r["verdict"]) for r in urlfilter.verdicts(page).collect()] == [("com/en/", "block")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
