@@ -7,6 +7,8 @@ by document, never text.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,20 @@ def matches(text: Column, regex: str, around: bool = False) -> Column:
 
 
 def scan(docs: DataFrame, patterns: list[Pattern], text: str = "text", validate: bool = True, source: str = "regex", confidence: float = 1.0, only=None) -> DataFrame:
-    """Spans of all patterns over doc_id and text. Documents that no pattern fits are dropped before anything is taken apart.
+    """Spans of all patterns over doc_id and text. Texts are only searched for patterns that they hold a needed part of.
 
     only(pattern): a condition on columns of docs under which a row is searched for the pattern. No row carries text past the
     search: a match brings the characters beside it.
     """
-    union = "|".join(f"(?:{p.regex})" for p in patterns)
-    kept = docs.where(F.regexp_like(text, F.lit(union)))
+    kept = docs.where(F.col(text).isNotNull())
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,value:string,before:string,after:string>>)")
-    per = [matches(F.col(text), p.regex, around=True) for p in patterns]
-    if only is not None:
-        per = [F.when(only(p), found).otherwise(empty) for p, found in zip(patterns, per, strict=True)]
+    per = []
+    for p in patterns:
+        found, due = matches(F.col(text), p.regex, around=True), [F.contains(text, F.lit(part)) for part in p.needs]
+        gate = functools.reduce(Column.__or__, due) if due else None
+        if only is not None:
+            gate = only(p) if gate is None else only(p) & gate
+        per.append(found if gate is None else F.when(gate, found).otherwise(empty))
     tagged = F.array(*(F.struct(F.lit(p.key).alias("pattern"), F.lit(p.type).alias("type"), found.alias("found")) for p, found in zip(patterns, per, strict=True)))
     long = kept.select("doc_id", F.explode(F.filter(tagged, lambda t: F.size(t["found"]) > 0)).alias("p")).select("doc_id", "p.pattern", "p.type", F.explode("p.found").alias("m"))
     out = long.select("doc_id", "pattern", "type", "m.*")

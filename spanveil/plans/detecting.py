@@ -281,7 +281,7 @@ ll AS (SELECT doc_id, lang, max_by(kept, i) AS kept FROM lg GROUP BY ALL), lu AS
 
 
 def hybrid_scan(s, d, allowed: list[str]):
-    docs = cp.documents(s, d).selectExpr("doc_id", f"{PLANTED} AS text")
+    docs = cp.spread(s.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", f"{PLANTED} AS text"))
     return hybrid.detect(docs, listed(s, PHRASE_LISTS), names(s, FIRST), names(s, LAST), config=Config(languages=allowed))
 
 
