@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, sliced, written
+from .common import U64, sliced, tidy, written
 
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers, byte planes apart, compressed."""
@@ -148,6 +148,7 @@ def questions(blocks: DataFrame, bounds: np.ndarray, ask: Ask) -> DataFrame:
                     if rows:
                         g, b, k, keys_, extras = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(b, pa.int64()), pa.array(k, pa.int8()), pa.array(keys_, pa.binary()), pa.array(extras, pa.binary())], names=["grp", "block", "kind", "keys", "extra"])
+                tidy()
 
     return blocks.select("block", "rows").mapInArrow(asked, "grp int, block long, kind byte, keys binary, extra binary")
 
@@ -166,8 +167,9 @@ def ask_all(blocks: DataFrame, bounds: np.ndarray, ask: Ask, answer: Callable, s
         for batch in batches:
             for g, *rest in zip(*(batch.column(c).to_pylist() for c in ("grp", "block", "kind", "keys", "extra")), strict=True):
                 rows.setdefault(g, []).append(rest)
-        for g, own in rows.items():
-            yield from answer(g, own)
+        for g in list(rows):
+            yield from answer(g, rows.pop(g))
+            tidy()
 
     return questions(blocks, bounds, ask).repartitionById(len(bounds) + 1, F.col("grp")).mapInArrow(answered, schema)
 
@@ -178,6 +180,7 @@ def told(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.RecordBatch
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = zip(*(right.column(c).to_pylist() for c in ("grp", "kind", "answer")), strict=True)
         parts = finish(opened(left.column("rows")[0].as_py()), {(g, k): a for g, k, a in keys})
+        tidy()
         return pa.Table.from_batches([parts])
 
     return blocks.select("block", "rows").groupBy("block").cogroup(answers.select("block", "grp", "kind", "answer").groupBy("block")).applyInArrow(run, schema)

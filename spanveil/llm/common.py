@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import uuid
 from collections.abc import Iterable, Iterator
@@ -121,6 +123,13 @@ def by_key(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
+def tidy() -> None:
+    """Memory that this worker has freed goes back to the machine; a reused worker would else keep its largest moment."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(name).to_pylist()
 

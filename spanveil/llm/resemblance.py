@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import packed_sorted, unpacked_sorted
-from .common import U64, by_key, cut, texts, words, written
+from .common import U64, by_key, cut, texts, tidy, words, written
 from .components import components
 
 #: bits of a set's map
@@ -71,11 +71,12 @@ def nodes(docs: DataFrame, size: int) -> DataFrame:
     from .simhash import majority, shingle_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             hashes = [np.array(shingle_hashes(words(t), size), U64) for t in texts(batch)]
-            node, maps = zip(*((node_of(h), bit_map(h)) for h in map(as_set, hashes)), strict=True) if batch.num_rows else ((), ())
-            prints = majority(np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64)) if batch.num_rows else np.empty(0, U64)
+            node, maps = zip(*((node_of(h), bit_map(h)) for h in map(as_set, hashes)), strict=True)
+            prints = majority(np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "node", "map", "fp"])
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary")
 
@@ -94,9 +95,10 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     """(node, hashes): packed sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
             own = [shingle_set(t, size) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([packed_sorted(h) for _, h in own], pa.binary())], names=["node", "hashes"])
+        tidy()
 
     return docs.mapInArrow(run, "node long, hashes binary")
 
@@ -139,6 +141,7 @@ def meetings(docs: DataFrame, size: int, sample: int, most_hot: int) -> DataFram
             for some in groups(map(first, texts(batch)), lambda x: x.shape[1]):
                 h, n, node, at = np.concatenate(some, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(node), pa.array(at.astype(np.int32))], names=["h", "n", "node", "at"])
+            tidy()
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_key(batches, "h"):
@@ -158,6 +161,7 @@ def meetings(docs: DataFrame, size: int, sample: int, most_hot: int) -> DataFram
             hub[order] = order[start][np.cumsum(start) - 1]
             far = ~possible(n, place, np.arange(len(h)), hub)
             yield from table.append_column("hub", pa.array(node[hub], mask=far)).to_batches()
+        tidy()
 
     rows = docs.mapInArrow(early, "h long, n int, node long, at int").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
     return written(rows.mapInArrow(several, "h long, n int, node long, at int, hub long"))

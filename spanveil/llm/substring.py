@@ -61,7 +61,7 @@ class Block:
         self.keys, self.first, self.at = np.unique(self.path, return_index=True, return_inverse=True)
 
 
-def repeats(docs: DataFrame, window: int = 20, block_bytes: int = 6 << 20, group_bytes: int = 24 << 20, digest: bool = True, keep_columns: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 20, block_bytes: int = 6 << 20, group_bytes: int = 12 << 20, digest: bool = True, keep_columns: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, spans, and kept_sha256 (digest) or all columns of docs with the kept words as text (keep_columns).
 
     A word goes if a window of `window` words that covers it also starts earlier: in a smaller doc_id, or before in the same

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, cut, fold, mix, ngram_hashes, texts, word_hashes, words
+from .common import U64, cut, fold, mix, ngram_hashes, texts, tidy, word_hashes, words
 
 WORD = re.compile(r"\w+")
 STEMS = (3, 4, 5, 6)
@@ -266,6 +266,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             z = np.clip(np.array([own.margin(t) for t in texts(batch)], float), -30, 30)
             p = 1 / (1 + np.exp(-z))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
@@ -285,5 +286,6 @@ def clean_only(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         vars(own).update(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([own.margin(t) < 0 for t in texts(batch)], pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
