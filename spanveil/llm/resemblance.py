@@ -10,13 +10,15 @@ All candidates of both ways are verified on whole sets.
 Scale: equal sets are one node. Where many near copies meet, each is first verified against the one that the
 shingle comes earliest in, the least changed of them; what these and the SimHash links connect needs no
 further look. In the second round all pairs of different components meet, and bit maps of the sets bound what
-they can share, so that few are verified that aren't links. Sets are shuffled only for nodes that meet others.
+they can share, so that few are verified that aren't links. Texts are hashed once: their packed sets are a table in the shared folder, of some
+six bytes a shingle, and are shuffled only for nodes that meet others.
 A shingle's rows go through one task, in Arrow batches; the driver gets at most `most_hot` shingles of the
 sample and SimHash's tables of fixed size.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,14 +35,6 @@ from .components import components
 MAP = 1024
 
 
-def shingle_set(text: str | None, size: int) -> tuple[int, np.ndarray]:
-    """A node number for the set of a text's shingles, and the set: sorted hashes of 48 bits."""
-    from .simhash import shingle_hashes
-
-    own = as_set(np.array(shingle_hashes(words(text), size), U64))
-    return node_of(own), own
-
-
 def as_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(hashes >> U64(16))
 
@@ -66,19 +60,23 @@ def groups(arrays: Iterable[np.ndarray], length: Callable[[np.ndarray], int], mo
         yield held
 
 
-def nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, map, fp): for each of MAP bits whether an odd number of the set's hashes falls on it; fp is the SimHash of the text's shingles."""
+def sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, node, map, fp, hashes): for each of MAP bits whether an odd number of the set's hashes falls on it; the SimHash of the text's shingles; the packed set.
+
+    Texts are split and hashed here alone; the table is read again wherever sets are needed.
+    """
     from .simhash import majority, shingle_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             hashes = [np.array(shingle_hashes(words(t), size), U64) for t in texts(batch)]
-            node, maps = zip(*((node_of(h), bit_map(h)) for h in map(as_set, hashes)), strict=True)
+            own = list(map(as_set, hashes))
             prints = majority(np.concatenate(hashes), np.array([len(h) for h in hashes], np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(maps, pa.binary()), pa.array([p.tobytes() for p in prints], pa.binary())], names=["doc_id", "node", "map", "fp"])
+            columns = [pa.array(map(node_of, own), pa.int64()), *(pa.array(c, pa.binary()) for c in (map(bit_map, own), (p.tobytes() for p in prints), map(packed_sorted, own)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", "map", "fp", "hashes"])
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary")
+    return written(docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary, hashes binary"), **{"parquet.block.size": str(16 << 20)})
 
 
 def alike(own: DataFrame, radius: int) -> DataFrame:
@@ -91,44 +89,32 @@ def alike(own: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(links(reps, 1, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, hashes): packed sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
-            own = [shingle_set(t, size) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([packed_sorted(h) for _, h in own], pa.binary())], names=["node", "hashes"])
-        tidy()
-
-    return docs.mapInArrow(run, "node long, hashes binary")
-
-
-def hot_shingles(docs: DataFrame, size: int, sample: int, most_hot: int) -> tuple[np.ndarray, np.ndarray]:
+def hot_shingles(held: DataFrame, sample: int, most_hot: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles (sorted) that several of about `sample` texts have, with how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in groups((shingle_set(t, size)[1].astype(np.int64) for t in texts(batch)), len):
+            for some in groups((unpacked_sorted(raw).astype(np.int64) for raw in batch.column("hashes").to_pylist()), len):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(some))], names=["h"])
 
-    every = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    every = max(1, held.count() // sample)
+    some = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("hashes").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     found = some.where("n >= 4").orderBy(F.desc("n"), "h").limit(most_hot).toPandas().sort_values("h")
     return found["h"].to_numpy(np.int64).astype(U64), found["n"].to_numpy(np.int64)
 
 
-def meetings(docs: DataFrame, size: int, sample: int, most_hot: int) -> DataFrame:
+def meetings(held: DataFrame, sample: int, most_hot: int) -> DataFrame:
     """(h, n, node, at, hub): for shingles h that come early in several sets, the sets with their sizes and the place of h.
 
     hub is the set that h comes earliest in, null if the two can't be near copies.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, size, sample, most_hot))
+    shared = held.sparkSession.sparkContext.broadcast(hot_shingles(held, sample, most_hot))
 
     def early(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, seen = shared.value
 
-        def first(t: str | None) -> np.ndarray:
-            node, own = shingle_set(t, size)
+        def first(node: int, raw: bytes) -> np.ndarray:
+            own = unpacked_sorted(raw)
             n = len(own)
             count = np.zeros(n, np.int64)
             if len(hot):
@@ -138,7 +124,8 @@ def meetings(docs: DataFrame, size: int, sample: int, most_hot: int) -> DataFram
             return np.stack([h, np.full(len(h), n), np.full(len(h), node), np.arange(len(h))])
 
         for batch in batches:
-            for some in groups(map(first, texts(batch)), lambda x: x.shape[1]):
+            distinct = dict(zip(*(batch.column(c).to_pylist() for c in ("node", "hashes")), strict=True))  # of copies in a batch, one is sent
+            for some in groups(itertools.starmap(first, distinct.items()), lambda x: x.shape[1]):
                 h, n, node, at = np.concatenate(some, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(node), pa.array(at.astype(np.int32))], names=["h", "n", "node", "at"])
             tidy()
@@ -163,7 +150,7 @@ def meetings(docs: DataFrame, size: int, sample: int, most_hot: int) -> DataFram
             yield from table.append_column("hub", pa.array(node[hub], mask=far)).to_batches()
         tidy()
 
-    rows = docs.mapInArrow(early, "h long, n int, node long, at int").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
+    rows = held.select("node", "hashes").mapInArrow(early, "h long, n int, node long, at int").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
     return written(rows.mapInArrow(several, "h long, n int, node long, at int, hub long"))
 
 
@@ -216,7 +203,7 @@ def pairs(met: DataFrame) -> DataFrame:
     return by_shingle(met).mapInArrow(run, "a long, b long, m long").distinct()
 
 
-def verified(candidates: DataFrame, docs: DataFrame, size: int, maps: DataFrame) -> DataFrame:
+def verified(candidates: DataFrame, held: DataFrame, maps: DataFrame) -> DataFrame:
     """The candidates (a, b, and m: their sizes together) whose sets have a resemblance of 4/5 or more. Sets are read only for those that the maps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,26 +226,27 @@ def verified(candidates: DataFrame, docs: DataFrame, size: int, maps: DataFrame)
 
     left = written(beside(candidates, maps, "map").select("a", "b", "m", "x", "y").mapInArrow(allowed, "a long, b long"))
     wanted = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    held = written(sets(docs, size).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    return cut(beside(left, held, "hashes").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    few = written(held.select("node", "hashes").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    return cut(beside(left, few, "hashes").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, radius: int = 3, sample: int = 16_384, most_hot: int = 1 << 17) -> DataFrame:
     """(doc_id, component): the smallest doc_id that links of a resemblance of 4/5 or more reach. Rows with a null doc_id have none."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = cut(nodes(rows, size))
-    maps = written(own.select("node", "map").dropDuplicates(["node"]))
-    met = meetings(rows, size, sample, most_hot)
+    held = sets(rows, size)
+    own = held.select("doc_id", "node", "fp")
+    maps = written(held.select("node", "map").dropDuplicates(["node"]))
+    met = meetings(held, sample, most_hot)
     sizes = met.select("node", "n").distinct()
     stars = met.where("hub IS NOT NULL").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     stars = stars.unionByName(alike(own, radius)).distinct()
     for end in ("a", "b"):
         stars = stars.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
-    links = verified(stars.withColumn("m", F.expr("CAST(n_a + n_b AS BIGINT)")), rows, size, maps)
+    links = verified(stars.withColumn("m", F.expr("CAST(n_a + n_b AS BIGINT)")), held, maps)
     group = cut(components(links))
     named = met.join(group, "node", "left").select("h", "n", "node", "at", F.coalesce("component", "node").alias("component"))
     left = unconnected(named).join(maps, "node")
-    links = links.unionByName(verified(pairs(left), rows, size, maps))
+    links = links.unionByName(verified(pairs(left), held, maps))
     joined = own.join(components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
     least = joined.groupBy("group").agg(F.min("doc_id").alias("component"))
     return joined.join(least, "group").select("doc_id", "component")
