@@ -188,6 +188,13 @@ def test_splits_and_firsts_need_no_window_over_a_stratum(spark):
     assert sorted(r["id"] for r in dataset.first_of_each(df, "text", "id").collect()) == list(range(700))
 
 
+def test_split_shares_are_decimals_and_rows_without_a_key_stay(spark):
+    df = spark.range(89).selectExpr("id", "0 AS label").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS id, 0 AS label"))
+    parts = dataset.split(df, "id", F.col("label")).collect()
+    assert [sum(r["part"] == p for r in parts) for p in ("train", "validation", "test")] == [63, 13, 14]
+    assert [r["part"] for r in parts if r["id"] is None] == ["test"]
+
+
 def test_dictionaries_of_any_size_are_tables(spark, tmp_path):
     from spanveil.sources import io
 
