@@ -42,3 +42,8 @@ def test_query(spark, duck, name):
     assert columns == sorted(want.columns)
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["p16_sanitize_restore", "x5_restore_text"])
+def test_rows_made_from_keys_are_not_broadcast(spark, name):
+    assert "Broadcast" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
