@@ -180,6 +180,17 @@ def test_similar_pairs_miss_none(spark):
     assert got == want and len(want) > 50
 
 
+def test_copies_make_no_pairs_of_pairs(spark):
+    rows = [(i, "b", "one same text of many") for i in range(50)] + [(i, "b", "one sane text of many") for i in range(50, 100)] + [(100, "c", "one same text of many"), (101, "b", ""), (102, "b", ""), (103, None, "x"), (104, "b", None)]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    got = sorted(tuple(r) for r in dataset.similar_classes(df, "id", "text", ["label"]).collect())
+    assert got == sorted([(0, 50, 0.9524)] + [(0, i, 1.0) for i in range(1, 50)] + [(50, i, 1.0) for i in range(51, 100)])
+    every = {(r["a"], r["b"]) for r in dataset.similar_pairs(df, "id", "text", ["label"]).collect()}
+    of = {b: a for a, b, ratio in got if ratio == 1}
+    links = {(a, b) for a, b, _ in got}
+    assert len(every) == 100 * 99 // 2 and all(of.get(a, a) == of.get(b, b) or (of.get(a, a), of.get(b, b)) in links for a, b in every)
+
+
 def test_splits_and_firsts_need_no_window_over_a_stratum(spark):
     df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END AS label", "concat('T ', id % 700) AS text")
     parts = dataset.split(df, "id", F.col("label")).groupBy("label", "part").count().collect()

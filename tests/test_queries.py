@@ -44,6 +44,6 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["p16_sanitize_restore", "x5_restore_text", "p19_body_round_trip"])
+@pytest.mark.parametrize("name", ["p16_sanitize_restore", "x5_restore_text", "p19_body_round_trip", "e3_similar_pairs"])
 def test_rows_made_from_keys_are_not_broadcast(spark, name):
     assert "Broadcast" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
