@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -89,8 +90,7 @@ def make_blocks(docs: DataFrame, census: Callable[[pa.RecordBatch], np.ndarray],
             return out
 
         for batch in batches:
-            offsets = batch.column(text).cast(pa.large_string())
-            lengths = np.array([len(x) for x in offsets.cast(pa.large_binary()).fill_null(b"").to_pylist()], np.int64) + 16
+            lengths = pc.binary_length(batch.column(text).cast(pa.large_string()).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False) + 16
             at = 0
             for piece in sliced(batch, lengths, block_bytes):
                 held.append(piece)
@@ -148,6 +148,8 @@ def questions(blocks: DataFrame, bounds: np.ndarray, ask: Ask) -> DataFrame:
                     if rows:
                         g, b, k, keys_, extras = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(b, pa.int64()), pa.array(k, pa.int8()), pa.array(keys_, pa.binary()), pa.array(extras, pa.binary())], names=["grp", "block", "kind", "keys", "extra"])
+                        del g, b, k, keys_, extras
+                    del keys, extra, rows
                 tidy()
 
     return blocks.select("block", "rows").mapInArrow(asked, "grp int, block long, kind byte, keys binary, extra binary")

@@ -38,7 +38,7 @@ def paths(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Block:
-    """Words, windows and their paths of a block's rows, in the order of doc_id."""
+    """Windows and their paths of a block's rows, in the order of doc_id. Words are only held text by text: as objects they are ten times the text."""
 
     def __init__(self, rows: pa.RecordBatch, window: int, key: str = "doc_id"):
         ids = rows.column(key).fill_null(LAST_ID).to_numpy()
@@ -46,19 +46,23 @@ class Block:
         self.ids = ids[self.order]
         texts = rows.column("text").to_pylist()
         self.texts = [texts[i] for i in self.order]
-        self.words = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in self.texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.window = window
 
+    def words(self, i: int) -> list[bytes]:
+        return self.texts[i].encode("utf-8", "surrogatepass").split() if self.texts[i] else []
+
     def paths(self) -> None:
-        """path, start (position among all words of the block) and row of each window."""
-        every = paths(word_hashes([w for words in self.words for w in words]), self.window)
+        """sizes in words; path, start (position among all words of the block) and row of each window; the distinct paths and where each comes first."""
+        hashed = [word_hashes(self.words(i)) for i in range(len(self.texts))]
+        self.sizes = np.array([len(h) for h in hashed], np.int64)
+        every = paths(np.concatenate([np.empty(0, U64), *hashed]), self.window)
+        del hashed
         ends = np.cumsum(self.sizes)
         n = np.maximum(self.sizes - self.window + 1, 0)
         self.row = np.repeat(np.arange(len(n)), n)
         self.start = np.arange(n.sum()) + np.repeat(ends - self.sizes - (np.cumsum(n) - n), n)
         self.path = every[self.start] if len(every) else every
-        self.keys, self.first, self.at = np.unique(self.path, return_index=True, return_inverse=True)
+        self.keys, self.first = np.unique(self.path, return_index=True)
 
 
 def repeats(docs: DataFrame, window: int = 20, block_bytes: int = 6 << 20, group_bytes: int = 12 << 20, digest: bool = True, keep_columns: bool = False) -> DataFrame:
@@ -141,7 +145,8 @@ def repeats(docs: DataFrame, window: int = 20, block_bytes: int = 6 << 20, group
         gone = np.cumsum(covered)[:total] > 0
         ends = np.cumsum(block.sizes)
         removed, spans, kept, digests = [], [], [], []
-        for i, words in enumerate(block.words):
+        for i in range(len(block.texts)):
+            words = block.words(i)
             mine = gone[ends[i] - len(words) : ends[i]]
             n = int(mine.sum())
             removed.append(n)

@@ -363,6 +363,21 @@ def test_phrases_are_those_of_a_plain_greedy_parse():
     assert model.predict([samples["wide"][100:400], samples["latin"][5:200], "12 !", None])[0] == ["wide", "latin", "und", "und"]
 
 
+def test_blocks_hold_no_words():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 9000}" for i in range(40_000))
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": [text] * 8})
+    tracemalloc.start()
+    block = substring.Block(rows, 20)
+    block.paths()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block.sizes.tolist() == [40_000] * 8 and peak < 16 * 8 * len(text)
+
+
 def test_automaton_knows_all_substrings():
     text = [2, 3, 2, 4, 2, 3, 3, 2]
     own = langid.Automaton(text, 6)
