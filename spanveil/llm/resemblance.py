@@ -11,7 +11,8 @@ Scale: equal sets are one node. Where many near copies meet, each is first verif
 shingle comes earliest in, the least changed of them; what these and the SimHash links connect needs no
 further look. In the second round all pairs of different components meet, and bit maps of the sets bound what
 they can share, so that few are verified that aren't links. Texts are hashed once: their packed sets are a table in the shared folder, of some
-six bytes a shingle, and are shuffled only for nodes that meet others.
+six bytes a shingle, and are shuffled only for nodes that meet others and few more, as a bit map of those nodes, of
+bounded size, goes before the exact join. All tables are deleted when the answer is there.
 A shingle's rows go through one task, in Arrow batches; the driver gets at most `most_hot` shingles of the
 sample and SimHash's tables of fixed size.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import packed_sorted, unpacked_sorted
-from .common import U64, by_key, cut, texts, tidy, words, written
+from .common import U64, by_key, cut, released, scratch, texts, tidy, words, written
 from .components import components
 
 #: bits of a set's map
@@ -60,7 +61,7 @@ def groups(arrays: Iterable[np.ndarray], length: Callable[[np.ndarray], int], mo
         yield held
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
+def sets(docs: DataFrame, size: int, folder: str | None = None) -> DataFrame:
     """(doc_id, node, map, fp, hashes): for each of MAP bits whether an odd number of the set's hashes falls on it; the SimHash of the text's shingles; the packed set.
 
     Texts are split and hashed here alone; the table is read again wherever sets are needed.
@@ -76,7 +77,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "node", "map", "fp", "hashes"])
         tidy()
 
-    return written(docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary, hashes binary"), **{"parquet.block.size": str(16 << 20)})
+    return written(docs.mapInArrow(run, "doc_id long, node long, map binary, fp binary, hashes binary"), folder, **{"parquet.block.size": str(16 << 20)})
 
 
 def alike(own: DataFrame, radius: int) -> DataFrame:
@@ -103,7 +104,7 @@ def hot_shingles(held: DataFrame, sample: int, most_hot: int) -> tuple[np.ndarra
     return found["h"].to_numpy(np.int64).astype(U64), found["n"].to_numpy(np.int64)
 
 
-def meetings(held: DataFrame, sample: int, most_hot: int) -> DataFrame:
+def meetings(held: DataFrame, sample: int, most_hot: int, folder: str | None = None) -> DataFrame:
     """(h, n, node, at, hub): for shingles h that come early in several sets, the sets with their sizes and the place of h.
 
     hub is the set that h comes earliest in, null if the two can't be near copies.
@@ -151,7 +152,7 @@ def meetings(held: DataFrame, sample: int, most_hot: int) -> DataFrame:
         tidy()
 
     rows = held.select("node", "hashes").mapInArrow(early, "h long, n int, node long, at int").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
-    return written(rows.mapInArrow(several, "h long, n int, node long, at int, hub long"))
+    return written(rows.mapInArrow(several, "h long, n int, node long, at int, hub long"), folder)
 
 
 def by_shingle(met: DataFrame) -> DataFrame:
@@ -203,6 +204,26 @@ def pairs(met: DataFrame) -> DataFrame:
     return by_shingle(met).mapInArrow(run, "a long, b long, m long").distinct()
 
 
+def maybe_among(rows: DataFrame, wanted: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """All rows (node, hashes) of wanted nodes, and some others: under one in 64, or more where 64 places a node are over `most_bits`. Nodes are hashes."""
+    bits = max(1 << 15, min(most_bits, 1 << (64 * wanted.count()).bit_length()))
+    place = F.col("node").bitwiseAND(F.lit(bits - 1))
+    parts = wanted.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    seen = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for row in parts.collect():
+        seen[row["part"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(seen.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared.value
+        for batch in batches:
+            at = batch.column("node").to_numpy() & (8 * len(seen) - 1)
+            yield batch.filter(pa.array((seen[at >> 3] >> (at & 7) & 1).astype(bool)))
+        tidy()
+
+    return rows.select("node", "hashes").mapInArrow(run, "node long, hashes binary")
+
+
 def verified(candidates: DataFrame, held: DataFrame, maps: DataFrame) -> DataFrame:
     """The candidates (a, b, and m: their sizes together) whose sets have a resemblance of 4/5 or more. Sets are read only for those that the maps allow."""
 
@@ -224,29 +245,34 @@ def verified(candidates: DataFrame, held: DataFrame, maps: DataFrame) -> DataFra
         one = pairs_.join(own.select(F.col("node").alias("a"), F.col(column).alias("x")), "a")
         return one.join(own.select(F.col("node").alias("b"), F.col(column).alias("y")), "b")
 
-    left = written(beside(candidates, maps, "map").select("a", "b", "m", "x", "y").mapInArrow(allowed, "a long, b long"))
-    wanted = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = written(held.select("node", "hashes").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    return cut(beside(left, few, "hashes").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    with scratch(held.sparkSession) as folder:
+        left = written(beside(candidates, maps, "map").select("a", "b", "m", "x", "y").mapInArrow(allowed, "a long, b long"), folder)
+        wanted = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), folder)
+        released(held.sparkSession)
+        few = written(maybe_among(held, wanted).join(wanted, "node", "left_semi").dropDuplicates(["node"]), folder)
+        released(held.sparkSession)
+        return cut(beside(left, few, "hashes").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, size: int = 5, radius: int = 3, sample: int = 16_384, most_hot: int = 1 << 17) -> DataFrame:
     """(doc_id, component): the smallest doc_id that links of a resemblance of 4/5 or more reach. Rows with a null doc_id have none."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = sets(rows, size)
-    own = held.select("doc_id", "node", "fp")
-    maps = written(held.select("node", "map").dropDuplicates(["node"]))
-    met = meetings(held, sample, most_hot)
-    sizes = met.select("node", "n").distinct()
-    stars = met.where("hub IS NOT NULL").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    stars = stars.unionByName(alike(own, radius)).distinct()
-    for end in ("a", "b"):
-        stars = stars.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
-    links = verified(stars.withColumn("m", F.expr("CAST(n_a + n_b AS BIGINT)")), held, maps)
-    group = cut(components(links))
-    named = met.join(group, "node", "left").select("h", "n", "node", "at", F.coalesce("component", "node").alias("component"))
-    left = unconnected(named).join(maps, "node")
-    links = links.unionByName(verified(pairs(left), held, maps))
-    joined = own.join(components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
-    least = joined.groupBy("group").agg(F.min("doc_id").alias("component"))
-    return joined.join(least, "group").select("doc_id", "component")
+    with scratch(docs.sparkSession) as folder:
+        held = sets(rows, size, folder)
+        own = held.select("doc_id", "node", "fp")
+        maps = written(held.select("node", "map").dropDuplicates(["node"]), folder)
+        met = meetings(held, sample, most_hot, folder)
+        released(docs.sparkSession)
+        sizes = met.select("node", "n").distinct()
+        stars = met.where("hub IS NOT NULL").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        stars = stars.unionByName(alike(own, radius)).distinct()
+        for end in ("a", "b"):
+            stars = stars.join(sizes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}")), end)
+        links = verified(stars.withColumn("m", F.expr("CAST(n_a + n_b AS BIGINT)")), held, maps)
+        group = cut(components(links))
+        named = met.join(group, "node", "left").select("h", "n", "node", "at", F.coalesce("component", "node").alias("component"))
+        left = unconnected(named).join(maps, "node")
+        links = links.unionByName(verified(pairs(left), held, maps))
+        joined = own.join(components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("group"))
+        least = joined.groupBy("group").agg(F.min("doc_id").alias("component"))
+        return cut(joined.join(least, "group").select("doc_id", "component"))

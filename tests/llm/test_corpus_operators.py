@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import components, decontaminate, embeddings, langid, lm, packing, resemblance, sharding, simhash, substring, toxicity, urlfilter
 from spanveil.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
-from spanveil.llm.common import LOWER
+from spanveil.llm.common import LOWER, shared_dir
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep long, unit string, component long"
@@ -149,6 +149,32 @@ def test_one_of_each_around_the_threshold(spark):
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_leave_no_tables(spark, odd):
+    def held() -> set[str]:
+        jvm, folder = spark.sparkContext._jvm, shared_dir(spark)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return {x.getPath().getName() for x in files.listStatus(path)} if files.exists(path) else set()
+
+    before = held()
+    found = resemblance.near_copies(odd)
+    assert not [x for x in held() - before if x.startswith(("table-", "scratch-"))]
+    # what is returned doesn't need them
+    assert {r["doc_id"]: r["component"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
+def test_rows_of_wanted_nodes(spark):
+    rng = np.random.default_rng(3)
+    nodes = rng.integers(-(2**63), 2**63 - 1, 20_000).tolist() + [0, -1, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(n, b"x") for n in nodes], "node long, hashes binary").repartition(4)
+    wanted = set(nodes[:500] + nodes[-4:])
+    some = spark.createDataFrame([(n,) for n in wanted], "node long")
+    got = [r["node"] for r in resemblance.maybe_among(rows, some).collect()]
+    assert wanted <= set(got) and len(got) <= len(wanted) + 20_000 / 32
+    assert wanted <= {r["node"] for r in resemblance.maybe_among(rows, some, 1 << 15).collect()}
+    assert resemblance.maybe_among(rows, some.limit(0)).count() == 0 and resemblance.maybe_among(rows.limit(0), some).count() == 0
+
+
 def test_toxicity(spark, odd, none, labels):
     bad, fine = ["scum loser", "you moron idiot", "utter trash clown"], ["kind words here", "a plain report", "nothing to see"]
     rng = np.random.default_rng(2)
