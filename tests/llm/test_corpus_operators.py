@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanveil.llm import components, decontaminate, embeddings, langid, lm, packing, resemblance, sharding, simhash, substring, toxicity, urlfilter
 from spanveil.llm.blocks import packed, packed_sorted, unpacked, unpacked_sorted
-from spanveil.llm.common import LOWER, shared_dir
+from spanveil.llm.common import LOWER, cut, scratch, shared_dir, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rep long, unit string, component long"
@@ -163,6 +163,20 @@ def test_near_copies_leave_no_tables(spark, odd):
     assert {r["doc_id"]: r["component"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
+def test_scratch_goes_with_its_block(spark):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    with pytest.raises(ZeroDivisionError), scratch(spark) as folder:
+        rows = written(spark.range(10), folder)
+        kept = cut(rows.where("id > 6"))
+        assert rows.count() == 10
+        raise ZeroDivisionError
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(conf).exists(path)
+    assert sorted(r["id"] for r in kept.collect()) == [7, 8, 9]
+    with scratch(spark):  # nothing was written
+        pass
+
+
 def test_rows_of_wanted_nodes(spark):
     rng = np.random.default_rng(3)
     nodes = rng.integers(-(2**63), 2**63 - 1, 20_000).tolist() + [0, -1, 2**63 - 1, -(2**63)]
