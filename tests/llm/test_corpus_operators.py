@@ -467,6 +467,21 @@ def test_urls_normal_forms_and_classes(spark):
     assert sorted(got, key=str) == sorted([(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (None, "block")], key=str)
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    from spanveil.llm import queries
+
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://www.example.com/en/71": ("example.com/en/7", "allow"), "http://example.com/en/6": ("com/en/", "block"), "http://A.NET/de/": ("net/de/", "allow"),
+        "http://x.example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/8#z": ("example.net/de/8", "block"), "http://b.org/es/1": ("org/es/", "block"), "http://b.org/de/1": (None, "allow"), "net/de/": (None, "allow"),
+    }
+    # a redirect to what net/de/ allows allows its class; before, one to what it blocked blocked it
+    html = '<meta http-equiv="refresh" content="0; url=http://u.net/de/1">'
+    rows = [(i, u, "") for i, u in enumerate(want)] + [(100, "http://q.io/b", html), (101, "http://b.io/a", '<link rel="canonical" href="http://b.org/es/2">')]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op8_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values())) | {100: (None, "allow"), 101: (None, "block")}
+
+
 def test_urls_that_share_a_hash_are_told_apart(spark, monkeypatch):
     real = F.xxhash64
     monkeypatch.setattr(urlfilter.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.length(c[0]).cast("long"))
