@@ -191,6 +191,32 @@ def test_copies_make_no_pairs_of_pairs(spark):
     assert len(every) == 100 * 99 // 2 and all(of.get(a, a) == of.get(b, b) or (of.get(a, a), of.get(b, b)) in links for a, b in every)
 
 
+def test_similar_pairs_send_neither_grams_nor_pairs_that_only_met(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle")}
+
+    # all meet by common grams, few are similar
+    rows = [(i, "b", f"some same words {i * 7919 % 1000:03d} {i:04d}") for i in range(3000)]
+    df, before = spark.createDataFrame(rows, "id int, label string, text string"), shuffled()
+    n = dataset.similar_pairs(df, "id", "text", ["label"], least=0.95).count()
+    assert n and sum(size for name, size in shuffled().items() if name not in before) < 2_000_000
+
+
+def test_similar_pairs_of_long_texts_and_at_the_edge_of_rounding(spark):
+    import random
+
+    random.seed(5)
+    draw = lambda n: "".join(random.choices("abcdefgh ", k=n))
+    long, edge, near = draw(1428), draw(250), draw(256)
+    # 100 edits of 1428 make 0.92997, which is rounded to 0.93; texts of 250 and 262, and of 256 and 257 characters, meet across the limit for carried ones
+    rows = [(1, "b", long), (2, "b", "".join(c for i, c in enumerate(long) if i % 14 or i >= 1400)), (3, "b", edge), (4, "b", edge + draw(12)), (5, "b", near), (6, "b", near + "x"), (7, "c", near + "y"), (8, "b", "".join("z" if i % 9 == 0 else c for i, c in enumerate(long)))]
+    assert [len(t) for _, _, t in rows] == [1428, 1328, 250, 262, 256, 257, 257, 1428]
+    df = spark.createDataFrame(rows, "id int, label string, text string")
+    got = sorted(tuple(r) for r in dataset.similar_pairs(df, "id", "text", ["label"], least=0.93).collect())
+    assert got == [(1, 2, 0.93), (3, 4, 0.9542), (5, 6, 0.9961)]
+
+
 def test_splits_and_firsts_need_no_window_over_a_stratum(spark):
     df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END AS label", "concat('T ', id % 700) AS text")
     parts = dataset.split(df, "id", F.col("label")).groupBy("label", "part").count().collect()
